@@ -26,12 +26,12 @@ def visit_duration_curve(
     """
     banded = visits.withColumn("duracao_faixa", X.band("duracao_min", edges, labels))
     cells = (
-        banded.where(F.col("duracao_faixa").isNotNull() & F.col("tipo_visita").isNotNull())
-        .groupBy("duracao_faixa", "tipo_visita")
+        banded.groupBy("duracao_faixa", "tipo_visita")
         .agg(
             F.count("visita_id").alias("total"),
             X.count_if(F.col("resultado_visita") == P.VISIT_CONVERTED).alias("com_pedido"),
         )
+        .where(F.col("duracao_faixa").isNotNull() & F.col("tipo_visita").isNotNull())
     )
     types = visits.select("tipo_visita").where(F.col("tipo_visita").isNotNull()).distinct()
     grid = D.with_domain(types, "duracao_faixa", list(labels))
@@ -69,15 +69,18 @@ def discount_margin_curve(
 ) -> DataFrame:
     """Lines by discount-rate band: lines, net, discount, margin, margin %; every band present."""
     banded = sales.withColumn("faixa_desconto", X.band(X.discount_rate(), edges, labels))
+    # group first (rates outside every band form one NULL group) and drop that
+    # group afterwards: filtering on the band before the aggregate would push
+    # the whole band expression below the joins, evaluated once per branch
     agg = (
-        banded.where(F.col("faixa_desconto").isNotNull())
-        .groupBy("faixa_desconto")
+        banded.groupBy("faixa_desconto")
         .agg(
             F.count("pedido_id").alias("total_itens"),
             X.money_sum("receita_liquida").alias("receita_liquida"),
             X.money_sum("desconto").alias("desconto_total"),
             X.money_sum("margem_contribuicao").alias("margem_total"),
         )
+        .where(F.col("faixa_desconto").isNotNull())
     )
     grid = D.with_domain(sales.sparkSession.range(1), "faixa_desconto", list(labels)).select("faixa_desconto")
     zero = F.lit(0).cast("decimal(38,4)")

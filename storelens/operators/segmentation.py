@@ -7,6 +7,7 @@ column as a parameter so they can run on any labelling.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -14,6 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,23 +80,26 @@ def kmeans_segments(
     restarts: int = P.KMEANS_RESTARTS,
     cols: Sequence[str] = FEATURES,
     max_iter: int = 100,
-    n_partitions: int = 8,
+    n_partitions: int | None = None,
     cluster_col: str = "cluster_raw",
-    parallel_fits: int = 4,
+    parallel_fits: int = 8,
+    rows_per_partition: int = 250_000,
 ):
     """Best of ``restarts`` K-Means fits (k-means||, seeds seed..seed+restarts-1) by training cost.
 
     The vectors are laid out in a fixed partitioning and order and cached, so a
     seed gives the same fit on every run. Returns (labelled frame, model, cost).
     """
+    base = assemble(scaled, cols).select("cliente_id", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    n_rows = base.count()
+    # partition count is a function of the data size only, so a seed gives the
+    # same fit on every run of the same data (about 250k vectors per task)
+    parts = n_partitions or max(1, min(4096, math.ceil(n_rows / rows_per_partition)))
     vec = (
-        assemble(scaled, cols)
-        .select("cliente_id", "features")
-        .repartition(n_partitions, "cliente_id")
-        .sortWithinPartitions("cliente_id")
-        .cache()
+        base.repartition(parts, "cliente_id").sortWithinPartitions("cliente_id").persist(StorageLevel.MEMORY_AND_DISK)
     )
-    vec.count()  # materialise the cached vectors once
+    vec.count()  # materialise the laid-out vectors once
+    base.unpersist()
 
     def fit(i: int):
         est = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol=cluster_col)

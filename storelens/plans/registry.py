@@ -26,7 +26,7 @@ from ..operators import ranking as K
 from ..operators import rollups as R
 from ..operators import scenario as S
 from ..operators import segmentation as G
-from ..session import shared_path
+from ..session import cut_lineage, shared_path
 from ..sources import sinks
 from ..sources.binding import RetailModel, bind_test_tables
 from ..sources.tables import coerce_numeric, load_table
@@ -85,7 +85,9 @@ def fixed_labels(df: DataFrame) -> DataFrame:
 
 
 def labelled_master(m: RetailModel) -> DataFrame:
-    lm = fixed_labels(master(m))
+    # the master feeds the profile, the roles and the labels: write it once to
+    # the shared checkpoint folder instead of recomputing it for each
+    lm = cut_lineage(fixed_labels(master(m)))
     roles = G.segment_roles(G.cluster_profile(lm))
     return G.segment_labels(lm, roles)
 
