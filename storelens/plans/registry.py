@@ -141,7 +141,7 @@ def q_sink_csv(spark, sf_dir):
     m = model(spark, sf_dir)
     rec = E.search_clients(client_rec(m), "", FILTER_PAGE)
     path = sinks.write_clients_csv(rec, shared_path(spark, "clients_csv"))
-    return spark.read.option("header", True).csv(path)
+    return spark.read.option("header", True).option("escape", '"').csv(path)
 
 
 # 2.2 filters, predicates, projections ---------------------------------------

@@ -40,7 +40,14 @@ def write_sections(sections: dict[str, DataFrame], base: str, mode: str = "overw
 
 
 def write_clients_csv(record: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """The filtered client list, 14 columns with a header, every value quoted."""
+    """The filtered client list, 14 columns with a header, every value quoted (RFC 4180: quotes doubled)."""
     cols = [F.col(src).cast("string").alias(dst) for src, dst in CSV_COLUMNS if src in record.columns]
-    record.select(*cols).write.mode(mode).option("header", True).option("quoteAll", True).csv(path)
+    (
+        record.select(*cols)
+        .write.mode(mode)
+        .option("header", True)
+        .option("quoteAll", True)
+        .option("escape", '"')
+        .csv(path)
+    )
     return path
