@@ -99,7 +99,16 @@ def geo_performance(
     sales: DataFrame, clients: DataFrame, potential: DataFrame, months: int = P.HORIZON_MONTHS
 ) -> DataFrame:
     """By (state, region): net, margin, distinct clients/orders, margin %, potential x months, share."""
-    geo = R.sales_with_client_geo(sales, clients)
+    # pre-aggregate to one row per (client, order) before the join, so a hot
+    # client no longer drags its raw lines through the join exchange
+    per_order = (
+        sales.groupBy("cliente_id", "pedido_id")
+        .agg(
+            X.money_sum("receita_liquida").alias("receita_liquida"),
+            X.money_sum("margem_contribuicao").alias("margem_contribuicao"),
+        )
+    )
+    geo = R.sales_with_client_geo(per_order, clients)
     agg = (
         geo.where(F.col("uf").isNotNull() & F.col("regiao_comercial").isNotNull())
         .groupBy("uf", "regiao_comercial")
