@@ -45,17 +45,22 @@ def with_domain(df: DataFrame, name: str, values: Sequence) -> DataFrame:
     return df.withColumn(name, F.explode(literal_array(values)))
 
 
-def domain_array(df: DataFrame, column: str, name: str = "_domain") -> DataFrame:
-    """One row holding the sorted distinct non-null values of ``column`` as an array.
+def domain_array(df: DataFrame, column: str) -> Column:
+    """The sorted distinct non-null values of ``column`` as one array value.
 
-    Stays lazy (no driver round-trip); its size is the domain's, so use it only
-    for bounded domains (categories, months, clusters).
+    A scalar subquery: computed once, lazily (no driver round-trip, no join);
+    its size is the domain's, so use it only for bounded domains (categories,
+    months, clusters).
     """
     vals = df.select(column).where(F.col(column).isNotNull()).distinct()
-    return vals.agg(F.array_sort(F.collect_list(column)).alias(name)).withColumn("_one", F.lit(1))
+    return vals.agg(F.array_sort(F.collect_list(column))).scalar()
 
 
-def explode_domain(df: DataFrame, domain_row: DataFrame, name: str, array_col: str = "_domain") -> DataFrame:
-    """Each row of ``df`` repeated once per value of a one-row domain array (joined on a constant)."""
-    joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(domain_row), "_one")
-    return joined.withColumn(name, F.explode(array_col)).drop("_one", array_col)
+def explode_domain(df: DataFrame, domain: Column, name: str) -> DataFrame:
+    """Each row of ``df`` repeated once per value of a domain array (a generate, not a join)."""
+    return df.withColumn(name, F.explode(domain))
+
+
+def one_row(df: DataFrame) -> Column:
+    """The single row of an aggregate as a struct value (scalar subquery, computed once)."""
+    return df.select(F.struct(*df.columns)).scalar()

@@ -155,9 +155,9 @@ def cluster_cards(master: DataFrame, spec: FilterSpec, cluster_col: str = "clust
     per = f.groupBy(cluster_col).agg(
         F.count(F.lit(1)).alias("n_clientes"), X.money_sum("receita_liquida").alias("receita_liquida")
     )
-    n_all = f.agg(F.count(F.lit(1)).alias("_nf")).withColumn("_one", F.lit(1))
+    n_all = f.agg(F.count(F.lit(1))).scalar()
     clusters = master.select(cluster_col).where(F.col(cluster_col).isNotNull()).distinct()
-    out = clusters.join(per, cluster_col, "left").withColumn("_one", F.lit(1)).join(F.broadcast(n_all), "_one")
+    out = clusters.join(per, cluster_col, "left").withColumn("_nf", n_all)
     out = out.withColumns(
         {
             "n_clientes": F.coalesce("n_clientes", F.lit(0).cast("long")),

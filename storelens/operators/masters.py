@@ -3,11 +3,11 @@
 ``client_master`` is the flagship: every client (inactive ones too) with the
 sales rollup, categories and yearly split computed in ONE aggregation over the
 billed fact (one scan, one shuffle keyed by client), the visits rollup, and the
-market potential of the client's (city, channel). All rollups come out
-hash-partitioned by ``cliente_id``, so the left-join chain on the client key
-adds only the exchange of the client table itself; the potential table is
-tiny after aggregation and AQE turns that join into a broadcast from its
-measured size.
+market potential of the client's (city, channel). The potential is joined
+first, as a broadcast only after its row count is checked (else a shuffle
+join); all rollups come out hash-partitioned by ``cliente_id``, so the
+left-join chain on the client key adds only the exchange of the client table
+itself.
 """
 
 from __future__ import annotations
@@ -18,9 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..functions import domains as D
 from ..functions import exprs as X
 from . import rollups as R
 
+POTENTIAL_BROADCAST_ROWS = 2_000_000
+
 CLIENT_METRICS = (
     "receita_bruta",
     "receita_liquida",
@@ -58,7 +61,7 @@ def fill_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
 def client_potential(clients: DataFrame, potential: DataFrame) -> DataFrame:
     """Client + monthly potential of its (city, channel); missing → 0."""
     pot = R.potential_by(potential, ["cidade", "canal"], name="potencial_mercado_cidade_canal_mensal")
-    out = clients.join(pot, ["cidade", "canal"], "left")
+    out = clients.join(D.broadcast_if_bounded(pot, POTENTIAL_BROADCAST_ROWS), ["cidade", "canal"], "left")
     return fill_metrics(out, ["potencial_mercado_cidade_canal_mensal"])
 
 
@@ -92,7 +95,11 @@ def client_master(
     roll = client_fact_rollup(billed, products, years)
     vis = R.client_visits(visits)
     pot = R.potential_by(potential, ["cidade", "canal"], name="potencial_mercado_cidade_canal_mensal")
-    m = clients.join(roll, "cliente_id", "left").join(vis, "cliente_id", "left").join(pot, ["cidade", "canal"], "left")
+    # (city, channel) pairs are a geographic domain: broadcast them only after
+    # their row count is proven small, and join them before the client table
+    # is shuffled by cliente_id (otherwise: a shuffle join decided by AQE)
+    pot = D.broadcast_if_bounded(pot, POTENTIAL_BROADCAST_ROWS)
+    m = clients.join(pot, ["cidade", "canal"], "left").join(roll, "cliente_id", "left").join(vis, "cliente_id", "left")
     m = fill_metrics(m, list(CLIENT_METRICS) + ycols + ["potencial_mercado_cidade_canal_mensal"])
     m = m.withColumns(
         {

@@ -157,10 +157,13 @@ def sorted_page(
     """
     start = (max(page, 1) - 1) * size
     rows = df.orderBy(sort_key(key, ascending), F.asc(id_col)).offset(start).limit(size)
-    total = df.agg(F.count(F.lit(1)).alias("total_linhas")).withColumn(
-        "total_paginas", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("total_linhas") / F.lit(size)).cast("long"))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return rows.withColumns(
+        {
+            "total_linhas": total,
+            "total_paginas": F.greatest(F.lit(1).cast("long"), F.ceil(total / F.lit(size)).cast("long")),
+        }
     )
-    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
 def first_n(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:

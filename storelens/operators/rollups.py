@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..functions import domains as D
 from ..functions import exprs as X
 
 
@@ -190,10 +191,6 @@ def monthly_trend(sales: DataFrame) -> DataFrame:
     )
 
 
-def _one_row(df: DataFrame) -> DataFrame:
-    return df.withColumn("_one", F.lit(1))
-
-
 def kpis_global(sales: DataFrame, clients: DataFrame, visits: DataFrame) -> DataFrame:
     """One row of totals and ratios, rounded as in the published document (percentages x 100)."""
     s = sales.agg(
@@ -209,8 +206,9 @@ def kpis_global(sales: DataFrame, clients: DataFrame, visits: DataFrame) -> Data
         F.count(F.lit(1)).alias("total_visitas"),
         X.count_if(F.col("resultado_visita") == P.VISIT_CONVERTED).alias("_conv"),
     )
-    # three one-row aggregates joined on a constant key: 1 x 1 x 1 rows
-    row = _one_row(s).join(_one_row(c), "_one").join(_one_row(v), "_one")
+    # the client and visit totals are scalar subqueries on the sales row
+    cv = s.withColumns({"_c": D.one_row(c), "_v": D.one_row(v)})
+    row = cv.select("*", "_c.total_clientes_base", "_v.total_visitas", "_v._conv")
     return row.select(
         X.round_money("rl").alias("receita_liquida_total"),
         X.round_money("rb").alias("receita_bruta_total"),

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..functions import domains as D
 from ..functions import exprs as X
 
 
@@ -45,11 +46,11 @@ def scenario_sweep(
 ) -> DataFrame:
     """Added revenue, added margin, new margin % and its change in p.p. for every scenario (x every group)."""
     if by:
-        j = scenarios.join(F.broadcast(base), how="inner", on=list(by)) if set(by) <= set(scenarios.columns) else None
-        if j is None:
-            j = scenarios.withColumn("_one", F.lit(1)).join(base.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        # one base row per group: scenarios carry the group key (equi-join)
+        j = scenarios.join(base, on=list(by), how="inner")
     else:
-        j = scenarios.withColumn("_one", F.lit(1)).join(F.broadcast(base.withColumn("_one", F.lit(1))), "_one").drop("_one")
+        b = D.one_row(base)
+        j = scenarios.withColumns({c: b[c] for c in base.columns})
     g, r, m = X.dbl("base_bruta"), X.dbl("base_receita"), X.dbl("base_margem")
     lit = F.lit
     ganho_desc = g * (X.dbl("corte_desconto_pp") / lit(100.0))

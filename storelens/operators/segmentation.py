@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..functions import domains as D
 from ..functions import exprs as X
-from ..session import cut_lineage
 
 FEATURES = (
     "log_receita",
@@ -56,17 +56,15 @@ def standardize(features: DataFrame, cols: Sequence[str] = FEATURES) -> DataFram
     """Zero mean, unit population variance per column; a constant column becomes 0.
 
     One aggregation gives all means and population deviations (a single row),
-    joined back on a constant key.
+    attached as a scalar subquery.
     """
-    stats = features.agg(
-        *[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols]
-    ).withColumn("_one", F.lit(1))
-    j = features.withColumn("_one", F.lit(1)).join(F.broadcast(stats), "_one")
+    st = D.one_row(
+        features.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
+    )
     scaled = {
-        c: F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(F.lit(0.0))
-        for c in cols
+        c: F.when(st[f"s_{c}"] > 0, (F.col(c) - st[f"m_{c}"]) / st[f"s_{c}"]).otherwise(F.lit(0.0)) for c in cols
     }
-    return j.withColumns(scaled).select(*[c for c in features.columns])
+    return features.withColumns(scaled)
 
 
 def assemble(df: DataFrame, cols: Sequence[str] = FEATURES, out: str = "features") -> DataFrame:
@@ -173,36 +171,37 @@ def segments_frame(spark) -> DataFrame:
     )
 
 
+MAX_CLUSTERS = 1000
+
+
 def segment_roles(profile: DataFrame, cluster_col: str = "cluster_raw") -> DataFrame:
-    """Greedy, exclusive role assignment over the k-row profile.
+    """Greedy, exclusive role assignment over the k-row cluster profile.
 
     Highest mean revenue → key accounts; of the rest, highest mean recency →
     churn risk; then most checkouts → high potential; then highest mean
-    discount → discount hunters; every remaining cluster → stable. Ties go to
-    the lower cluster id. With fewer clusters, only the roles that can be
-    assigned are emitted, in that priority order.
+    discount → discount hunters; every remaining cluster → stable. NULL
+    metrics rank last and ties go to the lower cluster id. With fewer
+    clusters, only the roles that can be assigned are emitted, in that order.
+
+    The profile has one row per cluster — model-sized like the K-Means centres,
+    checked against ``MAX_CLUSTERS`` — so the sequential pick runs on those k
+    rows and the result is a k-row DataFrame.
     """
-    # the profile has k rows; checkpoint it so the picks below do not each
-    # recompute the client pipeline behind it
-    profile = cut_lineage(profile)
-    remaining = profile
-    picks = []
+    metrics = [m for _, m in ROLE_METRICS]
+    rows = profile.select(cluster_col, *metrics).limit(MAX_CLUSTERS + 1).collect()
+    if len(rows) > MAX_CLUSTERS:
+        raise ValueError(f"segment_roles: more than {MAX_CLUSTERS} clusters")
+    remaining = sorted(rows, key=lambda r: r[cluster_col])
+    assigned = []
     for prio, (seg, metric) in enumerate(ROLE_METRICS):
-        top = (
-            remaining.orderBy(F.desc_nulls_last(metric), F.asc(cluster_col))
-            .limit(1)
-            .select(cluster_col, F.lit(seg.code).alias("cluster_code"), F.lit(prio).alias("prioridade"))
-        )
-        picks.append(top)
-        remaining = remaining.join(top.select(cluster_col), cluster_col, "left_anti")
-    picks.append(
-        remaining.select(
-            cluster_col, F.lit(P.SEG_RETAIL_STABLE.code).alias("cluster_code"), F.lit(len(ROLE_METRICS)).alias("prioridade")
-        )
-    )
-    roles = picks[0]
-    for p in picks[1:]:
-        roles = roles.unionByName(p)
+        if not remaining:
+            break
+        best = max(remaining, key=lambda r: (r[metric] is not None, r[metric] or 0.0, -r[cluster_col]))
+        assigned.append((best[cluster_col], seg.code, prio))
+        remaining = [r for r in remaining if r[cluster_col] != best[cluster_col]]
+    assigned += [(r[cluster_col], P.SEG_RETAIL_STABLE.code, len(ROLE_METRICS)) for r in remaining]
+    ctype = profile.schema[cluster_col].dataType.simpleString()
+    roles = profile.sparkSession.createDataFrame(assigned, f"{cluster_col} {ctype}, cluster_code string, prioridade int")
     return roles.join(F.broadcast(segments_frame(profile.sparkSession)), "cluster_code", "left").select(
         cluster_col, "cluster_code", "cluster_nome", "cluster_tag", "cluster_desc", "prioridade"
     )
@@ -213,10 +212,6 @@ def segment_labels(df: DataFrame, roles: DataFrame, cluster_col: str = "cluster_
     return df.join(F.broadcast(roles.drop("prioridade")), cluster_col, "left")
 
 
-def _one(df: DataFrame) -> DataFrame:
-    return df.withColumn("_one", F.lit(1))
-
-
 def cluster_summary(labelled: DataFrame, cluster_col: str = "cluster_raw") -> DataFrame:
     """Per cluster/role: size and share, revenue and share, margin, mean metrics (document rounding)."""
     keys = [cluster_col] + [c for c in ("cluster_nome", "cluster_code", "cluster_tag", "cluster_desc") if c in labelled.columns]
@@ -236,8 +231,8 @@ def cluster_summary(labelled: DataFrame, cluster_col: str = "cluster_raw") -> Da
         (X.dbl(F.sum("total_visitas")) / X.dbl(F.count("total_visitas"))).alias("_vis"),
         F.avg("taxa_conversao_visitas").alias("_conv"),
     )
-    tot = labelled.agg(F.count(F.lit(1)).alias("_n_all"), X.money_sum("receita_liquida").alias("_rec_all"))
-    j = _one(per).join(F.broadcast(_one(tot)), "_one")
+    tot = D.one_row(labelled.agg(F.count(F.lit(1)).alias("n"), X.money_sum("receita_liquida").alias("rec")))
+    j = per.withColumns({"_n_all": tot["n"], "_rec_all": tot["rec"]})
     return j.select(
         *keys,
         "total_clientes",
