@@ -62,5 +62,10 @@ def explode_domain(df: DataFrame, domain: Column, name: str) -> DataFrame:
 
 
 def one_row(df: DataFrame) -> Column:
-    """The single row of an aggregate as a struct value (scalar subquery, computed once)."""
+    """The single row of an aggregate as a struct value (scalar subquery).
+
+    Project it into ONE column (``withColumn("_x", one_row(agg))``) and read
+    its fields from that column: every separate use of the returned Column is
+    planned as its own subquery.
+    """
     return df.select(F.struct(*df.columns)).scalar()

@@ -157,12 +157,9 @@ def sorted_page(
     """
     start = (max(page, 1) - 1) * size
     rows = df.orderBy(sort_key(key, ascending), F.asc(id_col)).offset(start).limit(size)
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return rows.withColumns(
-        {
-            "total_linhas": total,
-            "total_paginas": F.greatest(F.lit(1).cast("long"), F.ceil(total / F.lit(size)).cast("long")),
-        }
+    rows = rows.withColumn("total_linhas", df.agg(F.count(F.lit(1))).scalar())
+    return rows.withColumn(
+        "total_paginas", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("total_linhas") / F.lit(size)).cast("long"))
     )
 
 

@@ -49,8 +49,8 @@ def scenario_sweep(
         # one base row per group: scenarios carry the group key (equi-join)
         j = scenarios.join(base, on=list(by), how="inner")
     else:
-        b = D.one_row(base)
-        j = scenarios.withColumns({c: b[c] for c in base.columns})
+        j = scenarios.withColumn("_base", D.one_row(base))
+        j = j.withColumns({c: F.col(f"_base.{c}") for c in base.columns}).drop("_base")
     g, r, m = X.dbl("base_bruta"), X.dbl("base_receita"), X.dbl("base_margem")
     lit = F.lit
     ganho_desc = g * (X.dbl("corte_desconto_pp") / lit(100.0))

@@ -58,13 +58,15 @@ def standardize(features: DataFrame, cols: Sequence[str] = FEATURES) -> DataFram
     One aggregation gives all means and population deviations (a single row),
     attached as a scalar subquery.
     """
-    st = D.one_row(
-        features.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
-    )
+    stats = features.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
+    j = features.withColumn("_st", D.one_row(stats))
     scaled = {
-        c: F.when(st[f"s_{c}"] > 0, (F.col(c) - st[f"m_{c}"]) / st[f"s_{c}"]).otherwise(F.lit(0.0)) for c in cols
+        c: F.when(F.col(f"_st.s_{c}") > 0, (F.col(c) - F.col(f"_st.m_{c}")) / F.col(f"_st.s_{c}")).otherwise(
+            F.lit(0.0)
+        )
+        for c in cols
     }
-    return features.withColumns(scaled)
+    return j.withColumns(scaled).drop("_st")
 
 
 def assemble(df: DataFrame, cols: Sequence[str] = FEATURES, out: str = "features") -> DataFrame:
@@ -231,8 +233,8 @@ def cluster_summary(labelled: DataFrame, cluster_col: str = "cluster_raw") -> Da
         (X.dbl(F.sum("total_visitas")) / X.dbl(F.count("total_visitas"))).alias("_vis"),
         F.avg("taxa_conversao_visitas").alias("_conv"),
     )
-    tot = D.one_row(labelled.agg(F.count(F.lit(1)).alias("n"), X.money_sum("receita_liquida").alias("rec")))
-    j = per.withColumns({"_n_all": tot["n"], "_rec_all": tot["rec"]})
+    tot = labelled.agg(F.count(F.lit(1)).alias("n"), X.money_sum("receita_liquida").alias("rec"))
+    j = per.withColumn("_tot", D.one_row(tot)).withColumns({"_n_all": F.col("_tot.n"), "_rec_all": F.col("_tot.rec")})
     return j.select(
         *keys,
         "total_clientes",
