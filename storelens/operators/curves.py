@@ -12,6 +12,8 @@ from ..functions import domains as D
 from ..functions import exprs as X
 from . import rollups as R
 
+OUT_OF_BANDS = "(fora das faixas)"  # internal group key of values outside every band
+
 
 def visit_duration_curve(
     visits: DataFrame,
@@ -68,19 +70,20 @@ def discount_margin_curve(
     labels: Sequence[str] = P.DISCOUNT_LABELS,
 ) -> DataFrame:
     """Lines by discount-rate band: lines, net, discount, margin, margin %; every band present."""
-    banded = sales.withColumn("faixa_desconto", X.band(X.discount_rate(), edges, labels))
-    # group first (rates outside every band form one NULL group) and drop that
-    # group afterwards: filtering on the band before the aggregate would push
-    # the whole band expression below the joins, evaluated once per branch
+    # Rates outside every band get a sentinel label instead of NULL: the key is
+    # then non-nullable, so no "band IS NOT NULL" filter is inferred and pushed
+    # through the aggregate into the scan (where it would re-evaluate the whole
+    # band expression per branch). The label grid below drops the sentinel.
+    key = F.coalesce(X.band(X.discount_rate(), edges, labels), F.lit(OUT_OF_BANDS))
     agg = (
-        banded.groupBy("faixa_desconto")
+        sales.withColumn("faixa_desconto", key)
+        .groupBy("faixa_desconto")
         .agg(
             F.count("pedido_id").alias("total_itens"),
             X.money_sum("receita_liquida").alias("receita_liquida"),
             X.money_sum("desconto").alias("desconto_total"),
             X.money_sum("margem_contribuicao").alias("margem_total"),
         )
-        .where(F.col("faixa_desconto").isNotNull())
     )
     grid = D.with_domain(sales.sparkSession.range(1), "faixa_desconto", list(labels)).select("faixa_desconto")
     zero = F.lit(0).cast("decimal(38,4)")
