@@ -1 +1,6 @@
+"""Streaming: intentionally empty.
 
+The reference is a single batch build plus a browser view of its output; it has
+no event streams, watermarks, event-time windows or stateful operators. Nothing
+is built here rather than inventing operators the reference does not have.
+"""
