@@ -2,9 +2,8 @@
 
 Scaffolds ("every client x every month", "every band x every visit type")
 are generated with ``explode`` over a literal array instead of a cross join.
-The literal list is either a fixed parameter (band labels) or a data-derived
-domain whose size is checked against an explicit bound before it is brought
-to the driver; beyond the bound the call fails loudly rather than truncating.
+The domain is either a fixed parameter (band labels) or a data-derived
+domain computed by a scalar subquery (no driver round-trip, no join).
 """
 
 from __future__ import annotations
@@ -14,22 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_DOMAIN_BOUND = 10_000
-
 
 def literal_array(values: Sequence) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def bounded_values(df: DataFrame, column: str, bound: int = DEFAULT_DOMAIN_BOUND, descending: bool = False) -> list:
-    """Sorted distinct non-null values of ``column``; raises if there are more than ``bound``."""
-    dom = df.select(column).where(F.col(column).isNotNull()).distinct()
-    rows = dom.limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"domain of {column!r} has more than {bound} values; raise the bound explicitly")
-    return sorted((r[0] for r in rows), reverse=descending)
-
-
 def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint only after the row count is proven <= ``max_rows``.
 

@@ -568,16 +568,21 @@ def q_standardize(spark, sf_dir):
     return round6(G.standardize(G.client_features(master(model(spark, sf_dir)))), G.FEATURES)
 
 
+def scaled_features(m: RetailModel) -> DataFrame:
+    # fitting and transforming both read the features: checkpoint them once
+    return cut_lineage(G.standardize(G.client_features(master(m))))
+
+
 @register("kmeans_segments")
 def q_kmeans_segments(spark, sf_dir):
-    scaled = G.standardize(G.client_features(master(model(spark, sf_dir))))
+    scaled = scaled_features(model(spark, sf_dir))
     labelled, _, _ = G.kmeans_segments(scaled)
     return labelled
 
 
 @register("pca_2d")
 def q_pca_2d(spark, sf_dir):
-    return G.pca_2d(G.standardize(G.client_features(master(model(spark, sf_dir)))))
+    return G.pca_2d(scaled_features(model(spark, sf_dir)))
 
 
 @register("segment_roles")
