@@ -36,14 +36,44 @@ class RetailModel:
     horizon: Horizon
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+# Columns of the test tables that the binding reads, with their parquet types.
+# Passing the schema skips footer-based schema inference on every read.
+TEST_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
 
 
-def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+class TestTables:
+    """Reads each test table at most once per binding (explicit schema, no inference)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self._cache = spark, sf_dir, {}
+
+    def __call__(self, name: str) -> DataFrame:
+        if name not in self._cache:
+            path = os.path.join(self.sf_dir, f"{name}.parquet")
+            schema = TEST_SCHEMAS.get(name)
+            reader = self.spark.read.schema(schema) if schema else self.spark.read
+            self._cache[name] = reader.parquet(path)
+        return self._cache[name]
+
+
+def _tables(spark: SparkSession, sf_dir: str, tables: TestTables | None) -> TestTables:
+    return tables if tables is not None else TestTables(spark, sf_dir)
+
+
+def _geo(t: TestTables) -> DataFrame:
     # nation (25 rows) and region (5 rows) are fixed-size dimensions.
-    nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    region = _read(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    nation = t("nation").select("n_nationkey", "n_name", "n_regionkey")
+    region = t("region").select("r_regionkey", "r_name")
     return nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey, "left").select(
         "n_nationkey", "n_name", "r_name"
     )
@@ -53,17 +83,18 @@ def ntz(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
 
-def bind_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bind_sales(spark: SparkSession, sf_dir: str, tables: TestTables | None = None) -> DataFrame:
     """Order lines of the horizon, all statuses (``billed_sales`` filters them)."""
-    li = _read(spark, sf_dir, "lineitem").select(
+    t = _tables(spark, sf_dir, tables)
+    li = t("lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
     )
     orders = (
-        _read(spark, sf_dir, "orders")
+        t("orders")
         .select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
         .where((F.col("o_orderdate") >= ntz(TEST_HORIZON_START)) & (F.col("o_orderdate") < ntz(TEST_HORIZON_END)))
     )
-    part = _read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    part = t("part").select("p_partkey", "p_size")
     gross = F.col("l_extendedprice").cast("decimal(18,2)")
     disc = gross * F.col("l_discount").cast("decimal(4,2)")
     cost = gross * (F.lit(0.70).cast("decimal(4,2)") + F.col("l_tax").cast("decimal(4,2)"))  # stand-in
@@ -88,9 +119,10 @@ def bind_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bind_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cust = _read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
-    geo = _geo(spark, sf_dir)
+def bind_clients(spark: SparkSession, sf_dir: str, tables: TestTables | None = None) -> DataFrame:
+    t = _tables(spark, sf_dir, tables)
+    cust = t("customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    geo = _geo(t)
     bal = F.col("c_acctbal")
     return cust.join(F.broadcast(geo), cust.c_nationkey == geo.n_nationkey, "left").select(
         F.col("c_custkey").alias("cliente_id"),
@@ -109,8 +141,9 @@ def bind_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bind_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+def bind_products(spark: SparkSession, sf_dir: str, tables: TestTables | None = None) -> DataFrame:
+    t = _tables(spark, sf_dir, tables)
+    part = t("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
     return part.select(
         F.col("p_partkey").alias("sku_id"),
         F.col("p_name").alias("sku_nome"),
@@ -126,9 +159,10 @@ def bind_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bind_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    supp = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
-    geo = _geo(spark, sf_dir)
+def bind_sellers(spark: SparkSession, sf_dir: str, tables: TestTables | None = None) -> DataFrame:
+    t = _tables(spark, sf_dir, tables)
+    supp = t("supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    geo = _geo(t)
     k = F.col("s_suppkey")
     return supp.join(F.broadcast(geo), supp.s_nationkey == geo.n_nationkey, "left").select(
         k.alias("vendedor_id"),
@@ -144,8 +178,9 @@ def bind_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bind_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+def bind_visits(spark: SparkSession, sf_dir: str, tables: TestTables | None = None) -> DataFrame:
+    t = _tables(spark, sf_dir, tables)
+    ev = t("events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     k = F.get_json_object("props", "$.k").cast("int")
     return ev.select(
         F.col("event_id").alias("visita_id"),
@@ -161,10 +196,11 @@ def bind_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bind_potential(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bind_potential(spark: SparkSession, sf_dir: str, tables: TestTables | None = None) -> DataFrame:
     """One row per (nation, segment): 20 x the sum of positive balances (stand-in)."""
-    cust = _read(spark, sf_dir, "customer").select("c_nationkey", "c_acctbal", "c_mktsegment")
-    nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    t = _tables(spark, sf_dir, tables)
+    cust = t("customer").select("c_nationkey", "c_acctbal", "c_mktsegment")
+    nation = t("nation").select("n_nationkey", "n_name")
     pos = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal").cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)"))
     return (
         cust.join(F.broadcast(nation), cust.c_nationkey == nation.n_nationkey, "left")
@@ -180,12 +216,13 @@ def bind_potential(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bind_test_tables(spark: SparkSession, sf_dir: str) -> RetailModel:
+    t = TestTables(spark, sf_dir)
     return RetailModel(
-        clients=bind_clients(spark, sf_dir),
-        products=bind_products(spark, sf_dir),
-        sellers=bind_sellers(spark, sf_dir),
-        sales=bind_sales(spark, sf_dir),
-        visits=bind_visits(spark, sf_dir),
-        potential=bind_potential(spark, sf_dir),
+        clients=bind_clients(spark, sf_dir, t),
+        products=bind_products(spark, sf_dir, t),
+        sellers=bind_sellers(spark, sf_dir, t),
+        sales=bind_sales(spark, sf_dir, t),
+        visits=bind_visits(spark, sf_dir, t),
+        potential=bind_potential(spark, sf_dir, t),
         horizon=TEST_HORIZON,
     )
