@@ -41,6 +41,17 @@ def sales_with_client_geo(sales: DataFrame, clients: DataFrame) -> DataFrame:
     return sales.join(geo, "cliente_id", "left")
 
 
+def client_sku_month(sales: DataFrame) -> DataFrame:
+    """Net revenue per (client, SKU, month).
+
+    The shared pre-aggregate of the per-client history sections (top SKUs,
+    category mix, sparkline): each sums net revenue at a coarser grain, so
+    they can all read this instead of the line-level fact. Sums are exact
+    decimals, so re-aggregating it gives the same values.
+    """
+    return sales.groupBy("cliente_id", "sku_id", "mes_ref").agg(X.money_sum("receita_liquida").alias("receita_liquida"))
+
+
 def _client_sales_aggs() -> list:
     return [
         X.money_sum("receita_bruta").alias("receita_bruta"),

@@ -28,35 +28,28 @@ from ..operators import masters as M
 from ..operators import ranking as K
 from ..operators import rollups as R
 from ..operators import segmentation as G
-from ..session import shared_path
+from ..session import cut_lineage, write_shared
 from ..sources import sinks
 from ..sources.binding import RetailModel, bind_test_tables
 from .output import as_output
 
 
-def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as parquet under the shared checkpoint folder and read it back."""
-    path = shared_path(df.sparkSession, name)
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def build_sections(m: RetailModel, restarts: int = P.KMEANS_RESTARTS, k: int = P.N_CLUSTERS) -> dict[str, DataFrame]:
     hz = m.horizon
-    billed = materialise(R.billed_sales(m.sales, hz.billed_status), "billed", partition_by="mes_ref")
-    master = materialise(M.client_master(m.clients, billed, m.products, m.visits, m.potential, hz), "client_master")
+    billed = write_shared(R.billed_sales(m.sales, hz.billed_status), "billed", partition_by="mes_ref")
+    master = write_shared(M.client_master(m.clients, billed, m.products, m.visits, m.potential, hz), "client_master")
 
     scaled = G.standardize(G.client_features(master))
     labels, _, _ = G.kmeans_segments(scaled, k=k, restarts=restarts)
     coords = G.pca_2d(scaled)
-    lm = materialise(master.join(labels, "cliente_id", "left").join(coords, "cliente_id", "left"), "client_segmented")
+    lm = write_shared(master.join(labels, "cliente_id", "left").join(coords, "cliente_id", "left"), "client_segmented")
     roles = G.segment_roles(G.cluster_profile(lm))
     labelled = G.segment_labels(lm, roles)
 
     swp = R.sales_with_product(billed, m.products)
+    # top SKUs, category mix and sparkline all sum net revenue at a grain
+    # coarser than (client, SKU, month): aggregate the fact to it once
+    hist = cut_lineage(R.client_sku_month(billed))
     seller = M.seller_master(m.sellers, billed, m.visits, hz)
     skus = K.abc_curve(M.sku_master(m.products, billed, hz))
     summary = G.cluster_summary(labelled)
@@ -67,9 +60,9 @@ def build_sections(m: RetailModel, restarts: int = P.KMEANS_RESTARTS, k: int = P
         "clusters_distribuicoes": G.distributions_nested(dist),
         "clusters_radar": G.radar_scores(summary),
         "clientes": M.client_record(labelled, hz.years),
-        "clientes_sparklines": K.sparkline_nested(K.client_sparkline(m.clients, billed)),
-        "clientes_mix": K.mix_nested(K.client_category_mix(m.clients, swp, m.products)),
-        "clientes_top_skus": K.top_skus_nested(K.client_top_skus(billed)),
+        "clientes_sparklines": K.sparkline_nested(K.client_sparkline(m.clients, hist)),
+        "clientes_mix": K.mix_nested(K.client_category_mix(m.clients, R.sales_with_product(hist, m.products), m.products)),
+        "clientes_top_skus": K.top_skus_nested(K.client_top_skus(hist)),
         "vendedores": M.seller_record(seller),
         "produtos": M.sku_record(skus),
         "cross_sell": C.category_cooccurrence(swp).withColumn("pct", X.round_half_up("pct", 1)),

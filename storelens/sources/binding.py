@@ -11,8 +11,6 @@ on ``o_orderdate``, the billed status) down to the scans.
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,15 +23,41 @@ TEST_HORIZON_END = "2001-01-01"  # exclusive
 TEST_HORIZON = Horizon(billed_status="F", reference_date="2000-12-31", years=(1999, 2000), months=24)
 
 
-@dataclass
 class RetailModel:
-    clients: DataFrame
-    products: DataFrame
-    sellers: DataFrame
-    sales: DataFrame
-    visits: DataFrame
-    potential: DataFrame
-    horizon: Horizon
+    """The six model tables plus the horizon.
+
+    Each table is given either as a DataFrame or as a zero-argument builder;
+    a builder runs on first access, so a query only plans the tables it reads.
+    """
+
+    TABLES = ("clients", "products", "sellers", "sales", "visits", "potential")
+
+    def __init__(self, horizon: Horizon, **tables):
+        unknown = set(tables) - set(self.TABLES)
+        if unknown:
+            raise TypeError(f"unknown model tables: {sorted(unknown)}")
+        self.horizon = horizon
+        self._given = tables
+        self._built: dict[str, DataFrame] = {}
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self._built:
+            src = self._given[name]
+            self._built[name] = src if isinstance(src, DataFrame) else src()
+        return self._built[name]
+
+    def replace(self, **tables) -> "RetailModel":
+        """The same model with some tables swapped (e.g. a written billed fact as ``sales``)."""
+        given = {n: self._built.get(n, self._given[n]) for n in self.TABLES}
+        given.update(tables)
+        return RetailModel(self.horizon, **given)
+
+    clients = property(lambda self: self.table("clients"))
+    products = property(lambda self: self.table("products"))
+    sellers = property(lambda self: self.table("sellers"))
+    sales = property(lambda self: self.table("sales"))
+    visits = property(lambda self: self.table("visits"))
+    potential = property(lambda self: self.table("potential"))
 
 
 # Columns of the test tables that the binding reads, with their parquet types.
@@ -218,11 +242,11 @@ def bind_potential(spark: SparkSession, sf_dir: str, tables: TestTables | None =
 def bind_test_tables(spark: SparkSession, sf_dir: str) -> RetailModel:
     t = TestTables(spark, sf_dir)
     return RetailModel(
-        clients=bind_clients(spark, sf_dir, t),
-        products=bind_products(spark, sf_dir, t),
-        sellers=bind_sellers(spark, sf_dir, t),
-        sales=bind_sales(spark, sf_dir, t),
-        visits=bind_visits(spark, sf_dir, t),
-        potential=bind_potential(spark, sf_dir, t),
-        horizon=TEST_HORIZON,
+        TEST_HORIZON,
+        clients=lambda: bind_clients(spark, sf_dir, t),
+        products=lambda: bind_products(spark, sf_dir, t),
+        sellers=lambda: bind_sellers(spark, sf_dir, t),
+        sales=lambda: bind_sales(spark, sf_dir, t),
+        visits=lambda: bind_visits(spark, sf_dir, t),
+        potential=lambda: bind_potential(spark, sf_dir, t),
     )
