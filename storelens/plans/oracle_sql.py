@@ -13,19 +13,18 @@ BINDING = """
 WITH
 sales_raw AS (
   SELECT o.o_orderkey, o.o_custkey, l.l_suppkey, l.l_partkey, o.o_orderdate, o.o_orderstatus,
-         l.l_quantity, p.p_size,
+         l.l_quantity, l.l_linenumber,
          CAST(l.l_extendedprice AS DECIMAL(18,2)) AS g,
          CAST(l.l_extendedprice AS DECIMAL(18,2)) * CAST(l.l_discount AS DECIMAL(4,2)) AS d,
          CAST(l.l_extendedprice AS DECIMAL(18,2)) * (CAST(0.70 AS DECIMAL(4,2)) + CAST(l.l_tax AS DECIMAL(4,2))) AS c
   FROM lineitem l
   JOIN orders o ON l.l_orderkey = o.o_orderkey
-  LEFT JOIN part p ON l.l_partkey = p.p_partkey
   WHERE o.o_orderdate >= TIMESTAMP '1999-01-01' AND o.o_orderdate < TIMESTAMP '2001-01-01'
 ),
 sales AS (
   SELECT o_orderkey AS pedido_id, o_custkey AS cliente_id, l_suppkey AS vendedor_id, l_partkey AS sku_id,
          o_orderdate AS data_pedido, strftime(o_orderdate, '%Y-%m') AS mes_ref, o_orderstatus AS status_pedido,
-         l_quantity AS quantidade, l_quantity * p_size AS volume_kg,
+         l_quantity AS quantidade, l_quantity * l_linenumber AS volume_kg,
          g AS receita_bruta, d AS desconto, g - d AS receita_liquida, c AS custo_total, g - d - c AS margem_contribuicao
   FROM sales_raw
 ),
