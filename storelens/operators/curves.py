@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import domains as D
 from ..functions import exprs as X
+from ..session import cut_lineage
 from . import rollups as R
 
 OUT_OF_BANDS = "(fora das faixas)"  # internal group key of values outside every band
@@ -129,30 +131,63 @@ def geo_performance(
     return out.withColumn("share_pct", X.safe_ratio("receita_liquida", "potencial_total"))
 
 
-def category_cooccurrence(sales_with_prod: DataFrame) -> DataFrame:
+COOC_CHUNK = 256  # category columns per aggregation pass
+MAX_CATEGORY_DOMAIN = 100_000  # catalogue categories named on the driver (dimension metadata)
+
+
+def category_domain(df: DataFrame, col: str = "categoria") -> list[str]:
+    """The sorted distinct categories of a dimension table, size-checked before they reach the driver."""
+    rows = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(MAX_CATEGORY_DOMAIN + 1).collect()
+    if len(rows) > MAX_CATEGORY_DOMAIN:
+        raise ValueError(f"more than {MAX_CATEGORY_DOMAIN} categories")
+    return [r[0] for r in rows]
+
+
+def category_cooccurrence(
+    sales_with_prod: DataFrame, categories: DataFrame | None = None, chunk: int = COOC_CHUNK
+) -> DataFrame:
     """For each ordered category pair (base, other): orders holding both, orders holding base, % of base.
 
-    One shuffle on the order key builds each order's category set (partial
-    ``collect_set`` map side, so a huge order is pre-merged per task). Pairs per
-    order are bounded by the square of the category domain. The grid covers
-    every category seen in an order, so pairs that never co-occur show 0; the
-    diagonal is 100.
+    No pairs are emitted. One shuffle on the order key builds each order's
+    category set (partial ``collect_set`` map side, so a huge order is
+    pre-merged per task). Each order then gives one row per category it holds
+    (the base), carrying its set, and one aggregation by base counts, for
+    every category of the domain, the orders whose set contains it: one
+    conditional count per category, combined map side, so the shuffle carries
+    at most one row per base and task. The wide counts are unpivoted to the
+    long form; categories never sold are dropped by a window per ``other``.
+    The grid is every sold category x every sold category (0 where two never
+    meet); the diagonal is 100.
+
+    ``categories`` names the domain (the catalogue, column ``categoria``) and
+    must cover every category of ``sales_with_prod``; by default it is read
+    from ``sales_with_prod`` itself. Past ``chunk`` categories, the per-order
+    sets are checkpointed once and the columns are counted in passes of
+    ``chunk``, so the result stays exact for any domain size.
     """
     per_order = (
         sales_with_prod.where(F.col("pedido_id").isNotNull() & F.col("categoria").isNotNull())
         .groupBy("pedido_id")
         .agg(F.collect_set("categoria").alias("cats"))
     )
-    pairs = per_order.select(F.explode("cats").alias("base"), "cats").select(
-        "base", F.explode("cats").alias("other")
-    )
-    counts = pairs.groupBy("base", "other").agg(F.count(F.lit(1)).alias("n_pedidos_ambos"))
-    base_n = counts.where(F.col("base") == F.col("other")).select(
-        "base", F.col("n_pedidos_ambos").alias("n_pedidos_base")
-    )
-    grid = D.explode_domain(base_n.select("base"), D.domain_array(base_n, "base"), "other")
-    out = grid.join(counts, ["base", "other"], "left").join(base_n, "base", "left")
-    out = out.withColumn("n_pedidos_ambos", F.coalesce("n_pedidos_ambos", F.lit(0).cast("long")))
+    by_base = per_order.select(F.explode("cats").alias("base"), "cats")
+    domain = category_domain(categories if categories is not None else sales_with_prod)
+    if len(domain) > chunk:
+        by_base = cut_lineage(by_base)
+    parts = []
+    for start in range(0, max(len(domain), 1), chunk):
+        names = domain[start : start + chunk]
+        wide = by_base.groupBy("base").agg(
+            F.count(F.lit(1)).alias("n_pedidos_base"),
+            *[X.count_if(F.array_contains("cats", F.lit(c))).alias(f"_n{i}") for i, c in enumerate(names)],
+        )
+        cells = F.array(
+            *[F.struct(F.lit(c).alias("other"), F.col(f"_n{i}").alias("n_pedidos_ambos")) for i, c in enumerate(names)]
+        ) if names else F.array().cast("array<struct<other:string,n_pedidos_ambos:bigint>>")
+        parts.append(wide.select("base", "n_pedidos_base", F.inline(cells)))
+    long = reduce(DataFrame.unionByName, parts)
+    sold = F.max("n_pedidos_ambos").over(Window.partitionBy("other")) > 0
+    out = long.withColumn("_sold", sold).where(F.col("_sold"))
     return out.select(
         "base",
         "other",

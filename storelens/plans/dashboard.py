@@ -65,7 +65,7 @@ def build_sections(m: RetailModel, restarts: int = P.KMEANS_RESTARTS, k: int = P
         "clientes_top_skus": K.top_skus_nested(K.client_top_skus(hist)),
         "vendedores": M.seller_record(seller),
         "produtos": M.sku_record(skus),
-        "cross_sell": C.category_cooccurrence(swp).withColumn("pct", X.round_half_up("pct", 1)),
+        "cross_sell": C.category_cooccurrence(swp, m.products).withColumn("pct", X.round_half_up("pct", 1)),
         "temporal": R.monthly_trend(billed),
         "visitas_padroes": C.visit_duration_curve(m.visits),
         "desconto_curva": C.discount_margin_curve(billed),

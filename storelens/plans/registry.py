@@ -372,7 +372,7 @@ def q_geo_performance(spark, sf_dir):
 @register("category_cooccurrence")
 def q_category_cooccurrence(spark, sf_dir):
     m = model(spark, sf_dir)
-    return C.category_cooccurrence(R.sales_with_product(billed(m), m.products))
+    return C.category_cooccurrence(R.sales_with_product(billed(m), m.products), m.products)
 
 
 @register("kpis_global")
