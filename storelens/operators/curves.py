@@ -25,26 +25,29 @@ def visit_duration_curve(
     """Visits per duration band x visit type: total, converted, conversion; full grid incl. empty cells.
 
     Bands are right-closed, so a duration of 0 or above the last edge falls
-    out. The grid is every band label x every observed visit type, generated
-    by exploding the (fixed) label list over the distinct types.
+    out. The band labels are a fixed list, so one aggregation per visit type
+    counts every band (total and converted) as conditional counts, and the
+    counts are unpivoted to (band, type): one scan of the visits, no grid join,
+    and every band x every observed visit type is present (empty cells are 0).
     """
-    banded = visits.withColumn("duracao_faixa", X.band("duracao_min", edges, labels))
-    cells = (
-        banded.groupBy("duracao_faixa", "tipo_visita")
-        .agg(
-            F.count("visita_id").alias("total"),
-            X.count_if(F.col("resultado_visita") == P.VISIT_CONVERTED).alias("com_pedido"),
-        )
-        .where(F.col("duracao_faixa").isNotNull() & F.col("tipo_visita").isNotNull())
+    banded = visits.where(F.col("tipo_visita").isNotNull()).withColumn(
+        "_faixa", X.band("duracao_min", edges, labels)
     )
-    types = visits.select("tipo_visita").where(F.col("tipo_visita").isNotNull()).distinct()
-    grid = D.with_domain(types, "duracao_faixa", list(labels))
-    out = grid.join(cells, ["duracao_faixa", "tipo_visita"], "left").select(
-        "duracao_faixa",
-        "tipo_visita",
-        F.coalesce("total", F.lit(0).cast("long")).alias("total"),
-        F.coalesce("com_pedido", F.lit(0).cast("long")).alias("com_pedido"),
+    converted = F.col("resultado_visita") == P.VISIT_CONVERTED
+    in_band = [F.col("_faixa") == F.lit(lab) for lab in labels]
+    per_type = banded.groupBy("tipo_visita").agg(
+        *[X.count_if(c & F.col("visita_id").isNotNull()).alias(f"_t{i}") for i, c in enumerate(in_band)],
+        *[X.count_if(c & converted).alias(f"_c{i}") for i, c in enumerate(in_band)],
+    )
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(lab).alias("duracao_faixa"), F.col(f"_t{i}").alias("total"), F.col(f"_c{i}").alias("com_pedido")
+            )
+            for i, lab in enumerate(labels)
+        ]
     )
+    out = per_type.select("tipo_visita", F.inline(cells)).select("duracao_faixa", "tipo_visita", "total", "com_pedido")
     return out.withColumn("taxa_conversao", X.ratio_nonzero_den("com_pedido", "total"))
 
 

@@ -87,13 +87,13 @@ def recent_months(sales: DataFrame, n: int = P.SPARKLINE_MONTHS) -> DataFrame:
 
 def client_sparkline(clients: DataFrame, sales: DataFrame, n: int = P.SPARKLINE_MONTHS) -> DataFrame:
     """Net revenue per client for each of the last ``n`` months; every client present, zeros filled (long form)."""
-    months = recent_months(sales, n)  # at most n rows
-    per = (
-        sales.join(F.broadcast(months), "mes_ref", "left_semi")
-        .where(F.col("cliente_id").isNotNull())
-        .groupBy("cliente_id", "mes_ref")
-        .agg(X.money_sum("receita_liquida").alias("receita_liquida"))
+    # one pass over the fact: net per (client, month), written once; the
+    # month domain and the values are both read from it
+    by_month = cut_lineage(
+        sales.groupBy("cliente_id", "mes_ref").agg(X.money_sum("receita_liquida").alias("receita_liquida"))
     )
+    months = recent_months(by_month, n)  # at most n rows
+    per = by_month.join(F.broadcast(months), "mes_ref", "left_semi").where(F.col("cliente_id").isNotNull())
     grid = D.explode_domain(clients.select("cliente_id"), D.domain_array(months, "mes_ref"), "mes_ref")
     out = grid.join(per, ["cliente_id", "mes_ref"], "left")
     return out.withColumn("receita_liquida", F.coalesce("receita_liquida", F.lit(0).cast("decimal(38,4)")))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions import domains as D
 from ..functions import exprs as X
+from ..session import cut_lineage
 
 FEATURES = (
     "log_receita",
@@ -56,8 +57,10 @@ def standardize(features: DataFrame, cols: Sequence[str] = FEATURES) -> DataFram
     """Zero mean, unit population variance per column; a constant column becomes 0.
 
     One aggregation gives all means and population deviations (a single row),
-    attached as a scalar subquery.
+    attached as a scalar subquery. The features are read twice (statistics,
+    then scaling), so they are checkpointed once instead of recomputed.
     """
+    features = cut_lineage(features)
     stats = features.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
     j = features.withColumn("_st", D.one_row(stats))
     scaled = {

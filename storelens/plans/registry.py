@@ -573,8 +573,9 @@ def q_standardize(spark, sf_dir):
 
 
 def scaled_features(m: RetailModel) -> DataFrame:
-    # fitting and transforming both read the features: checkpoint them once
-    return cut_lineage(G.standardize(G.client_features(master(m))))
+    # standardize checkpoints the features it reads twice; fitting and
+    # transforming then re-read that checkpoint, not the master
+    return G.standardize(G.client_features(master(m)))
 
 
 @register("kmeans_segments")
