@@ -33,15 +33,21 @@ def with_domain(df: DataFrame, name: str, values: Sequence) -> DataFrame:
     return df.withColumn(name, F.explode(literal_array(values)))
 
 
-def domain_array(df: DataFrame, column: str) -> Column:
+MAX_DOMAIN_VALUES = 100_000
+
+
+def domain_array(df: DataFrame, column: str, max_values: int = MAX_DOMAIN_VALUES) -> Column:
     """The sorted distinct non-null values of ``column`` as one array value.
 
-    A scalar subquery: computed once, lazily (no driver round-trip, no join);
-    its size is the domain's, so use it only for bounded domains (categories,
-    months, clusters).
+    A scalar subquery: computed once, lazily (no extra job, no join). Its size
+    is the domain's, so it is for bounded domains (categories, months,
+    clusters): at most ``max_values + 1`` distinct values are gathered, and
+    more than ``max_values`` fails the query instead of growing the array.
     """
-    vals = df.select(column).where(F.col(column).isNotNull()).distinct()
-    return vals.agg(F.array_sort(F.collect_list(column))).scalar()
+    vals = df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_values + 1)
+    arr = F.array_sort(F.collect_list(column))
+    too_many = F.raise_error(F.lit(f"domain of {column} has more than {max_values} values"))
+    return vals.agg(F.when(F.size(arr) <= max_values, arr).otherwise(too_many)).scalar()
 
 
 def explode_domain(df: DataFrame, domain: Column, name: str) -> DataFrame:

@@ -178,8 +178,15 @@ def crosstab_counts(df: DataFrame, row: str, col: str, col_values: Sequence, pre
 
 
 def count_by(df: DataFrame, col: str, domain: Sequence | None = None, name: str = "n") -> DataFrame:
-    """Rows per value of ``col``; with a domain, every domain value is present (absent → 0)."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias(name))
+    """Rows per value of ``col``; with a domain, every domain value is present (absent → 0).
+
+    With a domain, only its values are counted, so the broadcast counts have at
+    most one row per domain value.
+    """
+    rows = df.where(F.col(col).isNotNull())
+    if domain is not None:
+        rows = rows.where(F.col(col).isin(list(domain)))
+    counts = rows.groupBy(col).agg(F.count(F.lit(1)).alias(name))
     if domain is None:
         return counts
     grid = D.with_domain(df.sparkSession.range(1), col, list(domain)).select(col)

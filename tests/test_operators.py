@@ -3,6 +3,8 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -182,3 +184,16 @@ def test_branches_are_reached(model_mid):
     g = {r[0] for r in master.select(F.when(F.col("crescimento_yoy") == 1.0, "new").when(F.col("crescimento_yoy") == 0, "none").when(F.col("crescimento_yoy") == -1.0, "lost").otherwise("both")).distinct().collect()}
     assert g == {"new", "none", "lost", "both"}
     assert master.where(F.col("recencia_dias") == 999).count() == 1500 - 966
+
+
+def test_domain_array_is_bounded(spark):
+    from pyspark.errors import PySparkException
+    from py4j.protocol import Py4JJavaError
+
+    from storelens.functions import domains as D
+
+    df = spark.range(10).selectExpr("cast(id % 4 as string) as c")
+    got = spark.range(1).withColumn("d", D.domain_array(df, "c")).collect()[0].d
+    assert got == ["0", "1", "2", "3"]
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        spark.range(1).withColumn("d", D.domain_array(df, "c", max_values=3)).collect()
