@@ -16,6 +16,7 @@ Usage: ``python -m storelens.plans.dashboard <sf_dir> <out_dir> [--restarts N]``
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,7 @@ from ..operators import masters as M
 from ..operators import ranking as K
 from ..operators import rollups as R
 from ..operators import segmentation as G
-from ..session import cut_lineage, write_shared
+from ..session import apply_unset, cut_lineage, scale_conf, write_shared
 from ..sources import sinks
 from ..sources.binding import RetailModel, bind_test_tables
 from .output import as_output
@@ -36,7 +37,9 @@ from .output import as_output
 
 def build_sections(m: RetailModel, restarts: int = P.KMEANS_RESTARTS, k: int = P.N_CLUSTERS) -> dict[str, DataFrame]:
     hz = m.horizon
-    billed = write_shared(R.billed_sales(m.sales, hz.billed_status), "billed", partition_by="mes_ref")
+    # unpartitioned: every section reads all months, and a month partitioning
+    # would make each writing task emit up to one file per month
+    billed = write_shared(R.billed_sales(m.sales, hz.billed_status), "billed")
     master = write_shared(M.client_master(m.clients, billed, m.products, m.visits, m.potential, hz), "client_master")
 
     scaled = G.standardize(G.client_features(master))
@@ -88,10 +91,17 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("out_dir")
     ap.add_argument("--restarts", type=int, default=P.KMEANS_RESTARTS)
     ap.add_argument("--cpus", default="*")
+    ap.add_argument("--input-bytes", type=int, help="input size for partition sizing (default: measured if local)")
     a = ap.parse_args(argv)
     from ..session import local_session
 
     spark = local_session(a.cpus)
+    # partition sizing from the input size, for keys the session leaves unset
+    size = a.input_bytes
+    if size is None and os.path.isdir(a.sf_dir):
+        size = sum(os.path.getsize(os.path.join(r, f)) for r, _, files in os.walk(a.sf_dir) for f in files)
+    if size:
+        apply_unset(spark, scale_conf(size))
     for name, path in build(spark, a.sf_dir, a.out_dir, a.restarts).items():
         print(f"{name}\t{path}")
     spark.stop()

@@ -18,6 +18,37 @@ LIBRARY_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20, max_shuffle_partitions: int = 200_000) -> dict[str, str]:
+    """Partition sizing for a run over ``input_bytes`` of parquet (e.g. about 100 TB of order lines).
+
+    Scan splits and post-shuffle partitions target ``partition_bytes``, so a
+    task's input fits in executor memory without spilling. The initial shuffle
+    partition count follows the input size (capped); AQE then coalesces small
+    partitions to the advisory size and splits a skewed partition (a hot
+    client, SKU or order) beyond ``4 x partition_bytes`` into map-range slices.
+    Auto-broadcast stays at a fixed, small size: only dimension-sized sides
+    qualify, whatever the input.
+    """
+    parts = max(200, min(max_shuffle_partitions, -(-input_bytes // partition_bytes)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
+def apply_unset(spark: SparkSession, conf: dict[str, str]) -> dict[str, str]:
+    """Set each key the session does not set explicitly (the cluster's own settings win)."""
+    explicit = dict(spark.sparkContext.getConf().getAll())
+    applied = {k: v for k, v in conf.items() if k not in explicit}
+    for k, v in applied.items():
+        spark.conf.set(k, v)
+    return applied
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "storelens") -> SparkSession:
     """A local session for tests and the benchmark (the cluster brings its own)."""
     builder = (

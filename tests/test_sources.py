@@ -56,3 +56,23 @@ def test_json_sections(spark, model_small):
     paths = sinks.write_sections({"temporal": trend}, base)
     back = spark.read.json(paths["temporal"])
     assert back.count() == trend.count() == 24
+
+
+def test_scale_conf_sizes_partitions_from_input():
+    from storelens.session import scale_conf
+
+    small = scale_conf(10 << 20)
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    big = scale_conf(100 * 10**12)
+    assert int(big["spark.sql.shuffle.partitions"]) == 200_000
+    assert big["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
+    assert int(big["spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"]) == 4 * (256 << 20)
+
+
+def test_apply_unset_keeps_explicit_settings(spark):
+    from storelens.session import apply_unset
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")  # set explicitly by the test session
+    applied = apply_unset(spark, {"spark.sql.shuffle.partitions": "999"})
+    assert "spark.sql.shuffle.partitions" not in applied
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
