@@ -71,8 +71,10 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (tests, a bare local session) a fresh folder is created for it.
+    Reads ``spark.checkpoint.dir`` from the session. Only a local session
+    (tests, the bench) without it gets a fresh folder of its own; on a cluster
+    a machine-local folder would not survive the loss of an executor, so an
+    unset setting is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -80,6 +82,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (lineage is cut by writing there)")
         configured = tempfile.mkdtemp(prefix="storelens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
