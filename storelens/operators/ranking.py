@@ -85,6 +85,24 @@ def recent_months(sales: DataFrame, n: int = P.SPARKLINE_MONTHS) -> DataFrame:
     return sales.select("mes_ref").where(F.col("mes_ref").isNotNull()).distinct().orderBy(F.desc("mes_ref")).limit(n)
 
 
+def _values_by_key(per: DataFrame, key: str) -> DataFrame:
+    """``cliente_id, _m: map<key, receita_liquida>`` (one entry per key the client has, at most the domain)."""
+    return per.groupBy("cliente_id").agg(F.map_from_entries(F.collect_list(F.struct(key, "receita_liquida"))).alias("_m"))
+
+
+def _scaffold(clients: DataFrame, per_client: DataFrame, domain, key: str) -> DataFrame:
+    """Every client x every domain value with its net (0 where absent).
+
+    The clients are joined to their per-client maps on the client key alone,
+    and the domain is exploded after that join: only one row per client is
+    shuffled, never the clients x domain scaffold.
+    """
+    base = clients.select("cliente_id").join(per_client, "cliente_id", "left")
+    out = base.select("cliente_id", F.explode(domain).alias(key), "_m")
+    net = F.coalesce(F.try_element_at("_m", F.col(key)), F.lit(0).cast("decimal(38,4)"))
+    return out.select("cliente_id", key, net.alias("receita_liquida"), "_m")
+
+
 def client_sparkline(clients: DataFrame, sales: DataFrame, n: int = P.SPARKLINE_MONTHS) -> DataFrame:
     """Net revenue per client for each of the last ``n`` months; every client present, zeros filled (long form)."""
     # one pass over the fact: net per (client, month), written once; the
@@ -94,9 +112,8 @@ def client_sparkline(clients: DataFrame, sales: DataFrame, n: int = P.SPARKLINE_
     )
     months = recent_months(by_month, n)  # at most n rows
     per = by_month.join(F.broadcast(months), "mes_ref", "left_semi").where(F.col("cliente_id").isNotNull())
-    grid = D.explode_domain(clients.select("cliente_id"), D.domain_array(months, "mes_ref"), "mes_ref")
-    out = grid.join(per, ["cliente_id", "mes_ref"], "left")
-    return out.withColumn("receita_liquida", F.coalesce("receita_liquida", F.lit(0).cast("decimal(38,4)")))
+    out = _scaffold(clients, _values_by_key(per, "mes_ref"), D.domain_array(months, "mes_ref"), "mes_ref")
+    return out.drop("_m")
 
 
 def sparkline_nested(long: DataFrame, digits: int = 1) -> DataFrame:
@@ -119,15 +136,17 @@ def client_category_mix(clients: DataFrame, sales_with_prod: DataFrame, products
         .groupBy("cliente_id", "categoria")
         .agg(X.money_sum("receita_liquida").alias("receita_liquida"))
     )
-    grid = D.explode_domain(clients.select("cliente_id"), D.domain_array(products, "categoria"), "categoria")
-    out = grid.join(per, ["cliente_id", "categoria"], "left")
-    out = out.withColumn("receita_liquida", F.coalesce("receita_liquida", F.lit(0).cast("decimal(38,4)")))
-    top = F.greatest(F.max("receita_liquida").over(Window.partitionBy("cliente_id")), F.lit(100).cast("decimal(38,4)"))
-    return out.withColumns(
-        {
-            "barra_pct": F.least(F.lit(100.0), X.dbl("receita_liquida") / X.dbl(top) * F.lit(100.0)),
-            "comprado": F.col("receita_liquida") > 0,
-        }
+    out = _scaffold(clients, _values_by_key(per, "categoria"), D.domain_array(products, "categoria"), "categoria")
+    # the client's largest value (absent categories count as 0), at least 100
+    top = F.greatest(
+        F.coalesce(F.array_max(F.map_values("_m")), F.lit(0).cast("decimal(38,4)")), F.lit(100).cast("decimal(38,4)")
+    )
+    return out.select(
+        "cliente_id",
+        "categoria",
+        "receita_liquida",
+        F.least(F.lit(100.0), X.dbl("receita_liquida") / X.dbl(top) * F.lit(100.0)).alias("barra_pct"),
+        (F.col("receita_liquida") > 0).alias("comprado"),
     )
 
 
