@@ -196,9 +196,13 @@ DUR_LABELS = "(VALUES " + ", ".join(f"({sq(l)}, {i})" for i, l in enumerate(P.DU
 DISC_LABELS = "(VALUES " + ", ".join(f"({sq(l)}, {i})" for i, l in enumerate(P.DISCOUNT_LABELS)) + ") AS l(faixa_desconto, ordem)"
 ABC_LABELS = "(VALUES " + ", ".join(f"({sq(l)})" for l in P.ABC_LABELS) + ") AS l(curva_abc)"
 
-# fixed labelling cluster_raw = cliente_id % 5, its profile and the greedy roles
+# fixed labelling by store-size tier (checkouts), its profile and the greedy roles
+TIER = (
+    "CAST(CASE WHEN n_checkouts IS NULL THEN 0 WHEN n_checkouts <= 3 THEN 1 WHEN n_checkouts <= 5 THEN 2 "
+    "WHEN n_checkouts <= 7 THEN 3 ELSE 4 END AS INTEGER)"
+)
 LABELS = f"""
-master_l AS (SELECT *, CAST(cliente_id % 5 AS INTEGER) AS cluster_raw FROM master),
+master_l AS (SELECT *, {TIER} AS cluster_raw FROM master),
 prof AS (
   SELECT cluster_raw, count(cliente_id) AS n,
          CAST(sum(CAST(receita_liquida AS DECIMAL(38,4))) AS DOUBLE) / CAST(count(receita_liquida) AS DOUBLE) AS rec_liq_med,
@@ -490,9 +494,9 @@ BILLED_COLS = f"""pedido_id, cliente_id, vendedor_id, sku_id, {ts('data_pedido')
 
 SQL["billed_sales"] = q(f"SELECT {BILLED_COLS} FROM billed")
 
-SQL["dimension_filter"] = q("""
-SELECT cliente_id, canal, uf, regiao_comercial, porte, CAST(cliente_id % 5 AS INTEGER) AS cluster_raw, vendedor_id
-FROM clients WHERE canal = 'HOUSEHOLD' AND porte = 'G' AND cliente_id % 5 = 1""")
+SQL["dimension_filter"] = q(f"""
+SELECT cliente_id, canal, uf, regiao_comercial, porte, {TIER} AS cluster_raw, vendedor_id
+FROM clients WHERE canal = 'HOUSEHOLD' AND porte = 'M' AND {TIER} = 2""")
 
 
 def contains(col: str, needle: str) -> str:
@@ -618,11 +622,11 @@ FROM prof""")
 
 SQL["cluster_summary"] = q(CLIENT_ROLLUP, LABELS, SUMMARY, "SELECT * FROM summary")
 
-SQL["cluster_distributions"] = q("""
+SQL["cluster_distributions"] = q(f"""
 SELECT cluster_raw, dimensao, valor, count(*) AS n FROM (
-  SELECT CAST(cliente_id % 5 AS INTEGER) AS cluster_raw, 'canal' AS dimensao, canal AS valor FROM clients
-  UNION ALL SELECT CAST(cliente_id % 5 AS INTEGER), 'porte', porte FROM clients
-  UNION ALL SELECT CAST(cliente_id % 5 AS INTEGER), 'regiao_comercial', regiao_comercial FROM clients
+  SELECT {TIER} AS cluster_raw, 'canal' AS dimensao, canal AS valor FROM clients
+  UNION ALL SELECT {TIER}, 'porte', porte FROM clients
+  UNION ALL SELECT {TIER}, 'regiao_comercial', regiao_comercial FROM clients
 ) WHERE valor IS NOT NULL GROUP BY cluster_raw, dimensao, valor""")
 
 SQL["seller_sales"] = q("""
@@ -719,8 +723,8 @@ SELECT CAST(coalesce(rec, 0) AS DOUBLE) AS receita_liquida, CAST(coalesce(bruta,
        (CASE WHEN clientes > 0 THEN CAST(ativos AS DOUBLE) / CAST(clientes AS DOUBLE) ELSE 0.0 END) * 100 AS taxa_ativacao
 FROM f""")
 
-SQL["cluster_cards"] = q(CLIENT_ROLLUP, """
-ml AS (SELECT *, CAST(cliente_id % 5 AS INTEGER) AS cluster_raw FROM master),
+SQL["cluster_cards"] = q(CLIENT_ROLLUP, f"""
+ml AS (SELECT *, {TIER} AS cluster_raw FROM master),
 fl AS (SELECT * FROM ml WHERE canal = 'MACHINERY'),
 per AS (SELECT cluster_raw, count(*) AS n_clientes, sum(receita_liquida) AS receita_liquida FROM fl GROUP BY cluster_raw),
 nf AS (SELECT count(*) AS nf FROM fl)""", """
@@ -731,7 +735,7 @@ FROM (SELECT DISTINCT cluster_raw FROM ml) k LEFT JOIN per p ON k.cluster_raw =
 
 SQL["channel_cluster_crosstab"] = q(
     "SELECT canal, "
-    + ", ".join(f"count(*) FILTER (WHERE cliente_id % 5 = {i}) AS cluster_{i}" for i in range(5))
+    + ", ".join(f"count(*) FILTER (WHERE {TIER} = {i}) AS cluster_{i}" for i in range(5))
     + " FROM clients WHERE canal IS NOT NULL GROUP BY canal"
 )
 

@@ -3,7 +3,7 @@
 Each builds the model tables from the test tables (``bind_test_tables``) and
 runs one operator over the whole tables. Parameters (filters, search text,
 page, scenario levers) are fixed values chosen to reach every branch. The
-cluster operators run on a fixed labelling (``cliente_id % 5``) so that they
+cluster operators run on a fixed labelling (store-size tier) so that they
 get a full value check independent of K-Means; the K-Means / PCA path itself
 is checked by invariants in ``tests/``.
 """
@@ -36,7 +36,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # Fixed query parameters (chosen to hit every branch on the test data).
-FILTER_MAIN = E.FilterSpec(canal="HOUSEHOLD", porte="G", cluster=1)
+FILTER_MAIN = E.FilterSpec(canal="HOUSEHOLD", porte="M", cluster=2)
 FILTER_KPI = E.FilterSpec(regiao="AMERICA", porte="G")
 FILTER_CARDS = E.FilterSpec(canal="MACHINERY")
 FILTER_PAGE = E.FilterSpec(canal="BUILDING")
@@ -81,7 +81,15 @@ def master(m: RetailModel) -> DataFrame:
 
 
 def fixed_labels(df: DataFrame) -> DataFrame:
-    return df.withColumn("cluster_raw", (F.col("cliente_id") % FIXED_K).cast("int"))
+    """A fixed labelling by store-size tier (number of checkouts; unknown size = tier 0).
+
+    Stands in for the K-Means labels wherever a cluster operator needs a full
+    value check; computed from client attributes only, so it labels both the
+    client table and the client master.
+    """
+    chk = F.col("n_checkouts")
+    tier = F.when(chk.isNull(), 0).when(chk <= 3, 1).when(chk <= 5, 2).when(chk <= 7, 3).otherwise(4)
+    return df.withColumn("cluster_raw", tier.cast("int"))
 
 
 def labelled_master(m: RetailModel) -> DataFrame:

@@ -1,13 +1,13 @@
 """Nested (document) forms: sparkline arrays, mix maps, top-SKU arrays, the 360 view."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from storelens.operators import explore as E
 from storelens.operators import masters as M
 from storelens.operators import ranking as K
 from storelens.operators import rollups as R
 from storelens.operators import segmentation as G
+from storelens.plans.registry import fixed_labels
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +50,7 @@ def test_top_skus_nested_ranked(parts):
 def test_client_360_nested(parts, spark):
     m, b, swp = parts
     master = M.client_master(m.clients, m.sales, m.products, m.visits, m.potential, m.horizon)
-    lm = master.withColumn("cluster_raw", (F.col("cliente_id") % 5).cast("int"))
+    lm = fixed_labels(master)
     rec = M.client_record(G.segment_labels(lm, G.segment_roles(G.cluster_profile(lm))), m.horizon.years)
     seller = M.seller_record(M.seller_master(m.sellers, m.sales, m.visits, m.horizon))
     full = E.client_360(
