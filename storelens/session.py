@@ -14,6 +14,11 @@ LIBRARY_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot key's join partition even where the join's output
+    # partitioning was reused downstream (e.g. lines joined to orders, then
+    # aggregated per order in the same stage): the extra shuffle carries
+    # pre-aggregated rows, one task would carry a third of the fact
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -36,6 +41,7 @@ def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20, max_shuffle_p
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
     }
 

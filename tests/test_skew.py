@@ -52,6 +52,7 @@ SKEW_CONF = {
     # many small row groups + small file splits: the scans run as many map
     # tasks, which is what lets AQE split a skewed reduce partition
     "spark.sql.files.maxPartitionBytes": "64KB",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
