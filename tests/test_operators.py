@@ -160,6 +160,16 @@ def test_abc_equals_single_window(model_mid, spark):
     assert abs(last - 1.0) < 1e-12
 
 
+def test_abc_ranges_sized_from_sku_count_equal_single_window(model_mid):
+    # default range count from the SKU count: 2000 SKUs at 300 per range -> 7 ranges
+    m = model_mid
+    skus = M.sku_master(m.products, m.sales, m.horizon)
+    got = {r.sku_id: r.receita_cum for r in K.abc_curve(skus, rows_per_range=300).collect()}
+    w = Window.orderBy(F.desc("receita_total"), F.asc("sku_id")).rowsBetween(Window.unboundedPreceding, 0)
+    ref = skus.withColumn("cum", F.sum(F.col("receita_total").cast("decimal(38,4)")).over(w)).collect()
+    assert len(got) == len(ref) and all(got[r.sku_id] == r.cum for r in ref)
+
+
 def test_discount_bands_cover_all_lines_in_range(model_mid):
     m = model_mid
     billed = R.billed_sales(m.sales, m.horizon.billed_status)
