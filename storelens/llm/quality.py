@@ -3,9 +3,9 @@
 ``RULES`` lists a measure, the side on which it fails and the threshold; each
 row becomes a boolean expression over the measured columns, and a document is
 kept when no rule fails. Measures are array and string functions over one
-split of the whole text into words and lines. Repeated windows are found by
-sorting the document's own 64-bit window fingerprints with their positions, so
-the work of a document is n log n in its words. Nothing is shuffled.
+split of the whole text into words and lines. Repeated windows are found
+among the document's own 64-bit window fingerprints, which are sorted with their
+places only where one occurs twice: at most n log n in the words of a document. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from storelens.llm.common import WORD, text_or_empty
 
 WINDOW_WORDS = 8
 SYMBOLS = "#*$%&|<>"
-#: Common function words by language (fixed values); compared with the words in lower case, without punctuation at their ends.
+#: Removed at both ends of a word before it is looked up among the stop words.
+PUNCTUATION = ".,;:!?()"
+#: Common function words by language (fixed values); compared with words in lower case.
 STOP_WORDS = {
     "en": "a and are as at be by for from he in is it of on or that the this to was were with you",
     "fr": "au aux avec ce dans de des du elle en est et il la le les ne ou par pas pour que qui se sur un une",
@@ -27,18 +29,17 @@ STOP_WORDS = {
 #: Thresholds (measure, failing side, threshold). Ratios are shares of words, lines or code points.
 RULES = (
     ("n_words", "<", 20),
-    ("n_words", ">", 100_000_000),
     ("repeat_ratio", ">", 0.30),
     ("mean_word_chars", "<", 1.5),
     ("mean_word_chars", ">", 25.0),
     ("symbol_ratio", ">", 0.30),
     ("dup_line_ratio", ">", 0.50),
     ("stop_ratio", "<", 0.02),
-    ("alpha_ratio", "<", 0.50),
-    ("upper_ratio", ">", 0.60),
+    ("upper_ratio", ">", 0.50),
+    ("run_ratio", ">", 0.50),
 )
 #: The rules behind base_failed.
-BASE = RULES[0], RULES[2]
+BASE = RULES[0], RULES[1]
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,20 +69,25 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.expr(f"regexp_count(__t, '[{SYMBOLS}]')").cast("long").alias("n_symbols"),
         F.size("__l").alias("__lines"),
         F.expr("size(__l) - size(array_distinct(__l))").cast("long").alias("n_dup_lines"),
-        F.expr(
-            "size(filter(__w, w -> regexp_replace(lower(w), '^\\\\p{Punct}+|\\\\p{Punct}+$', '') in (" + stop_sql + ")))"
-        ).alias("__stop"),
-        F.expr("regexp_count(__t, '\\\\p{L}')").alias("__letters"),
+        F.expr(f"size(filter(__w, w -> trim(BOTH '{PUNCTUATION}' FROM lower(w)) in ({stop_sql})))").alias("__stop"),
+        F.expr("size(filter(__w, (w, i) -> i > 0 and __w[i - 1] = w))").alias("__runs"),
         F.expr("regexp_count(__t, '\\\\p{Lu}')").alias("__upper"),
         F.expr(
-            f"if(size(__w) > {k}, array_sort(transform(sequence(1, size(__w) - {k - 1}),"
-            f" i -> struct(xxhash64(slice(__w, i, {k})) as h, i as p))), array())"
-        ).alias("__s"),
+            f"if(size(__w) > {k}, transform(sequence(1, size(__w) - {k - 1}), i -> xxhash64(slice(__w, i, {k}))),"
+            " cast(array() as array<bigint>))"
+        ).alias("__h"),
     )
+    # places of the windows found twice or more; most documents have none, and are not sorted
     repeated = windows.withColumn(
+        "__s",
+        F.expr(
+            "if(size(array_distinct(__h)) = size(__h), array(),"
+            " sort_array(transform(__h, (h, i) -> struct(h, i as p))))"
+        ),
+    ).withColumn(
         "__p",
         F.expr(
-            "array_sort(transform(filter(__s, (x, i) -> (i > 0 and __s[i - 1].h = x.h)"
+            "sort_array(transform(filter(__s, (x, i) -> (i > 0 and __s[i - 1].h = x.h)"
             " or (i < size(__s) - 1 and __s[i + 1].h = x.h)), x -> x.p))"
         ),
     )
@@ -100,8 +106,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         share("n_symbols", "n_words").alias("symbol_ratio"),
         share("n_dup_lines", "__lines").alias("dup_line_ratio"),
         share("__stop", "n_words").alias("stop_ratio"),
-        share("__letters", "word_chars").alias("alpha_ratio"),
-        share("__upper", "__letters").alias("upper_ratio"),
+        share("__runs", "n_words").alias("run_ratio"),
+        share("__upper", "word_chars").alias("upper_ratio"),
     )
 
 

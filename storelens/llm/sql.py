@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from storelens.llm.quality import STOP_WORDS
+
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL: dict[str, str] = {}
@@ -11,3 +13,41 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UP}', '{LOW}') AS t FR
 g AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
 """
+
+SQL["op7_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT rid, i, list_slice(ws, i, i + 7) AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT rid, sum(least(8, coalesce(nxt - i, 8))) AS n
+        FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM dup) GROUP BY rid),
+m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+             len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) AS n_lines,
+             len(ls) - len(list_distinct(ls)) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+             len(list_filter(ws, lambda x: trim(lower(x), '.,;:!?()') IN (__STOP__))) AS n_stop,
+             len(regexp_extract_all(t, '\p{Lu}')) AS upper_letters,
+             len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_runs
+      FROM w LEFT JOIN cov USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words
+            OR word_chars / n_words < 1.5 OR word_chars / n_words > 25 OR n_symbols / n_words > 0.3
+            OR (n_lines > 0 AND n_dup_lines / n_lines > 0.5) OR n_stop / n_words < 0.02 OR n_runs / n_words > 0.5 OR upper_letters / word_chars > 0.5) AS kept
+FROM m
+"""
+
+SQL["op9_chat_format"] = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn) AS l FROM t GROUP BY conv_id),
+proper AS (SELECT DISTINCT list_slice(l, 1, k) AS l FROM (SELECT l, unnest(range(1, len(l))) AS k FROM c)),
+kept AS (SELECT min(conv_id) AS conv_id, l FROM c ANTI JOIN proper USING (l) GROUP BY l),
+turns AS (SELECT conv_id, len(l) AS n_turns, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS x FROM kept),
+parts AS (SELECT conv_id, (pos - 1) // 256 AS part, n_turns,
+                 string_agg('<|' || x.r || '|>' || chr(10) || replace(x.t, '<|', '< |') || '<|end|>' || chr(10), '' ORDER BY pos) AS text
+          FROM turns GROUP BY ALL)
+SELECT conv_id, part, n_turns, length(text) AS n_chars, text FROM parts
+"""
+
+_STOP = ", ".join(f"'{w}'" for w in sorted({w for ws in STOP_WORDS.values() for w in ws.split()}))
+SQL["op7_quality_rules"] = SQL["op7_quality_rules"].replace("__STOP__", _STOP)
