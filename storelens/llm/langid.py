@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -204,6 +204,19 @@ def _fit_bits(model: Model, lang: np.ndarray, raw: np.ndarray) -> None:
             model.weight[i] = np.maximum(((own > 0) == (model.code[i] == 1)).mean(0), 0.01)
 
 
+def decide(model: Model | None, texts: Iterable[str]) -> Iterator[tuple[str, float, bool]]:
+    """Language, score and ambiguity of each text."""
+    texts = iter(texts)
+    while some := list(itertools.islice(texts, 64)):
+        known = [i for i, t in enumerate(some) if model is not None and LETTER.search(t)]
+        out = [(UNDETERMINED, 0.0, False)] * len(some)
+        if known:
+            found = zip(*model.decode(np.array([trigrams(some[i]) for i in known])), strict=True)
+            for i, (lang, score, unsure) in zip(known, found, strict=True):
+                out[i] = (lang, float(score), bool(unsure))
+        yield from out
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score, ambiguous.
 
@@ -216,21 +229,13 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x bits x FEATURES numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                rows = batch.slice(at, 64)
-                texts = [t.as_py() or "" for t in rows.column("text")]
-                known = [i for i, t in enumerate(texts) if model is not None and LETTER.search(t)]
-                lang, score, unsure = [UNDETERMINED] * len(texts), [0.0] * len(texts), [False] * len(texts)
-                if known:
-                    for i, *out in zip(known, *model.decode(np.array([trigrams(texts[i]) for i in known])), strict=True):
-                        lang[i], score[i], unsure[i] = out[0], float(out[1]), bool(out[2])
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("held_out"), pa.array(lang, pa.string()),
-                     pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())],
-                    ["doc_id", "held_out", "lang_pred", "score", "ambiguous"],
-                )
+            lang, score, unsure = zip(*decide(shared.value, (t.as_py() or "" for t in batch.column("text"))), strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()),
+                 pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())],
+                ["doc_id", "held_out", "lang_pred", "score", "ambiguous"],
+            )
 
     source = docs.select(
         docs[id_col].alias("doc_id"), held_out(docs[id_col]).alias("held_out"), docs[text_col].cast("string").alias("text")
@@ -243,3 +248,17 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``predict`` with a model learned from ``docs`` itself (see ``train``)."""
     return predict(docs, train(docs, id_col, text_col, lang_col), id_col, text_col)
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without the rows whose language cannot be told (``und`` or ambiguous); all columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() or "" for t in batch.column(at)]
+            kept = [lang != UNDETERMINED and not unsure for lang, _, unsure in decide(shared.value, texts)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

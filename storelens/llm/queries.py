@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from storelens.llm import bpe, chat, exact_dedup, langid, mixing, quality, sharding
+from storelens.llm import bpe, chat, exact_dedup, html_extract, langid, licenses, minhash, mixing, quality, sharding
 from storelens.llm.common import table
 
 
@@ -26,6 +26,14 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -44,6 +52,14 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_shard, op6_language_id, op7_quality_rules, op8_mix_sources, op9_chat_format)
-}
+    f.__name__: f
+    for f in (
+        op1_bpe, op2_exact_dedup, op3_shard, op4_license_scan, op5_minhash_dedup, op6_language_id, op7_quality_rules,
+        op8_mix_sources, op9_chat_format, op10_html_extract,
+    )
+}
