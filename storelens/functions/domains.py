@@ -1,4 +1,4 @@
-"""Helpers for small, bounded domains (bands, months, categories, clusters).
+"""Helpers for the domains of dimensions (bands, months, categories, clusters).
 
 Scaffolds ("every client x every month", "every band x every visit type")
 are generated with ``explode`` over a literal array instead of a cross join.
@@ -18,36 +18,21 @@ def literal_array(values: Sequence) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only after the row count is proven <= ``max_rows``.
-
-    Otherwise the frame is returned as is and the planner/AQE choose a
-    shuffle join from measured sizes.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def with_domain(df: DataFrame, name: str, values: Sequence) -> DataFrame:
     """Each row of ``df`` repeated once per value of a bounded domain (a generate, not a join)."""
     return df.withColumn(name, F.explode(literal_array(values)))
 
 
-MAX_DOMAIN_VALUES = 100_000
-
-
-def domain_array(df: DataFrame, column: str, max_values: int = MAX_DOMAIN_VALUES) -> Column:
+def domain_array(df: DataFrame, column: str) -> Column:
     """The sorted distinct non-null values of ``column`` as one array value.
 
     A scalar subquery: computed once, lazily (no extra job, no join). Its size
-    is the domain's, so it is for bounded domains (categories, months,
-    clusters): at most ``max_values + 1`` distinct values are gathered, and
-    more than ``max_values`` fails the query instead of growing the array.
+    is the domain's, whatever that is: use it for the attribute list of a
+    dimension (categories, months, clusters), which the scaffold's output
+    repeats for every row anyway.
     """
-    vals = df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_values + 1)
-    arr = F.array_sort(F.collect_list(column))
-    too_many = F.raise_error(F.lit(f"domain of {column} has more than {max_values} values"))
-    return vals.agg(F.when(F.size(arr) <= max_values, arr).otherwise(too_many)).scalar()
+    vals = df.select(column).where(F.col(column).isNotNull()).distinct()
+    return vals.agg(F.array_sort(F.collect_list(column))).scalar()
 
 
 def explode_domain(df: DataFrame, domain: Column, name: str) -> DataFrame:

@@ -64,7 +64,7 @@ def round_money(c: str | Column, digits: int = 2) -> Column:
     return F.round(col(c).cast(SUM_MONEY), digits).cast("double")
 
 
-def recency_days(last_ts: str | Column, reference_date: str, never: int = P.NEVER_BOUGHT_RECENCY) -> Column:
+def recency_days(last_ts: str | Column, reference_date: str | Column, never: int = P.NEVER_BOUGHT_RECENCY) -> Column:
     """Whole days elapsed from ``last_ts`` to the reference date (floor on seconds); ``never`` if NULL."""
     ref = F.lit(reference_date).cast("timestamp_ntz")
     secs = F.timestamp_diff("SECOND", col(last_ts), ref)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
@@ -104,7 +104,7 @@ def discount_margin_curve(
 
 
 def geo_performance(
-    sales: DataFrame, clients: DataFrame, potential: DataFrame, months: int = P.HORIZON_MONTHS
+    sales: DataFrame, clients: DataFrame, potential: DataFrame, months: int | Column = P.HORIZON_MONTHS
 ) -> DataFrame:
     """By (state, region): net, margin, distinct clients/orders, margin %, potential x months, share."""
     # pre-aggregate to one row per (client, order) before the join, so a hot
@@ -135,15 +135,11 @@ def geo_performance(
 
 
 COOC_CHUNK = 256  # category columns per aggregation pass
-MAX_CATEGORY_DOMAIN = 100_000  # catalogue categories named on the driver (dimension metadata)
 
 
 def category_domain(df: DataFrame, col: str = "categoria") -> list[str]:
-    """The sorted distinct categories of a dimension table, size-checked before they reach the driver."""
-    rows = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(MAX_CATEGORY_DOMAIN + 1).collect()
-    if len(rows) > MAX_CATEGORY_DOMAIN:
-        raise ValueError(f"more than {MAX_CATEGORY_DOMAIN} categories")
-    return [r[0] for r in rows]
+    """The sorted distinct categories of a dimension table: the names of the result's rows and columns."""
+    return [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
 
 
 def category_cooccurrence(
@@ -164,9 +160,8 @@ def category_cooccurrence(
 
     ``categories`` names the domain (the catalogue, column ``categoria``) and
     must cover every category of ``sales_with_prod``; by default it is read
-    from ``sales_with_prod`` itself. Past ``chunk`` categories, the per-order
-    sets are checkpointed once and the columns are counted in passes of
-    ``chunk``, so the result stays exact for any domain size.
+    from ``sales_with_prod`` itself. The per-order sets are checkpointed once
+    and the columns are counted in passes of ``chunk``, at every domain size.
     """
     per_order = (
         sales_with_prod.where(F.col("pedido_id").isNotNull() & F.col("categoria").isNotNull())
@@ -175,8 +170,7 @@ def category_cooccurrence(
     )
     by_base = per_order.select(F.explode("cats").alias("base"), "cats")
     domain = category_domain(categories if categories is not None else sales_with_prod)
-    if len(domain) > chunk:
-        by_base = cut_lineage(by_base)
+    by_base = cut_lineage(by_base)
     parts = []
     for start in range(0, max(len(domain), 1), chunk):
         names = domain[start : start + chunk]

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import domains as D
 from ..functions import exprs as X
+from ..functions.ordering import global_rank
 
 ALL = "ALL"
 
@@ -118,8 +119,7 @@ def distinct_values(df: DataFrame, col: str, order_by: str | None = None, label:
     base = df.select(F.col(col).cast("string").alias("valor"), F.col(order_by).alias("_o")).where(
         F.col("valor").isNotNull()
     ).distinct()
-    w = Window.partitionBy(F.lit(label or col)).orderBy("_o", "valor")
-    return base.select(F.lit(label or col).alias("dimensao"), "valor", F.row_number().over(w).alias("ordem"))
+    return global_rank(base, ["_o", "valor"], "ordem").select(F.lit(label or col).alias("dimensao"), "valor", "ordem")
 
 
 def kpis_filtered(master: DataFrame, spec: FilterSpec) -> DataFrame:

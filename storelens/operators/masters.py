@@ -4,7 +4,7 @@
 sales rollup, categories and yearly split computed in ONE aggregation over the
 billed fact (one scan, one shuffle keyed by client), the visits rollup, and the
 market potential of the client's (city, channel). The potential is joined
-first, as a broadcast only after its row count is checked (else a shuffle
+first (AQE broadcasts it where its measured size allows, else a shuffle
 join); all rollups come out hash-partitioned by ``cliente_id``, so the
 left-join chain on the client key adds only the exchange of the client table
 itself.
@@ -14,16 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..functions import domains as D
 from ..functions import exprs as X
 from . import rollups as R
 
-POTENTIAL_BROADCAST_ROWS = 2_000_000
-
 CLIENT_METRICS = (
     "receita_bruta",
     "receita_liquida",
@@ -61,23 +58,32 @@ def fill_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
 def client_potential(clients: DataFrame, potential: DataFrame) -> DataFrame:
     """Client + monthly potential of its (city, channel); missing → 0."""
     pot = R.potential_by(potential, ["cidade", "canal"], name="potencial_mercado_cidade_canal_mensal")
-    out = clients.join(D.broadcast_if_bounded(pot, POTENTIAL_BROADCAST_ROWS), ["cidade", "canal"], "left")
+    out = clients.join(pot, ["cidade", "canal"], "left")
     return fill_metrics(out, ["potencial_mercado_cidade_canal_mensal"])
 
 
 def client_fact_rollup(billed: DataFrame, products: DataFrame, years: Sequence[int]) -> DataFrame:
-    """Sales rollup + distinct categories + net per year, in one aggregation."""
-    fact = billed.join(products.select("sku_id", "categoria"), "sku_id", "left").withColumn(
-        "_ano", F.year("data_pedido")
-    )
+    """Sales rollup + distinct categories + net per year.
+
+    The lines are summed once to (client, order, SKU); the product join and
+    the three distinct counts work on those rows, so the lines themselves are
+    neither joined to products nor expanded per distinct count.
+    """
+    ycols = R.year_column(years)
     per_year = [
-        X.money_sum(F.when(F.col("_ano") == F.lit(y), F.col("receita_liquida"))).alias(n)
-        for y, n in zip(years, R.year_column(years))
+        X.money_sum(F.when(F.year("data_pedido") == F.lit(y), F.col("receita_liquida"))).alias(n)
+        for y, n in zip(years, ycols)
     ]
-    return (
-        fact.where(F.col("cliente_id").isNotNull())
-        .groupBy("cliente_id")
-        .agg(*R._client_sales_aggs(), F.countDistinct("categoria").alias("categorias_unicas"), *per_year)
+    pre = (
+        billed.where(F.col("cliente_id").isNotNull())
+        .groupBy("cliente_id", "pedido_id", "sku_id")
+        .agg(*R._line_sums(), *per_year)
+    )
+    fact = pre.join(products.select("sku_id", "categoria"), "sku_id", "left")
+    return fact.groupBy("cliente_id").agg(
+        *R._client_sums_of_sums(),
+        F.countDistinct("categoria").alias("categorias_unicas"),
+        *[X.money_sum(n).alias(n) for n in ycols],
     )
 
 
@@ -95,10 +101,8 @@ def client_master(
     roll = client_fact_rollup(billed, products, years)
     vis = R.client_visits(visits)
     pot = R.potential_by(potential, ["cidade", "canal"], name="potencial_mercado_cidade_canal_mensal")
-    # (city, channel) pairs are a geographic domain: broadcast them only after
-    # their row count is proven small, and join them before the client table
-    # is shuffled by cliente_id (otherwise: a shuffle join decided by AQE)
-    pot = D.broadcast_if_bounded(pot, POTENTIAL_BROADCAST_ROWS)
+    # (city, channel) first: where AQE measures the potential rollup as small it
+    # is broadcast, and the client table is shuffled once, by cliente_id
     m = clients.join(pot, ["cidade", "canal"], "left").join(roll, "cliente_id", "left").join(vis, "cliente_id", "left")
     m = fill_metrics(m, list(CLIENT_METRICS) + ycols + ["potencial_mercado_cidade_canal_mensal"])
     m = m.withColumns(
@@ -139,14 +143,14 @@ def seller_master(
     return seller_attainment(m, horizon.months)
 
 
-def seller_attainment(df: DataFrame, months: int = P.HORIZON_MONTHS) -> DataFrame:
+def seller_attainment(df: DataFrame, months: int | Column = P.HORIZON_MONTHS) -> DataFrame:
     """Period target, revenue/margin attainment, visits per month, capacity use, quadrant."""
     df = df.withColumns(
         {
             "meta_receita_periodo": F.col("meta_receita_mensal").cast("decimal(38,4)") * F.lit(months),
             "margem_realizada_pct": X.safe_ratio("margem_total", "receita_total"),
             "desconto_medio_pct": X.safe_ratio("desconto_total", "receita_bruta"),
-            "visitas_mes_realizadas": X.dbl("total_visitas") / F.lit(float(months)),
+            "visitas_mes_realizadas": X.dbl("total_visitas") / F.lit(months).cast("double"),
         }
     )
     df = df.withColumns(
@@ -211,9 +215,9 @@ def client_record(master: DataFrame, years: Sequence[int] = P.YEARS, with_coords
         "vendedor_id",
         _int_or_zero("n_checkouts").alias("checkouts"),
         _int_or_zero("area_loja_m2").alias("area_m2"),
-        F.col("faixa_faturamento_pdv").alias("faixa_fat"),
+        F.coalesce("faixa_faturamento_pdv", F.lit("")).alias("faixa_fat"),
         X.date_text("data_cadastro").alias("data_cad"),
-        F.col("status_cliente").alias("status"),
+        F.coalesce("status_cliente", F.lit("")).alias("status"),
     ]
     for src, dst in (
         ("cluster_raw", "cluster_raw"),

@@ -25,9 +25,9 @@ def abc_curve(
     """ABC class from the running share of revenue in (revenue desc, key asc) order.
 
     A global running sum would pull every row into one task. Instead:
-    1. range-partition by the sort order into ``n_ranges`` slices (default:
-       about ``rows_per_range`` SKUs each, capped by the shuffle partition
-       count) and checkpoint
+    1. range-partition by the sort order into ``n_ranges`` slices (default: one
+       per shuffle partition, more where a slice would exceed
+       ``rows_per_range`` SKUs) and checkpoint
        (range bounds come from sampling, so both passes must see one layout);
     2. sum each slice (<= n_ranges rows) and take an exclusive prefix of those
        sums (a window over at most n_ranges rows);
@@ -39,12 +39,10 @@ def abc_curve(
     spark = skus.sparkSession
     n = n_ranges
     if n is None:
-        # size the ranges from the SKU count (about ``rows_per_range`` each, at
-        # most one per shuffle partition); the SKU rows are written once so the
-        # count and the ranging read them instead of re-running their rollup
+        # the SKU rows are written once so the count and the ranging read them
+        # instead of re-running their rollup
         skus = cut_lineage(skus)
-        cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        n = max(1, min(cap, -(-skus.count() // rows_per_range)))
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-skus.count() // rows_per_range))
     order = [F.desc("_rev"), F.asc(key)]
     ranged = (
         skus.withColumn("_rev", F.col(revenue).cast("decimal(38,4)"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
@@ -68,6 +68,38 @@ def _client_sales_aggs() -> list:
     ]
 
 
+_SUMS = {
+    "receita_bruta": "receita_bruta",
+    "receita_liquida": "receita_liquida",
+    "desconto": "desconto_total",
+    "custo_total": "custo_total",
+    "margem_contribuicao": "margem_total",
+}
+
+
+def _line_sums() -> list:
+    """Sums of the lines of one (client, order, SKU), to be summed again by ``_client_sums_of_sums``."""
+    return [
+        *[X.money_sum(c).alias(n) for c, n in _SUMS.items()],
+        F.sum("quantidade").alias("_itens"),
+        F.sum("volume_kg").alias("_kg"),
+        F.min("data_pedido").alias("_primeira"),
+        F.max("data_pedido").alias("_ultima"),
+    ]
+
+
+def _client_sums_of_sums() -> list:
+    return [
+        *[X.money_sum(n).alias(n) for n in _SUMS.values()],
+        F.countDistinct("pedido_id").alias("total_pedidos"),
+        F.coalesce(F.sum("_itens"), F.lit(0.0)).alias("total_itens"),
+        F.coalesce(F.sum("_kg"), F.lit(0.0)).alias("volume_total_kg"),
+        F.min("_primeira").alias("primeira_compra"),
+        F.max("_ultima").alias("ultima_compra"),
+        F.countDistinct("sku_id").alias("skus_unicos"),
+    ]
+
+
 def client_sales(sales: DataFrame) -> DataFrame:
     """Per client: gross/net/discount/cost/margin, distinct orders and SKUs, qty, weight, first/last purchase."""
     return sales.where(F.col("cliente_id").isNotNull()).groupBy("cliente_id").agg(*_client_sales_aggs())
@@ -119,12 +151,13 @@ def client_year_pivot(sales: DataFrame, years: Sequence[int] = P.YEARS) -> DataF
     )
 
 
-def potential_by(potential: DataFrame, keys: Sequence[str], months: int | None = None, name: str | None = None) -> DataFrame:
+def potential_by(potential: DataFrame, keys: Sequence[str], months: int | Column | None = None, name: str | None = None) -> DataFrame:
     """Sum of monthly market potential by ``keys`` (times ``months`` when given)."""
     total = X.money_sum("mercado_estimado_mensal")
     if months is not None:
         total = total * F.lit(months)
-    name = name or ("mercado_estimado_mensal" if months is None else f"potencial_total_{months}m")
+    if name is None:
+        name = "mercado_estimado_mensal" if months is None else "potencial_total"
     filt = None
     for k in keys:
         c = F.col(k).isNotNull()

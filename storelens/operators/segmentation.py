@@ -97,11 +97,11 @@ def kmeans_segments(
     n_rows = base.count()
     # partition count is a function of the data size only, so a seed gives the
     # same fit on every run of the same data (about 250k vectors per task)
-    parts = n_partitions or max(1, min(4096, math.ceil(n_rows / rows_per_partition)))
+    parts = n_partitions or max(1, math.ceil(n_rows / rows_per_partition))
     vec = (
         base.repartition(parts, "cliente_id").sortWithinPartitions("cliente_id").persist(StorageLevel.MEMORY_AND_DISK)
     )
-    vec.count()  # materialise the laid-out vectors once
+    vec.count()  # lay the vectors out once
     base.unpersist()
 
     def fit(i: int):
@@ -113,7 +113,10 @@ def kmeans_segments(
     with ThreadPoolExecutor(max_workers=max(1, min(parallel_fits, restarts))) as pool:
         fits = list(pool.map(fit, range(restarts)))
     _, model, cost = min(fits, key=lambda t: (t[2], t[0]))
-    labelled = model.transform(vec).select("cliente_id", F.col(cluster_col).cast("int").alias(cluster_col))
+    labelled = cut_lineage(
+        model.transform(vec).select("cliente_id", F.col(cluster_col).cast("int").alias(cluster_col))
+    )
+    vec.unpersist()
     return labelled, model, cost
 
 
@@ -176,9 +179,6 @@ def segments_frame(spark) -> DataFrame:
     )
 
 
-MAX_CLUSTERS = 1000
-
-
 def segment_roles(profile: DataFrame, cluster_col: str = "cluster_raw") -> DataFrame:
     """Greedy, exclusive role assignment over the k-row cluster profile.
 
@@ -188,14 +188,12 @@ def segment_roles(profile: DataFrame, cluster_col: str = "cluster_raw") -> DataF
     metrics rank last and ties go to the lower cluster id. With fewer
     clusters, only the roles that can be assigned are emitted, in that order.
 
-    The profile has one row per cluster — model-sized like the K-Means centres,
-    checked against ``MAX_CLUSTERS`` — so the sequential pick runs on those k
-    rows and the result is a k-row DataFrame.
+    The profile has one row per cluster — model-sized like the K-Means centres —
+    so the sequential pick runs on those k rows and the result is a k-row
+    DataFrame.
     """
     metrics = [m for _, m in ROLE_METRICS]
-    rows = profile.select(cluster_col, *metrics).limit(MAX_CLUSTERS + 1).collect()
-    if len(rows) > MAX_CLUSTERS:
-        raise ValueError(f"segment_roles: more than {MAX_CLUSTERS} clusters")
+    rows = profile.select(cluster_col, *metrics).collect()
     remaining = sorted(rows, key=lambda r: r[cluster_col])
     assigned = []
     for prio, (seg, metric) in enumerate(ROLE_METRICS):

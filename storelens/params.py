@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the model's constants)
 # ---------------------------------------------------------------------------
@@ -147,9 +149,13 @@ ACTION_TEXTS = {
 
 @dataclass(frozen=True)
 class Horizon:
-    """Analysis window of the model: billed status, reference date, years, months."""
+    """Analysis window of the model: billed status, reference date, years, months.
+
+    Reference date and months are values, or columns computed from the data
+    (scalar subqueries).
+    """
 
     billed_status: str = BILLED_STATUS
-    reference_date: str = REFERENCE_DATE
+    reference_date: str | Column = REFERENCE_DATE
     years: tuple[int, int] = YEARS
-    months: int = HORIZON_MONTHS
+    months: int | Column = HORIZON_MONTHS

@@ -29,7 +29,7 @@ from ..operators import masters as M
 from ..operators import ranking as K
 from ..operators import rollups as R
 from ..operators import segmentation as G
-from ..session import apply_unset, cut_lineage, scale_conf, write_shared
+from ..session import apply_unset, cut_lineage, scale_conf, shared_scope, write_shared
 from ..sources import sinks
 from ..sources.binding import RetailModel, bind_test_tables
 from .output import as_output
@@ -81,8 +81,9 @@ def build_sections(m: RetailModel, restarts: int = P.KMEANS_RESTARTS, k: int = P
 
 def build(spark: SparkSession, sf_dir: str, out_dir: str, restarts: int = P.KMEANS_RESTARTS) -> dict[str, str]:
     m = bind_test_tables(spark, sf_dir)
-    sections = {name: as_output(df) for name, df in build_sections(m, restarts).items()}
-    return sinks.write_sections(sections, out_dir)
+    with shared_scope(spark):  # the written fact and master go once every section is written
+        sections = {name: as_output(df) for name, df in build_sections(m, restarts).items()}
+        return sinks.write_sections(sections, out_dir)
 
 
 def main(argv: list[str] | None = None) -> None:

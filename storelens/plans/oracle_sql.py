@@ -9,20 +9,22 @@ doubles; timestamps are rendered as text.
 
 from __future__ import annotations
 
+# distinct months of the orders
+MONTHS = "(SELECT CAST(count(DISTINCT strftime(o_orderdate, '%Y-%m')) AS INTEGER) FROM orders)"
+
 BINDING = """
 WITH
 sales_raw AS (
-  SELECT o.o_orderkey, o.o_custkey, l.l_suppkey, l.l_partkey, o.o_orderdate, o.o_orderstatus,
+  SELECT l.l_orderkey, o.o_custkey, l.l_suppkey, l.l_partkey, o.o_orderdate, o.o_orderstatus,
          l.l_quantity, l.l_linenumber,
          CAST(l.l_extendedprice AS DECIMAL(18,2)) AS g,
          CAST(l.l_extendedprice AS DECIMAL(18,2)) * CAST(l.l_discount AS DECIMAL(4,2)) AS d,
          CAST(l.l_extendedprice AS DECIMAL(18,2)) * (CAST(0.70 AS DECIMAL(4,2)) + CAST(l.l_tax AS DECIMAL(4,2))) AS c
   FROM lineitem l
-  JOIN orders o ON l.l_orderkey = o.o_orderkey
-  WHERE o.o_orderdate >= TIMESTAMP '1999-01-01' AND o.o_orderdate < TIMESTAMP '2001-01-01'
+  LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
 ),
 sales AS (
-  SELECT o_orderkey AS pedido_id, o_custkey AS cliente_id, l_suppkey AS vendedor_id, l_partkey AS sku_id,
+  SELECT l_orderkey AS pedido_id, o_custkey AS cliente_id, l_suppkey AS vendedor_id, l_partkey AS sku_id,
          o_orderdate AS data_pedido, strftime(o_orderdate, '%Y-%m') AS mes_ref, o_orderstatus AS status_pedido,
          l_quantity AS quantidade, l_quantity * l_linenumber AS volume_kg,
          g AS receita_bruta, d AS desconto, g - d AS receita_liquida, c AS custo_total, g - d - c AS margem_contribuicao
@@ -129,7 +131,7 @@ master AS (
          CASE WHEN receita_liquida > 0 THEN CAST(margem_total AS DOUBLE) / CAST(receita_liquida AS DOUBLE) ELSE 0.0 END AS margem_pct,
          CASE WHEN receita_bruta > 0 THEN CAST(desconto_total AS DOUBLE) / CAST(receita_bruta AS DOUBLE) ELSE 0.0 END AS desconto_pct,
          CASE WHEN total_pedidos > 0 THEN CAST(receita_liquida AS DOUBLE) / CAST(total_pedidos AS DOUBLE) ELSE 0.0 END AS ticket_medio,
-         coalesce(CAST(floor((epoch(TIMESTAMP '2000-12-31') - epoch(ultima_compra)) / 86400) AS BIGINT), 999) AS recencia_dias,
+         coalesce(CAST(floor((epoch((SELECT max(o_orderdate) FROM orders)) - epoch(ultima_compra)) / 86400) AS BIGINT), 999) AS recencia_dias,
          CASE WHEN receita_1999 > 0 THEN (CAST(receita_2000 AS DOUBLE) - CAST(receita_1999 AS DOUBLE)) / CAST(receita_1999 AS DOUBLE)
               WHEN receita_2000 > 0 THEN 1.0 ELSE 0.0 END AS crescimento_yoy
   FROM master0
@@ -142,7 +144,7 @@ def q(*parts: str) -> str:
     body = BINDING
     for c in ctes:
         body += ",\n" + c.strip()
-    return body + "\n" + final.strip()
+    return (body + "\n" + final.strip()).replace("{MONTHS}", MONTHS)
 
 
 TS = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
@@ -242,8 +244,8 @@ rec AS (
   SELECT cliente_id AS id, nome_cliente_ficticio AS nome, canal, porte, cidade, uf, regiao_comercial AS regiao, vendedor_id,
          coalesce(CAST(trunc(n_checkouts) AS BIGINT), 0) AS checkouts,
          coalesce(CAST(trunc(area_loja_m2) AS BIGINT), 0) AS area_m2,
-         faixa_faturamento_pdv AS faixa_fat, coalesce(strftime(data_cadastro, '%Y-%m-%d'), '') AS data_cad,
-         status_cliente AS status, cluster_raw, cluster_nome, cluster_code, cluster_tag,
+         coalesce(faixa_faturamento_pdv, '') AS faixa_fat, coalesce(strftime(data_cadastro, '%Y-%m-%d'), '') AS data_cad,
+         coalesce(status_cliente, '') AS status, cluster_raw, cluster_nome, cluster_code, cluster_tag,
          {rmoney('receita_bruta')} AS rec_bruta, {rmoney('receita_liquida')} AS rec_liq,
          {rmoney('margem_total')} AS margem, {rhu('margem_pct * 100', 2)} AS margem_pct,
          {rmoney('desconto_total')} AS desconto, {rhu('desconto_pct * 100', 2)} AS desconto_pct,
@@ -288,10 +290,10 @@ sm0 AS (
   FROM sellers s LEFT JOIN s_sales a ON s.vendedor_id = a.vendedor_id LEFT JOIN s_vis v ON s.vendedor_id = v.vendedor_id
 ),
 sm1 AS (
-  SELECT *, CAST(meta_receita_mensal AS DECIMAL(38,4)) * 24 AS meta_receita_periodo,
+  SELECT *, CAST(meta_receita_mensal AS DECIMAL(38,4)) * {MONTHS} AS meta_receita_periodo,
          CASE WHEN receita_total > 0 THEN CAST(margem_total AS DOUBLE) / CAST(receita_total AS DOUBLE) ELSE 0.0 END AS margem_realizada_pct,
          CASE WHEN receita_bruta > 0 THEN CAST(desconto_total AS DOUBLE) / CAST(receita_bruta AS DOUBLE) ELSE 0.0 END AS desconto_medio_pct,
-         CAST(total_visitas AS DOUBLE) / 24.0::DOUBLE AS visitas_mes_realizadas
+         CAST(total_visitas AS DOUBLE) / CAST({MONTHS} AS DOUBLE) AS visitas_mes_realizadas
   FROM sm0
 ),
 sm2 AS (
@@ -563,6 +565,7 @@ SELECT b.pedido_id, b.cliente_id, b.vendedor_id, b.sku_id, {ts('b.data_pedido')}
        CAST(b.margem_contribuicao AS DOUBLE) AS margem_contribuicao, c.uf, c.regiao_comercial, c.cidade, c.canal
 FROM billed b LEFT JOIN clients c ON b.cliente_id = c.cliente_id""")
 
+MIX = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 SQL["client_360"] = q(CLIENT_ROLLUP, LABELS, REC, SELLER, SREC, SWP, TOP, SPARK_LONG, MIX_LONG, f"""
 topn AS (SELECT t.*, coalesce(p.sku_nome, CAST(t.sku_id AS VARCHAR)) AS nome FROM top t LEFT JOIN products p ON t.sku_id = p.sku_id),
 t_agg AS (
@@ -576,18 +579,17 @@ t_agg AS (
 ),
 m_agg AS (
   SELECT cliente_id, count(*) FILTER (WHERE comprado) AS categorias_compradas,
-         max(CASE WHEN categoria = 'ECONOMY' THEN CAST(receita_liquida AS DOUBLE) END) AS mix_economy
+         {", ".join(f"max(CASE WHEN categoria = '{c}' THEN CAST(receita_liquida AS DOUBLE) END) AS mix_{c.lower()}" for c in MIX)}
   FROM mix_long GROUP BY cliente_id
 ),
 s_agg AS (
-  SELECT cliente_id, {rmoney('sum(receita_liquida)', 4)} AS sparkline_total,
-         CAST(arg_max(receita_liquida, mes_ref) AS DOUBLE) AS sparkline_ultimo
-  FROM spark_long GROUP BY cliente_id
+  SELECT cliente_id, {", ".join(f"max(CASE WHEN nth = {i} THEN CAST(receita_liquida AS DOUBLE) END) AS sparkline_{i}" for i in range(1, 7))}
+  FROM (SELECT *, row_number() OVER (PARTITION BY cliente_id ORDER BY mes_ref) AS nth FROM spark_long) GROUP BY cliente_id
 )""", """
 SELECT r.id AS cliente_id, r.nome, r.cluster_code, r.rec_liq, coalesce(m.categorias_compradas, 0) AS categorias_compradas,
        t.top1_nome, t.top2_nome, t.top3_nome, t.top1_receita, t.top2_receita, t.top3_receita,
        CAST(coalesce(t.n_top, 0) AS INTEGER) AS n_top, s.nome AS vendedor_nome, s.ating_rec_pct AS vendedor_ating_rec_pct,
-       sa.sparkline_total, sa.sparkline_ultimo, m.mix_economy
+       """ + ", ".join([f"sa.sparkline_{i}" for i in range(1, 7)] + [f"m.mix_{c.lower()}" for c in MIX]) + """
 FROM rec r LEFT JOIN m_agg m ON r.id = m.cliente_id LEFT JOIN t_agg t ON r.id = t.cliente_id
 LEFT JOIN s_agg sa ON r.id = sa.cliente_id LEFT JOIN srec s ON r.vendedor_id = s.id""")
 
@@ -603,14 +605,17 @@ SELECT cliente_id, total_visitas, duracao_media_visita, visitas_planejadas, visi
 FROM client_vis""")
 
 SQL["client_year_pivot"] = q(CLIENT_ROLLUP, """
-SELECT cliente_id, CAST(receita_1999 AS DOUBLE) AS receita_1999, CAST(receita_2000 AS DOUBLE) AS receita_2000 FROM client_roll""")
+SELECT cliente_id, """ + ", ".join(
+    f"CAST(coalesce(sum(CASE WHEN year(data_pedido) = {y} THEN receita_liquida END), 0) AS DOUBLE) AS receita_{y}"
+    for y in range(1995, 2002)) + """
+FROM billed WHERE cliente_id IS NOT NULL GROUP BY cliente_id""")
 
 SQL["potential_city_channel"] = q("""
 SELECT cidade, canal, CAST(sum(mercado_estimado_mensal) AS DOUBLE) AS mercado_estimado_mensal
 FROM potential WHERE cidade IS NOT NULL AND canal IS NOT NULL GROUP BY cidade, canal""")
 
 SQL["potential_state"] = q("""
-SELECT uf, CAST(sum(mercado_estimado_mensal) * 24 AS DOUBLE) AS potencial_total_24m
+SELECT uf, CAST(sum(mercado_estimado_mensal) * {MONTHS} AS DOUBLE) AS potencial_total
 FROM potential WHERE uf IS NOT NULL GROUP BY uf""")
 
 SQL["cluster_profile"] = q(CLIENT_ROLLUP, LABELS, f"""
@@ -675,7 +680,7 @@ gagg AS (
   FROM billed b LEFT JOIN clients c ON b.cliente_id = c.cliente_id
   WHERE c.uf IS NOT NULL AND c.regiao_comercial IS NOT NULL GROUP BY c.uf, c.regiao_comercial
 ),
-puf AS (SELECT uf, sum(mercado_estimado_mensal) * 24 AS potencial_total FROM potential WHERE uf IS NOT NULL GROUP BY uf)""", """
+puf AS (SELECT uf, sum(mercado_estimado_mensal) * {MONTHS} AS potencial_total FROM potential WHERE uf IS NOT NULL GROUP BY uf)""", """
 SELECT g.uf, g.regiao_comercial, CAST(g.receita_liquida AS DOUBLE) AS receita_liquida,
        CAST(g.margem_contribuicao AS DOUBLE) AS margem_contribuicao, g.clientes_atendidos, g.pedidos_total,
        CASE WHEN g.receita_liquida <> 0 THEN CAST(g.margem_contribuicao AS DOUBLE) / CAST(g.receita_liquida AS DOUBLE) END AS margem_pct,
@@ -800,7 +805,7 @@ cs AS (SELECT cliente_id, sum(receita_liquida) AS receita_liquida, count(DISTINC
        FROM billed WHERE cliente_id IS NOT NULL GROUP BY cliente_id)""", """
 SELECT c.cliente_id, CAST(coalesce(s.receita_liquida, 0) AS DOUBLE) AS receita_liquida, coalesce(s.total_pedidos, 0) AS total_pedidos,
        coalesce(s.skus_unicos, 0) AS skus_unicos,
-       coalesce(CAST(floor((epoch(TIMESTAMP '2000-12-31') - epoch(s.ultima_compra)) / 86400) AS BIGINT), 999) AS recencia_dias,
+       coalesce(CAST(floor((epoch((SELECT max(o_orderdate) FROM orders)) - epoch(s.ultima_compra)) / 86400) AS BIGINT), 999) AS recencia_dias,
        coalesce(c.n_checkouts, 1.0) AS n_checkouts, coalesce(c.area_loja_m2, 30.0) AS area_loja_m2
 FROM clients c LEFT JOIN cs s ON c.cliente_id = s.cliente_id""")
 

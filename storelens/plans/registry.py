@@ -26,9 +26,9 @@ from ..operators import ranking as K
 from ..operators import rollups as R
 from ..operators import scenario as S
 from ..operators import segmentation as G
-from ..session import cut_lineage, shared_path, write_shared
+from ..session import cut_lineage, shared_path
 from ..sources import sinks
-from ..sources.binding import RetailModel, bind_test_tables
+from ..sources.binding import PIVOT_YEARS, RetailModel, bind_test_tables
 from ..sources.tables import coerce_numeric, load_table
 from .output import as_output
 
@@ -45,6 +45,7 @@ SEARCH_CLIENTS = " 12 "
 SEARCH_FLAG = "nation_1"
 SEARCH_PRODUCTS = "blue"
 SEARCH_FIRST_N = "ring"
+MIX_CATEGORIES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 PAGE, PAGE_KEY = 2, "rec_liq"
 FIXED_K = 5
 SCENARIO_GRID = {
@@ -255,7 +256,7 @@ def q_client_360(spark, sf_dir):
     """The 360 view, flattened to scalars for the value check (nested form is unit-tested)."""
     m = model(spark, sf_dir)
     # five sections read the billed fact: join the lines to their orders once
-    b = write_shared(billed(m), "billed")
+    b = cut_lineage(billed(m))
     mb = m.replace(sales=b)
     # top SKUs, category mix and sparkline share one (client, SKU, month) pre-aggregate
     hist = cut_lineage(R.client_sku_month(b))
@@ -278,9 +279,8 @@ def q_client_360(spark, sf_dir):
         F.coalesce(F.size("top_skus"), F.lit(0)).alias("n_top"),
         "vendedor_nome",
         "vendedor_ating_rec_pct",
-        X.round_half_up(F.aggregate("sparkline", F.lit(0.0), lambda acc, x: acc + x), 4).alias("sparkline_total"),
-        F.element_at("sparkline", -1).alias("sparkline_ultimo"),
-        F.col("mix")[F.lit("ECONOMY")].alias("mix_economy"),
+        *[F.element_at("sparkline", i + 1).alias(f"sparkline_{i + 1}") for i in range(P.SPARKLINE_MONTHS)],
+        *[F.col("mix")[F.lit(c)].alias(f"mix_{c.lower()}") for c in MIX_CATEGORIES],
     )
 
 
@@ -306,7 +306,7 @@ def q_client_visits(spark, sf_dir):
 @register("client_year_pivot")
 def q_client_year_pivot(spark, sf_dir):
     m = model(spark, sf_dir)
-    return R.client_year_pivot(billed(m), m.horizon.years)
+    return R.client_year_pivot(billed(m), PIVOT_YEARS)
 
 
 @register("potential_city_channel")

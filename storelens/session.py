@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written in the open ``shared_scope`` blocks.
+_SCOPES: list[list[str]] = []
+
 # Session settings the library relies on: AQE (runtime coalescing, skew-join
 # splitting, broadcast conversion from measured sizes) and UTC.
 LIBRARY_CONF = {
@@ -20,21 +24,23 @@ LIBRARY_CONF = {
     # pre-aggregated rows, one task would carry a third of the fact
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # files of a checkpoint go when its DataFrame is no longer referenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
-def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20, max_shuffle_partitions: int = 200_000) -> dict[str, str]:
+def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Partition sizing for a run over ``input_bytes`` of parquet (e.g. about 100 TB of order lines).
 
     Scan splits and post-shuffle partitions target ``partition_bytes``, so a
     task's input fits in executor memory without spilling. The initial shuffle
-    partition count follows the input size (capped); AQE then coalesces small
+    partition count follows the input size; AQE then coalesces small
     partitions to the advisory size and splits a skewed partition (a hot
     client, SKU or order) beyond ``4 x partition_bytes`` into map-range slices.
     Auto-broadcast stays at a fixed, small size: only dimension-sized sides
     qualify, whatever the input.
     """
-    parts = max(200, min(max_shuffle_partitions, -(-input_bytes // partition_bytes)))
+    parts = max(200, -(-input_bytes // partition_bytes))
     return {
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
         "spark.sql.shuffle.partitions": str(parts),
@@ -107,15 +113,40 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_shared(spark: SparkSession, path: str) -> None:
+    """Delete a table written under the shared checkpoint folder (through Hadoop, wherever that is)."""
+    base = ensure_checkpoint_dir(spark)
+    if not path.startswith(os.path.join(base, "tables") + "/"):
+        raise ValueError(f"not a table under {base}: {path}")
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+@contextmanager
+def shared_scope(spark: SparkSession):
+    """Tables that ``write_shared`` writes inside the block are deleted when it ends."""
+    written: list[str] = []
+    _SCOPES.append(written)
+    try:
+        yield written
+    finally:
+        _SCOPES.remove(written)
+        for path in written:
+            remove_shared(spark, path)
+
+
 def write_shared(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
     Cuts lineage like a checkpoint, and later scans prune columns and push
-    filters into the written files.
+    filters into the written files. Within a ``shared_scope`` the table goes
+    when the block ends; elsewhere the caller removes it (``remove_shared``).
     """
     path = shared_path(df.sparkSession, name)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(partition_by)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     w.parquet(path)
     return df.sparkSession.read.parquet(path)

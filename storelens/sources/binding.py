@@ -4,8 +4,9 @@ The test data has no retail schema, so each model column is an expression over
 the test tables. Columns marked "stand-in" below are arithmetic with no
 business meaning, chosen to be exact in decimal and to reach every branch of
 the operators. The binding is lazy: every model table is a DataFrame plan over
-the parquet files, so Catalyst prunes columns and pushes filters (the horizon
-on ``o_orderdate``, the billed status) down to the scans.
+the parquet files, so Catalyst prunes columns and pushes filters (the billed
+status, dimension filters) down to the scans. Every order line is read; the
+horizon (reference date, number of months) is taken from the orders themselves.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F
 from ..params import CHECKIN_OK, VISIT_CONVERTED, VISIT_EXTRA_ROUTE, VISIT_PLANNED, Horizon
 from ..schemas import MONEY
 
-# Fixed values of the binding (horizon of the test data).
-TEST_HORIZON_START = "1999-01-01"
-TEST_HORIZON_END = "2001-01-01"  # exclusive
-TEST_HORIZON = Horizon(billed_status="F", reference_date="2000-12-31", years=(1999, 2000), months=24)
+# Parameters of the binding: the billed status, and the two years that growth compares (the last whole ones).
+BILLED = "F"
+GROWTH_YEARS = (1999, 2000)
+# Years of the yearly pivot.
+PIVOT_YEARS = tuple(range(1995, 2002))
 
 
 class RetailModel:
@@ -103,29 +105,32 @@ def _geo(t: TestTables) -> DataFrame:
     )
 
 
-def ntz(text: str):
-    return F.lit(text).cast("timestamp_ntz")
+def data_horizon(t: "TestTables") -> Horizon:
+    """The horizon of the data: reference date (last order) and distinct months, as scalar subqueries over the orders."""
+    orders = t("orders").select("o_orderdate")
+    return Horizon(
+        billed_status=BILLED,
+        reference_date=orders.agg(F.max("o_orderdate")).scalar(),
+        years=GROWTH_YEARS,
+        months=orders.agg(F.countDistinct(F.date_format("o_orderdate", "yyyy-MM")).cast("int")).scalar(),
+    )
 
 
 def bind_sales(spark: SparkSession, sf_dir: str, tables: TestTables | None = None) -> DataFrame:
-    """Order lines of the horizon, all statuses (``billed_sales`` filters them)."""
+    """All order lines of all statuses (``billed_sales`` filters them); a line without its order keeps NULL order columns."""
     t = _tables(spark, sf_dir, tables)
     li = t("lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
     )
-    orders = (
-        t("orders")
-        .select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-        .where((F.col("o_orderdate") >= ntz(TEST_HORIZON_START)) & (F.col("o_orderdate") < ntz(TEST_HORIZON_END)))
-    )
+    orders = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     gross = F.col("l_extendedprice").cast("decimal(18,2)")
     disc = gross * F.col("l_discount").cast("decimal(4,2)")
     cost = gross * (F.lit(0.70).cast("decimal(4,2)") + F.col("l_tax").cast("decimal(4,2)"))  # stand-in
     # every column is line- or order-level: the fact is one join (lines to their
     # orders), never a join to the SKU table that all queries would pay for
-    lines = li.join(orders, li.l_orderkey == orders.o_orderkey, "inner")
+    lines = li.join(orders, li.l_orderkey == orders.o_orderkey, "left")
     return lines.select(
-        F.col("o_orderkey").alias("pedido_id"),
+        F.col("l_orderkey").alias("pedido_id"),
         F.col("o_custkey").alias("cliente_id"),
         F.col("l_suppkey").alias("vendedor_id"),
         F.col("l_partkey").alias("sku_id"),
@@ -241,7 +246,7 @@ def bind_potential(spark: SparkSession, sf_dir: str, tables: TestTables | None =
 def bind_test_tables(spark: SparkSession, sf_dir: str) -> RetailModel:
     t = TestTables(spark, sf_dir)
     return RetailModel(
-        TEST_HORIZON,
+        data_horizon(t),
         clients=lambda: bind_clients(spark, sf_dir, t),
         products=lambda: bind_products(spark, sf_dir, t),
         sellers=lambda: bind_sellers(spark, sf_dir, t),

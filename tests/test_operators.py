@@ -196,14 +196,38 @@ def test_branches_are_reached(model_mid):
     assert master.where(F.col("recencia_dias") == 999).count() == 1500 - 966
 
 
-def test_domain_array_is_bounded(spark):
-    from pyspark.errors import PySparkException
-    from py4j.protocol import Py4JJavaError
-
+def test_domain_array_holds_every_value(spark):
     from storelens.functions import domains as D
 
-    df = spark.range(10).selectExpr("cast(id % 4 as string) as c")
-    got = spark.range(1).withColumn("d", D.domain_array(df, "c")).collect()[0].d
-    assert got == ["0", "1", "2", "3"]
-    with pytest.raises((PySparkException, Py4JJavaError)):
-        spark.range(1).withColumn("d", D.domain_array(df, "c", max_values=3)).collect()
+    df = spark.range(200_000).selectExpr("cast(id as string) as c")
+    got = spark.range(1).select(F.size(D.domain_array(df, "c")).alias("n")).collect()[0].n
+    assert got == 200_000
+
+
+def test_global_rank_equals_single_window(spark):
+    from storelens.functions.ordering import global_rank
+
+    df = spark.range(1000).selectExpr("id", "id % 7 as k", "cast((id * 37) % 1000 as string) as v")
+    got = {r.id: r.n for r in global_rank(df, ["k", "v"], "n").collect()}
+    ref = df.withColumn("n", F.row_number().over(Window.orderBy("k", "v"))).collect()
+    assert got == {r.id: r.n for r in ref}
+
+
+def test_whole_fact_is_counted(model_mid):
+    """Every billed line of the order table reaches the monthly trend (no date window)."""
+    m = model_mid
+    billed = R.billed_sales(m.sales, m.horizon.billed_status)
+    trend = R.monthly_trend(billed).agg(F.sum("receita_liquida")).collect()[0][0]
+    li = m.sales.where(F.col("status_pedido") == "F")
+    assert li.count() == 19856
+    assert float(trend) == float(li.agg(F.sum("receita_liquida")).collect()[0][0])
+
+
+def test_client_master_lines_are_not_expanded(model_mid):
+    """The lines are summed per (client, order, SKU) below the product join and the distinct counts."""
+    m = model_mid
+    plan = M.client_master(m.clients, m.sales, m.products, m.visits, m.potential, m.horizon)._jdf.queryExecution()
+    text = plan.optimizedPlan().toString()
+    expand, lines = text.index("Expand"), text.index("l_orderkey")
+    first = text.index("Aggregate [cliente_id", expand)
+    assert expand < first < lines and "pedido_id" in text[first : text.index("\n", first)]

@@ -66,8 +66,7 @@ def skewed_dir():
     hot_sku = con.execute("SELECT min(p_partkey) FROM part").fetchone()[0]
     hot_rep = con.execute("SELECT min(s_suppkey) FROM supplier").fetchone()[0]
     hot_order = con.execute(
-        "SELECT min(o_orderkey) FROM orders WHERE o_orderstatus = 'F' "
-        "AND o_orderdate >= TIMESTAMP '1999-01-01' AND o_orderdate < TIMESTAMP '2001-01-01'"
+        "SELECT min(o_orderkey) FROM orders WHERE o_orderstatus = 'F'"
     ).fetchone()[0]
     derived = {
         "orders": f"""SELECT * REPLACE (
