@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from storelens.llm.common import text_or_empty
 from storelens.session import cut_lineage
@@ -31,15 +31,20 @@ GROUP_DIGITS = 16
 SLICE_DIGITS = 3
 
 
+def key_of(text: Column, id_: Column) -> Column:
+    """The 32 hex digits (lower case) of the hashes of text and id."""
+    digits = [F.lpad(F.lower(F.hex(h)), 16, "0") for h in (F.xxhash64(text), F.xxhash64(F.lit("id"), id_))]
+    return F.concat(*digits)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, size (UTF-8 bytes + 1, null text: 1), text_crc32, __key."""
     t = text_or_empty("__text")
-    pad = lambda c: F.lpad(F.hex(c), 16, "0")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")).select(
         "doc_id",
         (F.octet_length(t) + 1).cast("long").alias("size"),
         F.crc32(t.cast("binary")).alias("text_crc32"),
-        F.concat(pad(F.xxhash64(t)), pad(F.xxhash64(F.lit("id"), "doc_id"))).alias("__key"),
+        key_of(t, F.col("doc_id")).alias("__key"),
     )
 
 
@@ -139,13 +144,10 @@ def write_shards(
     docs: DataFrame, path: str, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text",
     files_per_shard: int = 16,
 ) -> None:
-    """Write ``docs`` as parquet under ``path``/shard=K, all columns kept, after one exchange (a folder holds up to ``files_per_shard`` files)."""
+    """Write ``docs`` as parquet under ``path``/shard=K, all columns kept but one of the name shard, after one exchange (up to ``files_per_shard`` files a folder)."""
     keys = cut_lineage(keyed(docs, id_col, text_col))
     splitters = find_splitters(keys, n_shards)
     t = text_or_empty(text_col)
-    key = F.concat(
-        F.lpad(F.hex(F.xxhash64(t)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit("id"), F.col(id_col))), 16, "0")
-    )
-    out = docs.withColumn("__key", key).withColumn("shard", shard_of(splitters))
+    out = docs.withColumn("__key", key_of(t, F.col(id_col))).withColumn("shard", shard_of(splitters))
     part = F.conv(F.substring("__key", GROUP_DIGITS + 1, SLICE_DIGITS), 16, 10).cast("int") % files_per_shard
     out.repartition(n_shards * files_per_shard, "shard", part).drop("__key").write.partitionBy("shard").parquet(path)

@@ -38,7 +38,7 @@ def test_equals_all_passages():
 def test_templates_find_themselves_within_text():
     for name, text in L.TEMPLATES:
         found = L.find_licenses("Some words before.\n" + text.upper() + "\nand some behind it")
-        assert found[0][:2] == (1.0, name) and found[0][2] == 3
+        assert found[0][:2] == (1.0, name) and found[0][2] >= 3
         words = text.split()
         if len(words) > 60:  # a few changed words still count
             words[10], words[30] = "changed", "words"
