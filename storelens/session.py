@@ -101,6 +101,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def without_constraints(spark: SparkSession):
+    """Plan without inferred constraints while the block runs.
+
+    A checkpointed frame carries the constraints of the plan it came from. In a
+    loop of joins over checkpoints these equalities pile up and planning takes
+    longer every round; such loops run inside this block.
+    """
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
