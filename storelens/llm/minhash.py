@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from storelens.llm import shingles
 from storelens.llm.common import text_or_empty
-from storelens.session import cut_lineage
+from storelens.session import cut_lineage, without_constraints
 
 SIMILAR = 0.8
 REGISTERS = 280
@@ -178,7 +178,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     come after all others. Of rows repeated with one id and text one is kept.
     An empty table gives no rows. Other columns are not read.
     """
-    bare = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("__text"))
+    with without_constraints(docs.sparkSession):
+        return _near_classes(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("__text")), similar)
+
+
+def _near_classes(bare: DataFrame, similar: float) -> DataFrame:
     rows = cut_lineage(_keyed(bare, "__text", "doc_id").drop("text").withColumn("rid", F.monotonically_increasing_id()))
     signed = _keyed(bare, "__text").mapInArrow(_sign, "k1 bigint, k2 bigint, bands array<bigint>")
     nodes = cut_lineage(

@@ -102,19 +102,22 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
         first = np.full(len(todo) * m, np.inf)
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         time, step = np.zeros(len(element)), 0
-        while len(element):  # the step-th arrival of every shingle that is still before its horizon
-            step += 1
-            draw = mix(element + np.uint64(step * 0x9E3779B97F4A7C15 % 2**64))
-            time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53) / w
-            still = time <= horizon
-            if not still.all():
-                element, w, row, horizon, time, draw = (x[still] for x in (element, w, row, horizon, time, draw))
-            if not len(element):
-                break
-            register = (mix(draw) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
-            cell = row * m + register.astype(np.int64)
-            np.minimum.at(first, cell, time)
-            kept.append((cell, time, element))
+        while len(element):  # the next arrivals of every shingle that is still before its horizon, several where few are left
+            ahead = max(1, min(64, 16384 // len(element)))
+            tick = np.arange(step + 1, step + ahead + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            step += ahead
+            draw = mix(element[:, None] + tick)
+            wait = np.log(((draw >> np.uint64(24)).astype(np.float64) + 1.0) * 2.0**-40) / -w[:, None]
+            wait[:, 0] += time
+            times = np.cumsum(wait, axis=1)
+            still = times <= horizon[:, None]
+            at, _ = np.nonzero(still)
+            register = (draw[still] & np.uint64(0xFFFFFF)) * np.uint64(m) >> np.uint64(24)
+            cell = row[at] * m + register.astype(np.int64)
+            np.minimum.at(first, cell, times[still])
+            kept.append((cell, times[still], element[at]))
+            on = still[:, -1]
+            element, w, row, horizon, time = element[on], w[on], row[on], horizon[on], times[on, -1]
         cells, times, elements = (np.concatenate([k[i] for k in kept]) for i in range(3))
         won = times == first[cells]
         held = np.zeros(len(todo) * m, dtype=np.uint64)
