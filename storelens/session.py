@@ -101,23 +101,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-@contextmanager
-def without_constraints(spark: SparkSession):
-    """Plan without inferred constraints while the block runs.
-
-    A checkpointed frame carries the constraints of the plan it came from. In a
-    loop of joins over checkpoints these equalities pile up and planning takes
-    longer every round; such loops run inside this block.
-    """
-    key = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
@@ -156,7 +139,9 @@ def write_shared(df: DataFrame, name: str, partition_by: str | None = None) -> D
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
     Cuts lineage like a checkpoint, and later scans prune columns and push
-    filters into the written files. Within a ``shared_scope`` the table goes
+    filters into the written files. Size estimates start anew from the files,
+    too: a checkpoint carries the estimate of its plan, which for joins is a
+    product, so in loops of joins it grows without bound and planning with it. Within a ``shared_scope`` the table goes
     when the block ends; elsewhere the caller removes it (``remove_shared``).
     """
     path = shared_path(df.sparkSession, name)
@@ -166,4 +151,5 @@ def write_shared(df: DataFrame, name: str, partition_by: str | None = None) -> D
     if _SCOPES:
         _SCOPES[-1].append(path)
     w.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    reader = df.sparkSession.read
+    return (reader if partition_by else reader.schema(df.schema)).parquet(path)
