@@ -12,7 +12,8 @@ combining (a text held by a third of all rows is sent once per task). Rows
 find the names of their blocks through a 64-bit block hash; the naming pass
 counts the distinct blocks behind every hash, and hashes with several blocks
 are resolved by joining on the block bytes. Joins are left to AQE, which
-splits a hot name. Every level halves the rows, and is checkpointed.
+splits a hot name. Every level halves the rows, and is written to
+the shared folder.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from storelens.llm.common import ascii_lower, text_or_empty
-from storelens.session import cut_lineage
+from storelens.session import cut_lineage, shared_scope, write_shared
 
 BLOCK_BYTES = 8192
 
@@ -47,45 +48,38 @@ def _block_array(block_bytes: int) -> str:
     return f"transform(sequence(0, __n - 1), i -> substring(__b, i * {block_bytes} + 1, {block_bytes}))"
 
 
-def _number(distinct: DataFrame, by: list[str]) -> DataFrame:
+def _cut(df: DataFrame) -> DataFrame:
+    return write_shared(df, "blocks")
+
+
+def _number(distinct: DataFrame, by: list[str], drop: str = "") -> DataFrame:
     """Integer names for distinct rows: sorted in their hash partitions and numbered (partition above, rank below)."""
-    return cut_lineage(distinct.sortWithinPartitions(*by).withColumn("__name", F.monotonically_increasing_id()))
+    return _cut(distinct.sortWithinPartitions(*by).withColumn("__name", F.monotonically_increasing_id()).drop(drop))
 
 
-def name_blocks(docs: DataFrame, rows: DataFrame, text_col: str, block_bytes: int) -> DataFrame:
-    """Names of all blocks: (__rid, __n, __pos, __name) from the rows' block hashes (__rid, __n, __hs)."""
-    exploded = rows.select("__rid", "__n", F.posexplode("__hs").alias("__pos", "__h"))
+def number_blocks(docs: DataFrame, text_col: str, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(__h, __name) of all distinct blocks, and the hashes (__h) that more than one block has."""
     blocks = (
         _blocked(docs, text_col, block_bytes)
         .select(F.explode(F.expr(_block_array(block_bytes))).alias("__block"))
         .select(F.expr(block_hash("__block")).alias("__h"), "__block")
     )
-    distinct = blocks.select("__h", "__block").distinct()
-    names = cut_lineage(
-        distinct.sortWithinPartitions("__h", "__block").select("__h", F.monotonically_increasing_id().alias("__name"))
-    )
-    shared = cut_lineage(names.groupBy("__h").count().filter("count > 1").select("__h"))
-    if shared.isEmpty():
-        return exploded.join(names, "__h").select("__rid", "__n", "__pos", "__name")
-    # different blocks behind one hash: these rows are named by the block bytes; negative, so no other name is met
-    held = docs.withColumn("__rid", F.monotonically_increasing_id())
-    mine = (
-        rows.select("__rid", "__n")
-        .join(
-            held.select("__rid", normalised(text_col).alias("__t")).select("__rid", F.col("__t").cast("binary").alias("__b")),
-            "__rid",
-        )
-        .select("__rid", "__n", F.posexplode(F.expr(_block_array(block_bytes))).alias("__pos", "__block"))
-        .withColumn("__h", F.expr(block_hash("__block")))
-        .join(shared, "__h", "left_semi")
-    )
-    exact = _number(mine.select("__block").distinct(), ["__block"]).withColumn("__name", -1 - F.col("__name"))
-    return (
-        exploded.join(shared, "__h", "left_anti")
-        .join(names, "__h")
-        .select("__rid", "__n", "__pos", "__name")
-        .unionByName(mine.join(exact, "__block").select("__rid", "__n", "__pos", "__name"))
-    )
+    names = _number(blocks.select("__h", "__block").distinct(), ["__h", "__block"], drop="__block")
+    return names, _cut(names.groupBy("__h").count().filter("count > 1").select("__h"))
+
+
+def name_blocks(rows: DataFrame, names: DataFrame, shared: DataFrame, block_bytes: int) -> DataFrame:
+    """Names of all blocks of the rows: (__rid, __n, __pos, __name). If hashes are shared the rows hold the bytes (__b)."""
+    exploded = rows.select("__rid", "__n", F.posexplode("__hs").alias("__pos", "__h"))
+    columns = ["__rid", "__n", "__pos", "__name"]
+    if "__b" not in rows.columns:
+        return exploded.join(names, "__h").select(*columns)
+    # blocks behind a shared hash are named by their bytes; negative, so that no other name is met
+    held = rows.select("__rid", "__n", F.posexplode(F.expr(_block_array(block_bytes))).alias("__pos", "__block"))
+    held = held.withColumn("__h", F.expr(block_hash("__block"))).join(shared, "__h", "left_semi")
+    exact = _number(held.select("__block").distinct(), ["__block"]).withColumn("__name", -1 - F.col("__name"))
+    sole = exploded.join(shared, "__h", "left_anti").join(names, "__h")
+    return sole.select(*columns).unionByName(held.join(exact, "__block").select(*columns))
 
 
 def exact_classes(
@@ -100,7 +94,12 @@ def exact_classes(
     An empty table gives an empty result. Other columns of ``docs``, whatever
     their names, are not read.
     """
-    docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    with shared_scope(docs.sparkSession):  # all written tables go once the classes are checkpointed
+        return _classes(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), block_bytes)
+
+
+def _classes(docs: DataFrame, block_bytes: int) -> DataFrame:
+    names, shared = number_blocks(docs, "__text", block_bytes)
     rows = docs.select("__id", normalised("__text").alias("__t")).select(
         F.monotonically_increasing_id().alias("__rid"),
         "__id",
@@ -108,19 +107,16 @@ def exact_classes(
         F.col("__t").cast("binary").alias("__b"),
         F.expr(f"cast(greatest(1, ceil(octet_length(__t) / {block_bytes})) as int)").alias("__n"),
     )
-    rows = cut_lineage(
-        rows.select(
-            "__rid", "__id", "__sha", "__n",
-            F.expr(f"transform({_block_array(block_bytes)}, b -> {block_hash('b')})").alias("__hs"),
-        )
-    )
-    level = cut_lineage(name_blocks(docs, rows, "__text", block_bytes))
+    hashes = F.expr(f"transform({_block_array(block_bytes)}, b -> {block_hash('b')})").alias("__hs")
+    held = [] if shared.isEmpty() else ["__b"]
+    rows = _cut(rows.select("__rid", "__id", "__sha", "__n", hashes, *held))
+    level = _cut(name_blocks(rows, names, shared, block_bytes))
     done = [level.filter("__n = 1").select("__rid", "__n", "__name")]
     widest = rows.agg(F.max("__n")).first()[0] or 1
     width = 1
     while width < widest:  # one step per doubling of the longest text
         width *= 2
-        pairs = cut_lineage(
+        pairs = _cut(
             level.filter(f"__n > {width // 2}")
             .groupBy("__rid", "__n", F.expr("__pos div 2").alias("__pos"))
             .agg(
@@ -129,7 +125,7 @@ def exact_classes(
             )
         )
         names = _number(pairs.select("__l", "__r").distinct(), ["__l", "__r"])
-        level = cut_lineage(pairs.join(names, ["__l", "__r"]).select("__rid", "__n", "__pos", "__name"))
+        level = _cut(pairs.join(names, ["__l", "__r"]).select("__rid", "__n", "__pos", "__name"))
         done.append(level.filter(f"__n <= {width}").select("__rid", "__n", "__name"))
     named = done[0]
     for d in done[1:]:

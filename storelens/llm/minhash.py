@@ -18,7 +18,7 @@
 So a group of thousands of near copies costs comparisons with a few centres,
 not its square. Copies of one text are one node from the start, combined
 map-side. Bucket sizes, centres and labels are grouped minima; skewed joins
-are left to AQE. Signatures, buckets, packed sets and labels are checkpointed.
+are left to AQE. Signatures, buckets, packed sets and labels are tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from storelens.llm import shingles
 from storelens.llm.common import text_or_empty
-from storelens.session import cut_lineage, without_constraints
+from storelens.session import cut_lineage, shared_scope, write_shared
 
 SIMILAR = 0.8
 REGISTERS = 280
@@ -42,6 +42,10 @@ SMALL = 32
 CHUNK = 64
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    return write_shared(df, "near")
+
+
 def _keyed(docs: DataFrame, text_col: str, *more) -> DataFrame:
     t = text_or_empty(text_col)
     return docs.select(F.xxhash64(t).alias("k1"), F.xxhash64(F.lit("text"), t).alias("k2"), *more, t.alias("text"))
@@ -93,18 +97,18 @@ def components(edges: DataFrame) -> DataFrame:
     edges, so the number of steps grows with the logarithm of the longest path.
     """
     labels = None
-    edges = cut_lineage(edges.filter("u != v").distinct())
+    edges = _cut(edges.filter("u != v").distinct())
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parent = cut_lineage(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")))
+        parent = _cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")))
         if labels is None:
             labels = parent.select(F.col("u").alias("node"), F.col("p").alias("label"))
         else:
             to = parent.select(F.col("u").alias("label"), "p")
-            labels = cut_lineage(
+            labels = _cut(
                 labels.join(to, "label", "left").select("node", F.coalesce("p", "label").alias("label"))
             )
-        edges = cut_lineage(
+        edges = _cut(
             edges.join(parent, "u")
             .select(F.col("p").alias("pu"), F.col("v").alias("u"))
             .join(parent, "u")
@@ -118,12 +122,12 @@ def components(edges: DataFrame) -> DataFrame:
 def link_nodes(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(node, label) components of the similar pairs within the buckets of ``members`` (b, nid)."""
     reach = 1.0 - similar
-    labels = cut_lineage(members.select(F.col("nid").alias("node"), F.col("nid").alias("label")).distinct())
+    labels = _cut(members.select(F.col("nid").alias("node"), F.col("nid").alias("label")).distinct())
     active, first = members, True
     while not active.isEmpty():
         known = active.join(labels.withColumnRenamed("node", "nid"), "nid")
         sizes = active.groupBy("b").agg(F.min("nid").alias("c"), F.count(F.lit(1)).alias("n"))
-        centred = cut_lineage(
+        centred = _cut(
             known.join(sizes, "b").join(labels.select(F.col("node").alias("c"), F.col("label").alias("c_label")), "c")
         )
         small = F.lit(False) if first else F.col("n") <= SMALL
@@ -134,13 +138,13 @@ def link_nodes(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) ->
             right = left.select("b", F.col("x").alias("y"), F.col("lx").alias("ly"))
             inner = left.join(right, "b").filter("x < y and lx != ly").select(F.col("x").alias("a"), F.col("y").alias("b"))
             pairs = pairs.unionByName(inner)
-        sims = cut_lineage(verify(pairs.distinct(), sets))
+        sims = _cut(verify(pairs.distinct(), sets))
         links = sims.filter(F.col("sim") >= similar)
         ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("u")), "a").join(
             labels.select(F.col("node").alias("b"), F.col("label").alias("v")), "b"
         )
         merged = components(ends.select("u", "v"))
-        labels = cut_lineage(
+        labels = _cut(
             labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select(
                 "node", F.coalesce("to", "label").alias("label")
             )
@@ -160,9 +164,9 @@ def link_nodes(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) ->
                 )
             ).alias("b"),
         ).select("b", "nid")
-        marked = cut_lineage(parts.join(labels.withColumnRenamed("node", "nid"), "nid"))
+        marked = _cut(parts.join(labels.withColumnRenamed("node", "nid"), "nid"))
         open_parts = marked.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-        active = cut_lineage(marked.join(open_parts.select("b"), "b").select("b", "nid"))
+        active = _cut(marked.join(open_parts.select("b"), "b").select("b", "nid"))
         first = False
     return labels
 
@@ -178,22 +182,22 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     come after all others. Of rows repeated with one id and text one is kept.
     An empty table gives no rows. Other columns are not read.
     """
-    with without_constraints(docs.sparkSession):
+    with shared_scope(docs.sparkSession):  # all written tables go once the classes are checkpointed
         return _near_classes(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("__text")), similar)
 
 
 def _near_classes(bare: DataFrame, similar: float) -> DataFrame:
-    rows = cut_lineage(_keyed(bare, "__text", "doc_id").drop("text").withColumn("rid", F.monotonically_increasing_id()))
+    rows = _cut(_keyed(bare, "__text", "doc_id").drop("text").withColumn("rid", F.monotonically_increasing_id()))
     signed = _keyed(bare, "__text").mapInArrow(_sign, "k1 bigint, k2 bigint, bands array<bigint>")
-    nodes = cut_lineage(
+    nodes = _cut(
         signed.groupBy("k1", "k2").agg(F.first("bands").alias("bands")).withColumn("nid", F.monotonically_increasing_id())
     )
     keys = nodes.select("nid", F.explode("bands").alias("b"))
     shared = keys.groupBy("b").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).filter("lo < hi").select("b")
-    members = cut_lineage(keys.join(shared, "b").select("b", "nid"))
+    members = _cut(keys.join(shared, "b").select("b", "nid"))
     named = members.select("nid").distinct().join(nodes.select("nid", "k1", "k2"), "nid")
     texts = _keyed(bare, "__text").join(named, ["k1", "k2"]).groupBy("nid").agg(F.first("text").alias("text"))
-    sets = cut_lineage(texts.mapInArrow(_pack, "nid bigint, packed binary"))
+    sets = _cut(texts.mapInArrow(_pack, "nid bigint, packed binary"))
     labels = link_nodes(members, sets, similar)
     labelled = nodes.select("nid", "k1", "k2").join(labels.withColumnRenamed("node", "nid"), "nid", "left")
     placed = cut_lineage(
