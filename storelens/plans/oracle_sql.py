@@ -509,6 +509,15 @@ SQL["search_clients"] = q(CLIENT_ROLLUP, LABELS, REC, f"""
 SELECT id, nome, cidade, uf, vendedor_id, rec_liq FROM rec
 WHERE {' OR '.join(contains(c, '12') for c in ('nome', 'id', 'cidade', 'uf', 'vendedor_id'))}""")
 
+CSV_COLUMNS = (
+    "id ID, nome Nome, canal Canal, porte Porte, cidade Cidade, uf UF, regiao Regiao, vendedor_id Vendedor, "
+    "cluster_nome Cluster, rec_liq Receita_Liquida, margem_pct Margem_Pct, pedidos Pedidos, recencia_dias Recencia_Dias, "
+    "skus SKUs_Mix"
+)
+SQL["sink_csv"] = q(CLIENT_ROLLUP, LABELS, REC, f"""
+SELECT {', '.join('CAST({} AS VARCHAR) AS "{}"'.format(*c.split()) for c in CSV_COLUMNS.split(', '))}
+FROM rec WHERE CAST(canal AS VARCHAR) = 'BUILDING'""")
+
 SQL["search_products"] = q(f"""
 SELECT sku_id, sku_nome AS nome, categoria FROM products
 WHERE {' OR '.join(contains(c, 'blue') for c in ('sku_nome', 'sku_id', 'categoria'))}""")

@@ -593,6 +593,18 @@ def q_kmeans_segments(spark, sf_dir):
     return labelled
 
 
+@register("segmented_client_record")
+def q_segmented_client_record(spark, sf_dir):
+    """The whole segmentation chain: K-Means labels, PCA coordinates, roles, labels, published record with x and y."""
+    m = model(spark, sf_dir)
+    whole = cut_lineage(master(m))
+    scaled = G.standardize(G.client_features(whole))
+    labels, _, _ = G.kmeans_segments(scaled)
+    lm = cut_lineage(whole.join(labels, "cliente_id", "left").join(G.pca_2d(scaled), "cliente_id", "left"))
+    roles = G.segment_roles(G.cluster_profile(lm))
+    return M.client_record(G.segment_labels(lm, roles), m.horizon.years)
+
+
 @register("pca_2d")
 def q_pca_2d(spark, sf_dir):
     return G.pca_2d(scaled_features(model(spark, sf_dir)))

@@ -7,7 +7,7 @@ import __spark_entry__ as E
 from .conftest import SF_SMALL
 
 # the vectors behind K-Means are cached; its plan prints the cached plan more than once
-KEYS = sorted(set(E.QUERIES) - {"kmeans_segments", "client_360"})
+KEYS = sorted(set(E.QUERIES) - {"kmeans_segments", "segmented_client_record"})
 
 
 @pytest.mark.parametrize("key", KEYS)

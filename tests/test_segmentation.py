@@ -81,3 +81,16 @@ def test_roles_are_a_bijection(scaled, model_mid):
     roles = G.segment_roles(G.cluster_profile(lm)).collect()
     assert sorted(r.cluster_raw for r in roles) == [0, 1, 2, 3, 4]
     assert sorted(r.cluster_code for r in roles) == sorted(s.code for s in __import__("storelens.params", fromlist=["x"]).SEGMENTS)
+
+
+def test_whole_chain_covers_every_client(spark, model_small):
+    import __spark_entry__ as E
+
+    from .conftest import SF_SMALL
+
+    rec = E.queries()["segmented_client_record"](spark, SF_SMALL)
+    assert {"cluster_code", "cluster_nome", "x", "y", "faixa_fat", "status"} <= set(rec.columns)
+    rows = rec.collect()
+    assert len({r.id for r in rows}) == len(rows) == model_small.clients.count()
+    assert all(r.x is not None and r.y is not None and r.cluster_code for r in rows)
+    assert {r.faixa_fat for r in rows} == {""} and len({r.cluster_code for r in rows}) == 5
