@@ -12,7 +12,7 @@
    the triangle inequality nodes linked to the centre (distance up to 0.2) can
    only be similar to nodes at distance up to 0.4, so a bucket becomes a near
    part and a far part, each without the centre. Parts of up to SMALL nodes are
-   then compared within, larger ones get a new centre. Rounds go on until no
+   then compared within, larger ones get CENTRES new centres. Rounds go on until no
    bucket holds two components, so no pair that shares a bucket goes unseen.
 
 So a group of thousands of near copies costs comparisons with a few centres,
@@ -37,7 +37,9 @@ SIMILAR = 0.8
 REGISTERS = 280
 BAND_ROWS = 7
 #: Unresolved buckets up to this size are compared within (a node meets at most this many others).
-SMALL = 32
+SMALL = 64
+#: Centres of a larger unresolved bucket in one round (the first round takes one).
+CENTRES = 32
 #: Rows handled together in numpy.
 CHUNK = 64
 
@@ -133,7 +135,17 @@ def link_nodes(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) ->
         small = F.lit(False) if first else F.col("n") <= SMALL
         others = centred.filter("nid != c")
         pairs = others.filter((F.col("label") != F.col("c_label")) | ~small).select(F.col("c").alias("a"), F.col("nid").alias("b"))
+        rest = others.filter(~small).select("b", "nid", "c", "label")
         if not first:
+            # further centres: the least node of each of CENTRES hash classes of a large bucket
+            more = _cut(
+                rest.groupBy("b", F.pmod(F.xxhash64("nid"), F.lit(CENTRES)).alias("class"))
+                .agg(F.min(F.struct("nid", "label")).alias("t"))
+                .select("b", F.col("t.nid").alias("t"), F.col("t.label").alias("t_label"))
+            )
+            met = rest.join(more, "b").filter("nid != t and label != t_label")
+            pairs = pairs.unionByName(met.select(F.least("nid", "t").alias("a"), F.greatest("nid", "t").alias("b")))
+            rest = rest.join(more.select("b", F.col("t").alias("nid")), ["b", "nid"], "left_anti")
             left = centred.filter(small).select("b", F.col("nid").alias("x"), F.col("label").alias("lx"))
             right = left.select("b", F.col("x").alias("y"), F.col("lx").alias("ly"))
             inner = left.join(right, "b").filter("x < y and lx != ly").select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -149,7 +161,7 @@ def link_nodes(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) ->
                 "node", F.coalesce("to", "label").alias("label")
             )
         )
-        far = others.filter(~small).select("b", "nid", "c").join(
+        far = rest.select("b", "nid", "c").join(
             sims.select(F.col("a").alias("c"), F.col("b").alias("nid"), (1.0 - F.col("sim")).alias("d")), ["c", "nid"], "left"
         )
         parts = far.select(
