@@ -8,10 +8,10 @@
 2. In every bucket all nodes are compared with its least node, the centre.
    Nodes within 0.8 of it are linked, and links are closed to components.
 3. What can still hide a link is compared in further rounds: buckets whose
-   nodes lie in different components are split by distance from the centre. By
-   the triangle inequality nodes linked to the centre (distance up to 0.2) can
-   only be similar to nodes at distance up to 0.4, so a bucket becomes a near
-   part and a far part, each without the centre. Parts of up to SMALL nodes are
+   nodes lie in different components are split into overlapping shells by
+   distance from the centre: both distances are metrics, so by the triangle
+   inequality two nodes within 0.2 of each other differ by at most 0.2 there
+   and share a shell. Parts of up to SMALL nodes are
    then compared within, larger ones get CENTRES new centres. Rounds go on until no
    bucket holds two components, so no pair that shares a bucket goes unseen.
 
@@ -77,18 +77,19 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sim = [
-            shingles.similarity(a.as_py(), b.as_py())
+        sims = [
+            shingles.similarities(a.as_py(), b.as_py())
             for a, b in zip(batch.column("packed_a"), batch.column("packed_b"), strict=True)
         ]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], ["a", "b", "sim"])
+        columns = [pa.array([s[i] for s in sims], pa.float64()) for i in range(2)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns], ["a", "b", "plain", "prob"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Similarity of node pairs (a, b): the larger of plain and probability Jaccard of their shingle sets."""
+    """Node pairs (a, b) with plain, the Jaccard similarity of their shingle sets, and prob, the probability Jaccard similarity."""
     one = pairs.join(sets.select(F.col("nid").alias("b"), F.col("packed").alias("packed_b")), "b")
     two = one.join(sets.select(F.col("nid").alias("a"), F.col("packed").alias("packed_a")), "a")
-    return two.select("a", "b", "packed_a", "packed_b").mapInArrow(_compare, "a bigint, b bigint, sim double")
+    return two.select("a", "b", "packed_a", "packed_b").mapInArrow(_compare, "a bigint, b bigint, plain double, prob double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link_nodes(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(node, label) components of the similar pairs within the buckets of ``members`` (b, nid)."""
-    reach = 1.0 - similar
+    reach = (1.0 - similar) * (1.0 + 1e-9)
     labels = _cut(members.select(F.col("nid").alias("node"), F.col("nid").alias("label")).distinct())
     active, first = members, True
     while not active.isEmpty():
@@ -151,7 +152,7 @@ def link_nodes(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) ->
             inner = left.join(right, "b").filter("x < y and lx != ly").select(F.col("x").alias("a"), F.col("y").alias("b"))
             pairs = pairs.unionByName(inner)
         sims = _cut(verify(pairs.distinct(), sets))
-        links = sims.filter(F.col("sim") >= similar)
+        links = sims.filter(F.greatest("plain", "prob") >= similar)
         ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("u")), "a").join(
             labels.select(F.col("node").alias("b"), F.col("label").alias("v")), "b"
         )
@@ -161,21 +162,20 @@ def link_nodes(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) ->
                 "node", F.coalesce("to", "label").alias("label")
             )
         )
-        far = rest.select("b", "nid", "c").join(
-            sims.select(F.col("a").alias("c"), F.col("b").alias("nid"), (1.0 - F.col("sim")).alias("d")), ["c", "nid"], "left"
-        )
-        parts = far.select(
-            "nid",
-            F.explode(
-                F.filter(
-                    F.array(
-                        F.when(F.col("d") <= 2 * reach + 1e-9, F.xxhash64("b", F.lit("near"))),
-                        F.when(F.col("d") > reach - 1e-9, F.xxhash64("b", F.lit("far"))),
-                    ),
-                    lambda x: x.isNotNull(),
-                )
-            ).alias("b"),
-        ).select("b", "nid")
+        measured = rest.select("b", "nid", "c").join(
+            sims.select(F.col("a").alias("c"), F.col("b").alias("nid"), "plain", "prob"), ["c", "nid"]
+        )
+        # two nodes within reach differ by at most that in their distance from the centre, so they share a shell
+        shells = [
+            F.struct(F.lit(m).alias("m"), (F.floor((1.0 - F.col(m)) / reach) - step).alias("shell"))
+            for m in ("plain", "prob")
+            for step in (0, 1)
+        ]
+        parts = (
+            measured.select("b", "nid", F.explode(F.array(*shells)).alias("s"))
+            .filter("s.shell >= 0")
+            .select(F.xxhash64("b", "s.m", "s.shell").alias("b"), "nid")
+        )
         marked = _cut(parts.join(labels.withColumnRenamed("node", "nid"), "nid"))
         open_parts = marked.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
         active = _cut(marked.join(open_parts.select("b"), "b").select("b", "nid"))

@@ -159,10 +159,15 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similarity(a: bytes, b: bytes) -> float:
-    """The larger of the plain and the probability Jaccard similarity of two packed sets (two empty ones: 1)."""
+    """The larger of the plain and the probability Jaccard similarity of two packed sets."""
+    return max(similarities(a, b))
+
+
+def similarities(a: bytes, b: bytes) -> tuple[float, float]:
+    """Plain and probability Jaccard similarity of two packed sets (two empty ones: 1)."""
     (ha, ca), (hb, cb) = unpack(a), unpack(b)
     if not len(ha) or not len(hb):
-        return float(len(ha) == len(hb))
+        return (float(len(ha) == len(hb)),) * 2
     _, ia, ib = np.intersect1d(ha, hb, assume_unique=False, return_indices=True)
     union = len(ha) + len(hb) - len(ia)
     plain = len(ia) / union
@@ -177,4 +182,4 @@ def similarity(a: bytes, b: bytes) -> float:
     below = np.concatenate([[0.0], np.cumsum(y[order])])
     r = ratio[: len(ia)]
     at = np.searchsorted(ratio[order], r, side="left")
-    return max(plain, float((1.0 / (above[at] / x[: len(ia)] + below[at] / y[: len(ia)])).sum()))
+    return plain, float((1.0 / (above[at] / x[: len(ia)] + below[at] / y[: len(ia)])).sum())
