@@ -3,7 +3,7 @@
 Everything in this module is a *fixed value*: a constant, label or text that
 must equal the dashboard model's own values for results to line up (band
 edges and labels, class cut-offs, segment codes and texts, quadrant names,
-scenario constants). They are stated here once, in their natural order, and
+scenario constants; two segment texts and one action text leave out a brand name). They are stated here once, in their natural order, and
 every operator takes them as overridable parameters.
 """
 

@@ -155,7 +155,7 @@ def test_abc_equals_single_window(model_mid, spark):
     assert len(got) == len(ref)
     assert all(got[r.sku_id][0] == r.cum for r in ref)
     classes = [v[1] for v in got.values()]
-    assert {c: classes.count(c) for c in set(classes)} == {P.ABC_LABELS[0]: 881, P.ABC_LABELS[1]: 483, P.ABC_LABELS[2]: 636}
+    assert {c: classes.count(c) for c in set(classes)} == {P.ABC_LABELS[0]: 1116, P.ABC_LABELS[1]: 496, P.ABC_LABELS[2]: 388}
     last = K.abc_curve(skus).agg(F.max("receita_cum_pct")).collect()[0][0]
     assert abs(last - 1.0) < 1e-12
 
