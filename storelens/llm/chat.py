@@ -18,7 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from storelens.session import cut_lineage
+from storelens.llm.common import checkpointed
+
 
 TURN_BLOCK = 256
 PART_TURNS = 256
@@ -44,7 +45,7 @@ def _turns(conversations: DataFrame, names=NAMES) -> DataFrame:
 
 def prefix_hashes(conversations: DataFrame, names=NAMES) -> DataFrame:
     """Per distinct turn: __k, __id, __turn, __c1, __c2, __pos (from 1), and __p1, __p2, the hash of the prefix that ends there."""
-    turns = cut_lineage(
+    turns = checkpointed(
         _turns(conversations, names)
         .select("__k", "__id", "__turn", "__c1", "__c2")
         .distinct()
@@ -56,7 +57,7 @@ def prefix_hashes(conversations: DataFrame, names=NAMES) -> DataFrame:
     upto = Window.partitionBy(*key).orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
     counts = turns.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
     starts = counts.select(*key, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    placed = cut_lineage(
+    placed = checkpointed(
         turns.join(starts, key)
         .withColumn("__pos", F.col("__start") + F.row_number().over(inside))
         .drop("__start")
@@ -82,7 +83,7 @@ def maximal(prefixes: DataFrame) -> DataFrame:
     ends = prefixes.groupBy("__k", "__id").agg(
         F.max("__pos").alias("__n"), F.max_by(F.struct("__p1", "__p2"), "__pos").alias("__p")
     )
-    ends = cut_lineage(ends.select("__k", "__id", "__n", "__p.__p1", "__p.__p2"))
+    ends = checkpointed(ends.select("__k", "__id", "__n", "__p.__p1", "__p.__p2"))
     longer = (
         prefixes.join(ends.select("__k", "__n"), "__k")
         .filter("__pos < __n")
@@ -105,7 +106,7 @@ def render(conversations: DataFrame, names=NAMES) -> DataFrame:
     text are empty; a null id is a conversation of its own. An empty table
     gives no rows. Other columns are not read.
     """
-    prefixes = cut_lineage(prefix_hashes(conversations, names))
+    prefixes = checkpointed(prefix_hashes(conversations, names))
     kept = prefixes.join(maximal(prefixes).select("__k", "__n"), "__k").select(
         "__k", "__n", "__pos", F.coalesce("__turn", F.lit(-(2**62))).alias("__t"), "__c1", "__c2"
     )

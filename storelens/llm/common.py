@@ -6,6 +6,8 @@ import string
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from storelens.session import cut_lineage, write_shared
+
 #: A word: a run of characters other than ASCII white space (fixed value, used in Java and Python patterns alike).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,3 +28,18 @@ def text_or_empty(c: Column | str) -> Column:
     """A text column with null as the empty text."""
     c = F.col(c) if isinstance(c, str) else c
     return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def _few_files(df: DataFrame, per_core: int) -> DataFrame:
+    """``df`` in ``per_core`` partitions a core of the cluster at most: every core still has work, and files stay few."""
+    return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def checkpointed(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """``df`` checkpointed in the shared folder; the files go with the frame."""
+    return cut_lineage(_few_files(df, per_core))
+
+
+def written(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """``df`` as a table in the shared folder, which the enclosing ``shared_scope`` removes."""
+    return write_shared(_few_files(df, per_core), "step")

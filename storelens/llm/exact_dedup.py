@@ -20,10 +20,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from storelens.llm.common import ascii_lower, text_or_empty
-from storelens.session import cut_lineage, shared_scope, write_shared
+from storelens.llm.common import ascii_lower, checkpointed, text_or_empty, written
+from storelens.session import shared_scope
 
-BLOCK_BYTES = 8192
+BLOCK_BYTES = 1 << 15
 
 
 def block_hash(block: str) -> str:
@@ -48,13 +48,10 @@ def _block_array(block_bytes: int) -> str:
     return f"transform(sequence(0, __n - 1), i -> substring(__b, i * {block_bytes} + 1, {block_bytes}))"
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    return write_shared(df, "blocks")
-
-
 def _number(distinct: DataFrame, by: list[str], drop: str = "") -> DataFrame:
     """Integer names for distinct rows: sorted in their hash partitions and numbered (partition above, rank below)."""
-    return _cut(distinct.sortWithinPartitions(*by).withColumn("__name", F.monotonically_increasing_id()).drop(drop))
+    named = distinct.sortWithinPartitions(*by).withColumn("__name", F.monotonically_increasing_id())
+    return written(named.drop(drop), per_core=8)
 
 
 def number_blocks(docs: DataFrame, text_col: str, block_bytes: int) -> tuple[DataFrame, DataFrame]:
@@ -65,7 +62,7 @@ def number_blocks(docs: DataFrame, text_col: str, block_bytes: int) -> tuple[Dat
         .select(F.expr(block_hash("__block")).alias("__h"), "__block")
     )
     names = _number(blocks.select("__h", "__block").distinct(), ["__h", "__block"], drop="__block")
-    return names, _cut(names.groupBy("__h").count().filter("count > 1").select("__h"))
+    return names, names.groupBy("__h").count().filter("count > 1").select("__h")
 
 
 def name_blocks(rows: DataFrame, names: DataFrame, shared: DataFrame, block_bytes: int) -> DataFrame:
@@ -109,14 +106,15 @@ def _classes(docs: DataFrame, block_bytes: int) -> DataFrame:
     )
     hashes = F.expr(f"transform({_block_array(block_bytes)}, b -> {block_hash('b')})").alias("__hs")
     held = [] if shared.isEmpty() else ["__b"]
-    rows = _cut(rows.select("__rid", "__id", "__sha", "__n", hashes, *held))
-    level = _cut(name_blocks(rows, names, shared, block_bytes))
-    done = [level.filter("__n = 1").select("__rid", "__n", "__name")]
+    rows = written(rows.select("__rid", "__id", "__sha", "__n", hashes, *held), per_core=8)
+    level = name_blocks(rows, names, shared, block_bytes)
     widest = rows.agg(F.max("__n")).first()[0] or 1
+    level = written(level) if widest > 1 else level
+    done = [level.filter("__n = 1").select("__rid", "__n", "__name")]
     width = 1
     while width < widest:  # one step per doubling of the longest text
         width *= 2
-        pairs = _cut(
+        pairs = written(
             level.filter(f"__n > {width // 2}")
             .groupBy("__rid", "__n", F.expr("__pos div 2").alias("__pos"))
             .agg(
@@ -125,12 +123,12 @@ def _classes(docs: DataFrame, block_bytes: int) -> DataFrame:
             )
         )
         names = _number(pairs.select("__l", "__r").distinct(), ["__l", "__r"])
-        level = _cut(pairs.join(names, ["__l", "__r"]).select("__rid", "__n", "__pos", "__name"))
+        level = written(pairs.join(names, ["__l", "__r"]).select("__rid", "__n", "__pos", "__name"))
         done.append(level.filter(f"__n <= {width}").select("__rid", "__n", "__name"))
     named = done[0]
     for d in done[1:]:
         named = named.unionByName(d)
-    named = cut_lineage(named.join(rows.select("__rid", "__id", "__sha"), "__rid"))
+    named = checkpointed(named.join(rows.select("__rid", "__id", "__sha"), "__rid"))
     groups = named.groupBy("__n", "__name").agg(
         F.max(F.struct("__id", "__rid")).alias("__keep"), F.count(F.lit(1)).alias("group_size")
     )

@@ -30,8 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from storelens.llm.common import text_or_empty
-from storelens.session import cut_lineage
+from storelens.llm.common import checkpointed, text_or_empty
 
 #: Pages on which a text must be the same (all of at least this many with the node) to be template.
 SUPPORT = 5
@@ -346,7 +345,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Repeated rows give repeated results; an empty table none; other columns are
     not read.
     """
-    trees = cut_lineage(induce(pages, url_col, html_col))
+    trees = checkpointed(induce(pages, url_col, html_col))
     id_type = pages.schema[id_col].dataType.simpleString()
     salted = trees.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
     source = pages.select(

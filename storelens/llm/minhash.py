@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from storelens.llm import shingles
-from storelens.llm.common import text_or_empty
-from storelens.session import cut_lineage, shared_scope, write_shared
+from storelens.llm.common import checkpointed, text_or_empty, written
+from storelens.session import shared_scope
 
 SIMILAR = 0.8
 REGISTERS = 280
@@ -44,10 +44,6 @@ CENTRES = 32
 CHUNK = 64
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    return write_shared(df, "near")
-
-
 def _keyed(docs: DataFrame, text_col: str, *more) -> DataFrame:
     t = text_or_empty(text_col)
     return docs.select(F.xxhash64(t).alias("k1"), F.xxhash64(F.lit("text"), t).alias("k2"), *more, t.alias("text"))
@@ -100,18 +96,18 @@ def components(edges: DataFrame) -> DataFrame:
     edges, so the number of steps grows with the logarithm of the longest path.
     """
     labels = None
-    edges = _cut(edges.filter("u != v").distinct())
+    edges = written(edges.filter("u != v").distinct())
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parent = _cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")))
+        parent = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")))
         if labels is None:
             labels = parent.select(F.col("u").alias("node"), F.col("p").alias("label"))
         else:
             to = parent.select(F.col("u").alias("label"), "p")
-            labels = _cut(
+            labels = written(
                 labels.join(to, "label", "left").select("node", F.coalesce("p", "label").alias("label"))
             )
-        edges = _cut(
+        edges = written(
             edges.join(parent, "u")
             .select(F.col("p").alias("pu"), F.col("v").alias("u"))
             .join(parent, "u")
@@ -125,12 +121,12 @@ def components(edges: DataFrame) -> DataFrame:
 def link_nodes(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(node, label) components of the similar pairs within the buckets of ``members`` (b, nid)."""
     reach = (1.0 - similar) * (1.0 + 1e-9)
-    labels = _cut(members.select(F.col("nid").alias("node"), F.col("nid").alias("label")).distinct())
+    labels = written(members.select(F.col("nid").alias("node"), F.col("nid").alias("label")).distinct())
     active, first = members, True
     while not active.isEmpty():
         known = active.join(labels.withColumnRenamed("node", "nid"), "nid")
         sizes = active.groupBy("b").agg(F.min("nid").alias("c"), F.count(F.lit(1)).alias("n"))
-        centred = _cut(
+        centred = written(
             known.join(sizes, "b").join(labels.select(F.col("node").alias("c"), F.col("label").alias("c_label")), "c")
         )
         small = F.lit(False) if first else F.col("n") <= SMALL
@@ -139,7 +135,7 @@ def link_nodes(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) ->
         rest = others.filter(~small).select("b", "nid", "c", "label")
         if not first:
             # further centres: the least node of each of CENTRES hash classes of a large bucket
-            more = _cut(
+            more = written(
                 rest.groupBy("b", F.pmod(F.xxhash64("nid"), F.lit(CENTRES)).alias("class"))
                 .agg(F.min(F.struct("nid", "label")).alias("t"))
                 .select("b", F.col("t.nid").alias("t"), F.col("t.label").alias("t_label"))
@@ -151,13 +147,13 @@ def link_nodes(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) ->
             right = left.select("b", F.col("x").alias("y"), F.col("lx").alias("ly"))
             inner = left.join(right, "b").filter("x < y and lx != ly").select(F.col("x").alias("a"), F.col("y").alias("b"))
             pairs = pairs.unionByName(inner)
-        sims = _cut(verify(pairs.distinct(), sets))
+        sims = written(verify(pairs.distinct(), sets), per_core=8)
         links = sims.filter(F.greatest("plain", "prob") >= similar)
         ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("u")), "a").join(
             labels.select(F.col("node").alias("b"), F.col("label").alias("v")), "b"
         )
         merged = components(ends.select("u", "v"))
-        labels = _cut(
+        labels = written(
             labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select(
                 "node", F.coalesce("to", "label").alias("label")
             )
@@ -176,9 +172,9 @@ def link_nodes(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) ->
             .filter("s.shell >= 0")
             .select(F.xxhash64("b", "s.m", "s.shell").alias("b"), "nid")
         )
-        marked = _cut(parts.join(labels.withColumnRenamed("node", "nid"), "nid"))
+        marked = written(parts.join(labels.withColumnRenamed("node", "nid"), "nid"))
         open_parts = marked.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-        active = _cut(marked.join(open_parts.select("b"), "b").select("b", "nid"))
+        active = written(marked.join(open_parts.select("b"), "b").select("b", "nid"))
         first = False
     return labels
 
@@ -199,20 +195,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _near_classes(bare: DataFrame, similar: float) -> DataFrame:
-    rows = _cut(_keyed(bare, "__text", "doc_id").drop("text").withColumn("rid", F.monotonically_increasing_id()))
+    rows = written(_keyed(bare, "__text", "doc_id").drop("text").withColumn("rid", F.monotonically_increasing_id()))
     signed = _keyed(bare, "__text").mapInArrow(_sign, "k1 bigint, k2 bigint, bands array<bigint>")
-    nodes = _cut(
-        signed.groupBy("k1", "k2").agg(F.first("bands").alias("bands")).withColumn("nid", F.monotonically_increasing_id())
+    nodes = written(
+        signed.groupBy("k1", "k2").agg(F.first("bands").alias("bands")).withColumn("nid", F.monotonically_increasing_id()),
+        per_core=8,
     )
     keys = nodes.select("nid", F.explode("bands").alias("b"))
     shared = keys.groupBy("b").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).filter("lo < hi").select("b")
-    members = _cut(keys.join(shared, "b").select("b", "nid"))
+    members = written(keys.join(shared, "b").select("b", "nid"), per_core=8)
     named = members.select("nid").distinct().join(nodes.select("nid", "k1", "k2"), "nid")
     texts = _keyed(bare, "__text").join(named, ["k1", "k2"]).groupBy("nid").agg(F.first("text").alias("text"))
-    sets = _cut(texts.mapInArrow(_pack, "nid bigint, packed binary"))
+    sets = written(texts.mapInArrow(_pack, "nid bigint, packed binary"), per_core=8)
     labels = link_nodes(members, sets, similar)
     labelled = nodes.select("nid", "k1", "k2").join(labels.withColumnRenamed("node", "nid"), "nid", "left")
-    placed = cut_lineage(
+    placed = checkpointed(
         rows.join(labelled.select("k1", "k2", F.coalesce("label", "nid").alias("label")), ["k1", "k2"])
     )
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")

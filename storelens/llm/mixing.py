@@ -21,8 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from storelens.llm.common import WORD, text_or_empty
-from storelens.session import cut_lineage
+from storelens.llm.common import WORD, checkpointed, text_or_empty
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -50,7 +49,7 @@ def source_key(source_col: str) -> Column:
 def ranked_sources(sources: DataFrame) -> DataFrame:
     """Distinct sources (__k) with __rank from 0 in key order, numbered in ranges (no task sees all of them)."""
     total = sources.count()
-    ranged = cut_lineage(
+    ranged = checkpointed(
         sources.repartitionByRange(max(1, -(-total // RANK_ROWS)), "__k")
         .sortWithinPartitions("__k")
         .withColumn("__range", F.spark_partition_id())
@@ -70,7 +69,7 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, mo
     below their bound rises from round to round.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("__rank") % len(weights) + 1).cast("int"))
-    ranked = cut_lineage(ranked_sources(sources).select("__k", "__size", w.alias("__w")))
+    ranked = checkpointed(ranked_sources(sources).select("__k", "__size", w.alias("__w")))
     level, full = 0.0, -1
     bound = F.col("__size") * float(most)
     budget = float(ranked.agg(F.sum("__size")).first()[0] or 0) * share
@@ -169,10 +168,10 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         *[F.col(c).alias(f"__keep_{i}") for i, c in enumerate(keep)],
     ).withColumn("__bucket", F.pmod(F.col("__h"), F.lit(BUCKETS)).cast("int"))
     if not keep:
-        sized = cut_lineage(sized)
-    cells = cut_lineage(sized.groupBy("__k", "size", "__bucket").agg(F.count(F.lit(1)).alias("__n")))
+        sized = checkpointed(sized)
+    cells = checkpointed(sized.groupBy("__k", "size", "__bucket").agg(F.count(F.lit(1)).alias("__n")))
     lengths = cells.groupBy("__k", "size").agg(F.sum("__n").alias("__n"))
-    targets = cut_lineage(source_targets(lengths.groupBy("__k").agg(F.sum(F.col("size") * F.col("__n")).alias("__size"))))
+    targets = checkpointed(source_targets(lengths.groupBy("__k").agg(F.sum(F.col("size") * F.col("__n")).alias("__size"))))
     plan = (
         lengths.join(targets, "__k").select("__k", "size", "__n", "target").groupBy("__k").applyInPandas(_plan, PLAN)
     )

@@ -21,8 +21,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from storelens.llm.common import text_or_empty
-from storelens.session import cut_lineage
+from storelens.llm.common import checkpointed, text_or_empty
 
 TOLERANCE = 0.005
 DIGITS = 32
@@ -119,7 +118,7 @@ def assign_shards(
     shard, and their slots are in no defined order. An empty table gives no
     rows. Other columns are not read.
     """
-    keys = cut_lineage(keyed(docs, id_col, text_col))
+    keys = checkpointed(keyed(docs, id_col, text_col))
     placed = keys.withColumn("shard", shard_of(find_splitters(keys, n_shards, tolerance))).withColumn(
         "__slice", F.substring("__key", GROUP_DIGITS + 1, SLICE_DIGITS)
     )
@@ -145,7 +144,7 @@ def write_shards(
     files_per_shard: int = 16,
 ) -> None:
     """Write ``docs`` as parquet under ``path``/shard=K, all columns kept but one of the name shard, after one exchange (up to ``files_per_shard`` files a folder)."""
-    keys = cut_lineage(keyed(docs, id_col, text_col))
+    keys = checkpointed(keyed(docs, id_col, text_col))
     splitters = find_splitters(keys, n_shards)
     t = text_or_empty(text_col)
     out = docs.withColumn("__key", key_of(t, F.col(id_col))).withColumn("shard", shard_of(splitters))
