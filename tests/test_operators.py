@@ -193,7 +193,8 @@ def test_branches_are_reached(model_mid):
     master = M.client_master(m.clients, m.sales, m.products, m.visits, m.potential, m.horizon)
     g = {r[0] for r in master.select(F.when(F.col("crescimento_yoy") == 1.0, "new").when(F.col("crescimento_yoy") == 0, "none").when(F.col("crescimento_yoy") == -1.0, "lost").otherwise("both")).distinct().collect()}
     assert g == {"new", "none", "lost", "both"}
-    assert master.where(F.col("recencia_dias") == 999).count() == 1500 - 966
+    assert master.where(F.col("ultima_compra").isNull()).count() == 1500 - 1425
+    assert master.where("ultima_compra is null and recencia_dias != 999").count() == 0
 
 
 def test_domain_array_holds_every_value(spark):
