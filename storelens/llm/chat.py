@@ -3,9 +3,9 @@
 Logged conversations are often snapshots: the same turns once more with a few
 added. Every turn gets its place in its conversation and every prefix of a
 conversation a rolling 128-bit hash: the exclusive-or of the hashes of (place,
-role, text) of its turns. A conversation is dropped when its last prefix hash
-is that of a proper prefix elsewhere (one anti-join), and of equal
-conversations the one with the least id stays (another). The rest is rendered.
+role, text) of its turns. Of equal conversations the one with the least id
+stays, and it is dropped when its last prefix hash is that of a proper prefix
+elsewhere (an anti-join). The rest is rendered.
 
 Scale: running counts and hashes are taken in blocks of TURN_BLOCK turns and
 joined by the blocks' own totals, so one endless conversation is spread over
@@ -90,9 +90,9 @@ def maximal(prefixes: DataFrame) -> DataFrame:
         .select(F.col("__pos").alias("__n"), "__p1", "__p2")
         .distinct()
     )
-    whole = ends.join(longer, ["__n", "__p1", "__p2"], "left_anti")
-    first = whole.groupBy("__n", "__p1", "__p2").agg(F.min(F.struct("__id", "__k")).alias("__first"))
-    return first.select("__first.__k", "__first.__id", "__n")
+    # equal conversations become one before the anti-join: a conversation that many logs share is no hot key there
+    first = ends.groupBy("__n", "__p1", "__p2").agg(F.min(F.struct("__id", "__k")).alias("__first"))
+    return first.join(longer, ["__n", "__p1", "__p2"], "left_anti").select("__first.__k", "__first.__id", "__n")
 
 
 def render(conversations: DataFrame, names=NAMES) -> DataFrame:
