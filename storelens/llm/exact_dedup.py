@@ -129,8 +129,11 @@ def _classes(docs: DataFrame, block_bytes: int) -> DataFrame:
     for d in done[1:]:
         named = named.unionByName(d)
     named = checkpointed(named.join(rows.select("__rid", "__id", "__sha"), "__rid"))
-    groups = named.groupBy("__n", "__name").agg(
-        F.max(F.struct("__id", "__rid")).alias("__keep"), F.count(F.lit(1)).alias("group_size")
+    # checkpointed, so that the join below is between two exchanges and a large group's rows can be split
+    groups = checkpointed(
+        named.groupBy("__n", "__name").agg(
+            F.max(F.struct("__id", "__rid")).alias("__keep"), F.count(F.lit(1)).alias("group_size")
+        )
     )
     return named.join(groups, ["__n", "__name"]).select(
         F.col("__id").alias("doc_id"),

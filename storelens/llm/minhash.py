@@ -213,7 +213,10 @@ def _near_classes(bare: DataFrame, similar: float) -> DataFrame:
         rows.join(labelled.select("k1", "k2", F.coalesce("label", "nid").alias("label")), ["k1", "k2"])
     )
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
-    classes = placed.groupBy("label").agg(F.min(order).alias("keep"), F.count(F.lit(1)).alias("class_size"))
+    # checkpointed, so that the join below is between two exchanges and a large class's rows can be split
+    classes = checkpointed(
+        placed.groupBy("label").agg(F.min(order).alias("keep"), F.count(F.lit(1)).alias("class_size"))
+    )
     return placed.join(classes, "label").select(
         "doc_id", F.col("keep.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("keep.rid")).alias("kept"),
         "k1", "k2",
