@@ -12,7 +12,7 @@ Documents without a clear winner are flagged as ambiguous.
 Scale: one pass over the training texts makes count vectors per language (a
 few KB per task and language, summed in tree order by Spark), one pass
 predicts. Scale and weights are fitted on the at most SAMPLE_ROWS training
-documents of least id hash; that bound is the only sample here.
+documents picked by a hash of id and text; that is the only sample here.
 """
 
 from __future__ import annotations
@@ -109,18 +109,20 @@ def held_out(id_col: Column) -> Column:
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One count vector per language and task, as (feature block, language, counts)."""
+    """One count vector per language and task; its last entry is the number of documents."""
     sums: dict[str, np.ndarray] = {}
+    docs: dict[str, int] = {}
     for batch in batches:
         for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
             lang = lang.as_py()
             counts = trigrams(text.as_py() or "")
             # a document weighs by the square root of its length, so that no few texts rule a language
             sums[lang] = sums.get(lang, 0) + counts / math.sqrt(max(1, counts.sum()))
+            docs[lang] = docs.get(lang, 0) + 1
     if sums:
         langs = list(sums)
-        flat = np.concatenate([sums[x] for x in langs])
-        offsets = np.arange(len(langs) + 1) * FEATURES
+        flat = np.concatenate([np.append(sums[x], docs[x]) for x in langs])
+        offsets = np.arange(len(langs) + 1) * (FEATURES + 1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(langs, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
             ["lang", "counts"],
@@ -146,10 +148,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return None
     summed.sort(key=lambda r: r["lang"])
     languages = [r["lang"] for r in summed]
-    share = np.zeros((len(languages), FEATURES))
+    share = np.zeros((len(languages), FEATURES + 1))
     for i, r in enumerate(summed):
         for x in r["v"]:
             share[i, x["f"]] = round(x["c"], 6)
+    documents, share = share[:, -1].sum(), share[:, :-1]
     share = (share + 0.5) / (share + 0.5).sum(1, keepdims=True)  # languages weigh alike
     code = codewords(len(languages))
     odds = np.zeros((FEATURES, code.shape[1]))
@@ -159,9 +162,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             odds[:, j] = np.log(one.mean(0)) - np.log(zero.mean(0))
     ones = np.ones(code.shape[1])
     model = Model(languages, code, odds, ones, 0 * ones, np.ones(code.shape))
+    # a hash of id and text picks about four fifths of SAMPLE_ROWS; the limit only matters if many rows are the same
+    picked = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) < int(0.8 * SAMPLE_ROWS / documents * 2**40) + 1
     sample = (
-        rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("lang", F.col("text"))
-        .mapInArrow(_margin_rows(model), f"lang string, m array<double>").collect()
+        rows.filter(picked).select("lang", "text").mapInArrow(_margin_rows(model), "lang string, m array<double>")
+        .limit(SAMPLE_ROWS).collect()
     )
     lang = np.array([languages.index(r["lang"]) for r in sample])
     raw = np.array([r["m"] for r in sample])
