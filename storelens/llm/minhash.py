@@ -7,13 +7,12 @@
    alike two texts are the less likely that gets.
 2. In every bucket all nodes are compared with its least node, the centre.
    Nodes within 0.8 of it are linked, and links are closed to components.
-3. What can still hide a link is compared in further rounds: buckets whose
-   nodes lie in different components are split into overlapping shells by
-   distance from the centre: both distances are metrics, so by the triangle
-   inequality two nodes within 0.2 of each other differ by at most 0.2 there
-   and share a shell. Parts of up to SMALL nodes are
-   then compared within, larger ones get CENTRES new centres. Rounds go on until no
-   bucket holds two components, so no pair that shares a bucket goes unseen.
+3. What can still hide a link is compared in further rounds, in the buckets
+   whose nodes lie in different components. Buckets of up to SMALL nodes are
+   compared within, across components. In larger ones the next centres, up to
+   CENTRES of them from outside the first one's component, meet all nodes of
+   other components, and are then done with. Rounds go on until no bucket holds
+   two components, so no pair that shares a bucket goes unseen.
 
 So a group of thousands of near copies costs comparisons with a few centres,
 not its square. Copies of one text are one node from the start, combined
@@ -39,7 +38,7 @@ BAND_ROWS = 7
 #: Unresolved buckets up to this size are compared within (a node meets at most this many others).
 SMALL = 64
 #: Centres of a larger unresolved bucket in one round (the first round takes one).
-CENTRES = 32
+CENTRES = 64
 #: Rows handled together in numpy.
 CHUNK = 64
 
@@ -120,7 +119,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link_nodes(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(node, label) components of the similar pairs within the buckets of ``members`` (b, nid)."""
-    reach = (1.0 - similar) * (1.0 + 1e-9)
     labels = written(members.select(F.col("nid").alias("node"), F.col("nid").alias("label")).distinct())
     active, first = members, True
     while not active.isEmpty():
@@ -131,12 +129,12 @@ def link_nodes(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) ->
         )
         small = F.lit(False) if first else F.col("n") <= SMALL
         others = centred.filter("nid != c")
-        pairs = others.filter((F.col("label") != F.col("c_label")) | ~small).select(F.col("c").alias("a"), F.col("nid").alias("b"))
-        rest = others.filter(~small).select("b", "nid", "c", "label")
+        pairs = others.filter("label != c_label").select(F.col("c").alias("a"), F.col("nid").alias("b"))
+        rest = others.filter(~small).select("b", "nid", "c", "label", "c_label")
         if not first:
-            # further centres: the least node of each of CENTRES hash classes of a large bucket
+            # further centres: of the nodes not in the centre's component, the least of each of CENTRES hash classes
             more = written(
-                rest.groupBy("b", F.pmod(F.xxhash64("nid"), F.lit(CENTRES)).alias("class"))
+                rest.filter("label != c_label").groupBy("b", F.pmod(F.xxhash64("nid"), F.lit(CENTRES)).alias("class"))
                 .agg(F.min(F.struct("nid", "label")).alias("t"))
                 .select("b", F.col("t.nid").alias("t"), F.col("t.label").alias("t_label"))
             )
@@ -158,21 +156,7 @@ def link_nodes(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) ->
                 "node", F.coalesce("to", "label").alias("label")
             )
         )
-        measured = rest.select("b", "nid", "c").join(
-            sims.select(F.col("a").alias("c"), F.col("b").alias("nid"), "plain", "prob"), ["c", "nid"]
-        )
-        # two nodes within reach differ by at most that in their distance from the centre, so they share a shell
-        shells = [
-            F.struct(F.lit(m).alias("m"), (F.floor((1.0 - F.col(m)) / reach) - step).alias("shell"))
-            for m in ("plain", "prob")
-            for step in (0, 1)
-        ]
-        parts = (
-            measured.select("b", "nid", F.explode(F.array(*shells)).alias("s"))
-            .filter("s.shell >= 0")
-            .select(F.xxhash64("b", "s.m", "s.shell").alias("b"), "nid")
-        )
-        marked = written(parts.join(labels.withColumnRenamed("node", "nid"), "nid"))
+        marked = written(rest.select("b", "nid").join(labels.withColumnRenamed("node", "nid"), "nid"))
         open_parts = marked.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
         active = written(marked.join(open_parts.select("b"), "b").select("b", "nid"))
         first = False
