@@ -5,7 +5,8 @@
    bands of BAND_ROWS; equal bands put nodes into one bucket. A pair with
    similarity 0.8 shares no bucket with probability below 1e-4, and the more
    alike two texts are the less likely that gets.
-2. In every bucket all nodes are compared with its least node, the centre.
+2. In every bucket all nodes are compared with its centre, the node that meets
+   most others over all its buckets.
    Nodes within 0.8 of it are linked, and links are closed to components.
 3. What can still hide a link is compared in further rounds, in the buckets
    whose nodes lie in different components. Buckets of up to SMALL nodes are
@@ -16,7 +17,7 @@
 
 So a group of thousands of near copies costs comparisons with a few centres,
 not its square. Copies of one text are one node from the start, combined
-map-side. Bucket sizes, centres and labels are grouped minima; skewed joins
+map-side. Bucket sizes, centres and labels are grouped aggregates; skewed joins
 are left to AQE. Signatures, buckets, packed sets and labels are tables in the shared folder.
 """
 
@@ -119,23 +120,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link_nodes(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(node, label) components of the similar pairs within the buckets of ``members`` (b, nid)."""
-    labels = written(members.select(F.col("nid").alias("node"), F.col("nid").alias("label")).distinct())
+    met_in = members.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    labels = written(
+        members.join(met_in, "b").groupBy(F.col("nid").alias("node")).agg(F.sum("n").alias("p")).withColumn("label", F.col("node"))
+    )
     active, first = members, True
     while not active.isEmpty():
         known = active.join(labels.withColumnRenamed("node", "nid"), "nid")
-        sizes = active.groupBy("b").agg(F.min("nid").alias("c"), F.count(F.lit(1)).alias("n"))
-        centred = written(
-            known.join(sizes, "b").join(labels.select(F.col("node").alias("c"), F.col("label").alias("c_label")), "c")
-        )
+        # the node that meets most others is most likely the one that its near copies were made from
+        sizes = known.groupBy("b").agg(F.max(F.struct("p", "nid", "label")).alias("t"), F.count(F.lit(1)).alias("n"))
+        sizes = sizes.select("b", "n", F.col("t.nid").alias("c"), F.col("t.label").alias("c_label"))
+        centred = written(known.join(sizes, "b"))
         small = F.lit(False) if first else F.col("n") <= SMALL
         others = centred.filter("nid != c")
-        pairs = others.filter("label != c_label").select(F.col("c").alias("a"), F.col("nid").alias("b"))
-        rest = others.filter(~small).select("b", "nid", "c", "label", "c_label")
+        pairs = others.filter("label != c_label").select(F.least("c", "nid").alias("a"), F.greatest("c", "nid").alias("b"))
+        rest = others.filter(~small).select("b", "nid", "p", "label", "c_label")
         if not first:
-            # further centres: of the nodes not in the centre's component, the least of each of CENTRES hash classes
+            # further centres: of the nodes not in the centre's component, the first of each of CENTRES hash classes
             more = written(
                 rest.filter("label != c_label").groupBy("b", F.pmod(F.xxhash64("nid"), F.lit(CENTRES)).alias("class"))
-                .agg(F.min(F.struct("nid", "label")).alias("t"))
+                .agg(F.max(F.struct("p", "nid", "label")).alias("t"))
                 .select("b", F.col("t.nid").alias("t"), F.col("t.label").alias("t_label"))
             )
             met = rest.join(more, "b").filter("nid != t and label != t_label")
@@ -153,14 +157,14 @@ def link_nodes(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) ->
         merged = components(ends.select("u", "v"))
         labels = written(
             labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select(
-                "node", F.coalesce("to", "label").alias("label")
+                "node", "p", F.coalesce("to", "label").alias("label")
             )
         )
         marked = written(rest.select("b", "nid").join(labels.withColumnRenamed("node", "nid"), "nid"))
         open_parts = marked.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
         active = written(marked.join(open_parts.select("b"), "b").select("b", "nid"))
         first = False
-    return labels
+    return labels.select("node", "label")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
