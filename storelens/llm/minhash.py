@@ -38,7 +38,8 @@ REGISTERS = 280
 BAND_ROWS = 7
 #: Unresolved buckets up to this size are compared within (a node meets at most this many others).
 SMALL = 64
-#: Centres of a larger unresolved bucket in one round (the first round takes one).
+#: Centres of a larger unresolved bucket in one round at most (the first round takes one, then 2, 4, ...: links found by
+#: a few centres spare most comparisons of the later ones).
 CENTRES = 64
 #: Rows handled together in numpy.
 CHUNK = 64
@@ -124,21 +125,21 @@ def link_nodes(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) ->
     labels = written(
         members.join(met_in, "b").groupBy(F.col("nid").alias("node")).agg(F.sum("n").alias("p")).withColumn("label", F.col("node"))
     )
-    active, first = members, True
+    active, step = members, 0
     while not active.isEmpty():
         known = active.join(labels.withColumnRenamed("node", "nid"), "nid")
         # the node that meets most others is most likely the one that its near copies were made from
         sizes = known.groupBy("b").agg(F.max(F.struct("p", "nid", "label")).alias("t"), F.count(F.lit(1)).alias("n"))
         sizes = sizes.select("b", "n", F.col("t.nid").alias("c"), F.col("t.label").alias("c_label"))
         centred = written(known.join(sizes, "b"))
-        small = F.lit(False) if first else F.col("n") <= SMALL
+        small = F.col("n") <= SMALL if step else F.lit(False)
         others = centred.filter("nid != c")
         pairs = others.filter("label != c_label").select(F.least("c", "nid").alias("a"), F.greatest("c", "nid").alias("b"))
         rest = others.filter(~small).select("b", "nid", "p", "label", "c_label")
-        if not first:
-            # further centres: of the nodes not in the centre's component, the first of each of CENTRES hash classes
+        if step:
+            # further centres: of the nodes not in the centre's component, the first of each hash class
             more = written(
-                rest.filter("label != c_label").groupBy("b", F.pmod(F.xxhash64("nid"), F.lit(CENTRES)).alias("class"))
+                rest.filter("label != c_label").groupBy("b", F.pmod(F.xxhash64("nid"), F.lit(min(CENTRES, 2**step))).alias("class"))
                 .agg(F.max(F.struct("p", "nid", "label")).alias("t"))
                 .select("b", F.col("t.nid").alias("t"), F.col("t.label").alias("t_label"))
             )
@@ -163,7 +164,7 @@ def link_nodes(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) ->
         marked = written(rest.select("b", "nid").join(labels.withColumnRenamed("node", "nid"), "nid"))
         open_parts = marked.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
         active = written(marked.join(open_parts.select("b"), "b").select("b", "nid"))
-        first = False
+        step += 1
     return labels.select("node", "label")
 
 
