@@ -4,8 +4,9 @@ Pages of one host are aligned: their DOM trees are laid over a common tree by
 simple tree matching (two trees match when their root labels do; the children
 are paired by the order-preserving matching of greatest size). Each node of
 the common tree counts the pages it was met on and how often its text differed.
-What is constant over a host's pages is template, what varies is a content slot
-(an element that the page itself marks as its article is one whole).
+What is constant over a host's pages is template, within an article too, what
+varies is a content slot. Of the slots that are left, those that the page
+itself marks as its article (or else as main) are taken, if it marks any.
 In both passes the parts that their own markup names as no content (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, comments of
 readers) are left out, whether constant or not.
@@ -246,8 +247,6 @@ def strip_template(node: Node, tree: dict, found: list[Node]) -> None:
     own = runs(node)
     for p, q in pairs:
         slot = tree["k"][q]
-        if own[p][0].tag in ("article", "main"):
-            continue  # what the page marks as its article is content whole
         if slot["n"] >= SUPPORT and not slot["v"]:
             found.extend(own[p])
         elif slot["v"] and len(own[p]) == 1:

@@ -93,3 +93,17 @@ def test_one_host_with_all_pages(spark):
     rows = [(i, "http://one.example/p", page(i, f"Title {i}", f"<p>Text {i}</p>")) for i in range(300)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
     assert {r.text for r in H.extract_pages(df).collect()} == {f"Title {i} Text {i}" for i in range(300)}
+
+
+def marked(i, tag, more=""):
+    return (
+        f"<body><div class=top>Site</div><{tag}><div class=by>Written for Site</div><h1>Title {i}</h1><p>Text {i}</p>"
+        f"<div class=box><p>Read more on Site</p></div>{more}</{tag}><div class=x9>Kept</div></body>"
+    )
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_template_within_the_article(spark, tag):
+    rows = [(i, "http://one.example/p", marked(i, tag)) for i in range(12)]
+    got = H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"Title {i} Text {i}" for i in range(12)}
