@@ -1,44 +1,41 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are aligned: their DOM trees are laid over a common tree by
-simple tree matching (two trees match when their root labels do; the children
-are paired by the order-preserving matching of greatest size). Each node of
-the common tree counts the pages it was met on and how often its text differed.
-What is constant over a host's pages is template, within an article too, what
-varies is a content slot. Of the slots that are left, those that the page
-itself marks as its article (or else as main) are taken, if it marks any.
-In both passes the parts that their own markup names as no content (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, comments of
-readers) are left out, whether constant or not.
-
-Every page takes part in the induction. A task lays its pages over one tree
-per host; the trees of a host, not its pages, are then merged, in groups and
-again, so a host with a third of all pages is spread over all tasks. Trees
-are bounded: runs of alike siblings (paragraphs, list items) are one node, and
-a node keeps at most CHILDREN children. Trees then meet the pages in a join by
-host, salted on the pages' side.
+Pages of one host are aligned: a node's place is its path of labels (tag, id
+and class, digits as one) from the root, each with its number among siblings of
+that label, counted from the front or, a second place, from behind. Nodes are
+elements, and lines of text between elements; inline elements are nodes where
+no text stands beside them. Spark counts exactly, for every place of a host, the
+different pages that have it and the pages of each text there. What is constant
+over a host's pages is template, within an article too, what varies is content.
+Of what is left, the parts that the page itself marks as its article (or else
+as main) are taken, if it marks any. In both passes the parts that their own
+markup names as no content (menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, comments of readers) are left out, whether constant or not.
+
+Every page takes part in the induction with all its nodes, however many and
+however deep; copies of one page count once. Counts are grouped aggregates,
+combined map-side, so a host with a third of all pages is spread over all
+tasks. A host's constant places then meet its pages in a join by host, salted
+on the pages' side. Places on fewer than SUPPORT different pages of a host are
+no evidence, so hosts with fewer pages have no template: there markup alone decides.
 """
 
 from __future__ import annotations
 
 import html as entities
-import json
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from storelens.llm.common import checkpointed, text_or_empty
 
-#: Pages on which a text must be the same (all of at least this many with the node) to be template.
+#: Different pages of a host that must have a place; on all of them its text must be the same to be template.
 SUPPORT = 5
-#: Children kept per node of a common tree, the most frequent first; and the depth of its leaves.
-CHILDREN = 64
-DEPTH = 12
-#: Groups in which the trees of one host are merged before the last merge, and salts of its pages in the join.
+#: Salts of a host's pages in the join with its template.
 GROUPS = 64
 
 # Fixed values of HTML: element kinds.
@@ -70,29 +67,34 @@ KEEP = frozenset("article main body html".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+DIGITS = re.compile(r"[0-9]+")
 SPACES = re.compile(r"[\s ]+")
 
 
 class Node:
-    """An element with a label (tag and class), its children, and for a text node its raw text."""
+    """An element with a label (tag, id and class), its children, and for a text node its raw text.
 
-    __slots__ = ("chrome", "kids", "label", "tag", "text")
+    ``block`` is False for text and for inline elements that hold no block; ``sum`` is a hash of the text below.
+    """
+
+    __slots__ = ("block", "chrome", "kids", "label", "sum", "tag", "text")
 
     def __init__(self, tag: str, label: str, chrome: bool = False, text: str | None = None):
         self.tag, self.label, self.chrome, self.text, self.kids = tag, label, chrome, text, []
+        self.block, self.sum = text is None and tag not in INLINE and tag not in VOID, b""
 
 
 def _is_chrome(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether the element's own markup names it as no content, and its class."""
+    """Whether the element's own markup names it as no content, and its id and class, digits as one."""
     if tag in RAW or tag in CHROME:
         return True, ""
     if not attributes:
         return False, ""
     found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
-    name = found.get("class", "").strip().lower()
+    name = f"{found.get('class', '')} {found.get('id', '')}".strip().lower()
+    words, name = set(re.split(r"[^a-z0-9]+", name)), DIGITS.sub("0", name)
     if tag in KEEP:
         return False, name
-    words = set(re.split(r"[^a-z0-9]+", (name + " " + found.get("id", "")).lower()))
     out = bool(words & CHROME_WORDS) or found.get("role", "").lower() in ROLES or "hidden" in found
     out = out or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "")
     return out, name
@@ -136,6 +138,10 @@ def parse(page: str) -> Node:
         chrome, name = _is_chrome(tag, m[3])
         node = Node(tag, f"{tag}.{name}" if name else tag, chrome)
         stack[-1].kids.append(node)
+        for x in reversed(stack) if node.block and not chrome else ():
+            if x.block:
+                break
+            x.block = True
         if tag in RAW:
             end = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -157,46 +163,126 @@ def _gather(node: Node, out: list[str]) -> None:
         x = todo.pop()
         if isinstance(x, str):
             out.append(x)
+        elif x.chrome:
+            continue
         elif x.text is not None:
             out.append(entities.unescape(x.text) if "&" in x.text else x.text)
-        elif not x.chrome:
+        else:
             if x.tag not in INLINE:
                 out.append(" ")
                 todo.append(" ")
             todo.extend(reversed(x.kids))
 
 
-def _elements(node: Node) -> list[Node]:
-    return [k for k in node.kids if k.text is None and not k.chrome]
+def _hash(data: bytes) -> bytes:
+    return blake2b(data, digest_size=8).digest()
+
+
+def _joined(sums: list[bytes]) -> bytes:
+    """Hash of texts that follow each other (empty ones, and wrappers around one text, change nothing)."""
+    some = [x for x in sums if x]
+    return some[0] if len(some) == 1 else _hash(b"".join(some)) if some else b""
+
+
+def _sum_texts(root: Node) -> None:
+    """Put the hash of its text, white space collapsed and chrome left out, into every node."""
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if not x.chrome:
+            order.append(x)
+            todo.extend(x.kids)
+    for x in reversed(order):
+        if x.text is None:
+            x.sum = _joined([k.sum for k in x.kids])
+        else:
+            words = (entities.unescape(x.text) if "&" in x.text else x.text).split()
+            x.sum = _hash(" ".join(words).encode("utf-8", "surrogatepass")) if words else b""
 
 
-def runs(node: Node) -> list[list[Node]]:
-    """Element children with neighbours of one label as one run."""
-    out: list[list[Node]] = []
-    for k in _elements(node):
-        if out and out[-1][0].label == k.label:
-            out[-1].append(k)
+def units(node: Node) -> list[tuple[str, list[Node]]]:
+    """What is aligned of an element: (label, nodes) of its elements and of its lines of text."""
+    out: list[tuple[str, list[Node]]] = []
+    line: list[Node] = []
+    for k in [*node.kids, None]:
+        if k is not None and not k.block:
+            line.append(k)
+            continue
+        if any(x.text is not None and x.sum for x in line):
+            out.append(("#text", line))
         else:
-            out.append([k])
-    return out
+            out += [(x.label, [x]) for x in line if x.sum and not x.chrome]
+        line = []
+        if k is not None and k.sum and not k.chrome:
+            out.append((k.label, [k]))
+    return [] if len(out) == 1 and out[0][0] == "#text" else out  # such an element is one with its text
+
+
+def aligned(root: Node) -> Iterator[tuple[list[Node], int, list[int]]]:
+    """The nodes of a page that hold text: (nodes, hash of the text, hashes of the places), each before those below it.
+
+    Below nodes that are marked as chrome while they are held out, nothing follows.
+    """
+    _sum_texts(root)
+    todo = [(root, b"front", b"behind", False)]
+    while todo:
+        node, front, behind, two = todo.pop()
+        mine = units(node)
+        total, met = Counter(label for label, _ in mine), Counter()
+        for label, nodes in mine:
+            name, n = label.encode("utf-8", "surrogatepass"), total[label]
+            here = _hash(b"%s%d %s" % (front, met[label], name))
+            # the place from behind is another one only where a label of the path has siblings of its kind
+            there, other = _hash(b"%s%d %s" % (behind, n - 1 - met[label], name)), two or n > 1
+            met[label] += 1
+            text = _number(nodes[0].sum if len(nodes) == 1 else _joined([x.sum for x in nodes if not x.chrome]))
+            yield nodes, text, [_number(here), _number(there)] if other else [_number(here)]
+            if len(nodes) == 1 and not nodes[0].chrome:
+                todo.append((nodes[0], here, there, other))
 
 
-def overlay(node: Node, depth: int = 0) -> dict:
-    """A page as a common tree of one page: label, pages, crc of the text, whether it differed, children."""
-    kids = [] if depth >= DEPTH else [_run_tree(r, depth + 1) for r in runs(node)]
-    return {"l": node.label, "n": 1, "c": zlib.crc32(plain(node).encode()), "v": 0, "k": kids[:CHILDREN]}
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest, "little", signed=True)
 
 
-def _run_tree(run: list[Node], depth: int) -> dict:
-    tree = overlay(run[0], depth)
-    if len(run) > 1:
-        tree["c"] = zlib.crc32(" ".join(plain(x) for x in run).encode())
-        tree["k"] = []  # a run of alike siblings is a list: one slot
-    return tree
+def page_keys(root: Node) -> tuple[int, list[int], list[int]]:
+    """A page's hash, and the places of its nodes with the hashes of their texts; equal pages have equal hashes."""
+    places, texts = [], []
+    for _, text, where in aligned(root):
+        places += where
+        texts += [text] * len(where)
+    return _number(_hash(b"".join(x.to_bytes(8, "little", signed=True) for x in [*places, *texts]))), places, texts
+
+
+def overlay(root: Node) -> dict:
+    """The induction's input from one page, in memory: pages, and the nodes (place, text) of the different ones."""
+    page, places, texts = page_keys(root)
+    return {"n": 1, "pages": {page: list(zip(places, texts, strict=True))}}
+
+
+def merge(a: dict, b: dict) -> dict:
+    return {"n": a["n"] + b["n"], "pages": a["pages"] | b["pages"]}
+
+
+def template_keys(tree: dict) -> frozenset[int]:
+    """What ``induce`` finds, from pages in memory."""
+    counts: dict[int, Counter] = {}
+    for nodes in tree["pages"].values():
+        for place, text in nodes:
+            counts.setdefault(place, Counter())[text] += 1
+    return frozenset(
+        place ^ text
+        for place, texts in counts.items()
+        for text, n in texts.most_common(1)
+        if texts.total() >= SUPPORT and n == texts.total()
+    )
 
 
 def match_size(a: dict, b: dict) -> int:
-    """Simple tree matching: nodes in the largest top-down, order-preserving matching of two trees."""
+    """Simple tree matching: nodes in the largest top-down, order-preserving matching of two trees.
+
+    A measure of how alike two layouts are; the induction aligns by place and needs no pairs of trees.
+    """
     if a["l"] != b["l"]:
         return 0
     return 1 + _pairing(a["k"], b["k"])[0]
@@ -225,37 +311,12 @@ def _pairing(xs: list[dict], ys: list[dict]) -> tuple[int, list[tuple[int, int]]
     return best[-1][-1], pairs[::-1]
 
 
-def merge(a: dict, b: dict) -> dict:
-    """Two common trees of one label laid over each other (matched nodes add up, the others are kept in order)."""
-    _, pairs = _pairing(a["k"], b["k"])
-    kids, i, j = [], 0, 0
-    for p, q in [*pairs, (len(a["k"]), len(b["k"]))]:
-        kids += a["k"][i:p] + b["k"][j:q]
-        if p < len(a["k"]):
-            kids.append(merge(a["k"][p], b["k"][q]))
-        i, j = p + 1, q + 1
-    if len(kids) > CHILDREN:
-        least = sorted((k["n"] for k in kids), reverse=True)[CHILDREN - 1]
-        kids = [k for k in kids if k["n"] >= least][:CHILDREN]
-    return {"l": a["l"], "n": a["n"] + b["n"], "c": a["c"], "v": int(a["v"] or b["v"] or a["c"] != b["c"]), "k": kids}
-
-
-def strip_template(node: Node, tree: dict, found: list[Node]) -> None:
-    """Collect into ``found`` the elements of a page that lie on constant nodes of the host's tree."""
-    page = [_shallow(r) for r in runs(node)]
-    _, pairs = _pairing(page, tree["k"])
-    own = runs(node)
-    for p, q in pairs:
-        slot = tree["k"][q]
-        if slot["n"] >= SUPPORT and not slot["v"]:
-            found.extend(own[p])
-        elif slot["v"] and len(own[p]) == 1:
-            strip_template(own[p][0], slot, found)
-
-
-def _shallow(run: list[Node], depth: int = 0) -> dict:
-    kids = [] if len(run) > 1 or depth >= DEPTH else [_shallow(r, depth + 1) for r in runs(run[0])]
-    return {"l": run[0].label, "k": kids[:CHILDREN]}
+def strip_template(root: Node, keys: frozenset[int]) -> None:
+    """Mark the nodes of a page as chrome whose text is that of their place on the host's pages."""
+    for nodes, text, places in aligned(root):
+        if any(p ^ text in keys for p in places):
+            for x in nodes:
+                x.chrome = True
 
 
 def main_node(root: Node) -> Node | None:
@@ -276,13 +337,15 @@ def main_node(root: Node) -> Node | None:
 
 
 def extract(page: str, tree: dict | None) -> str:
-    """Main text of a page, given its host's common tree (None: markup alone decides)."""
+    """Main text of a page, given its host's pages as merged overlays (None: markup alone decides)."""
+    return main_text(page, template_keys(tree) if tree else frozenset())
+
+
+def main_text(page: str, keys: frozenset[int]) -> str:
+    """Main text of a page, given the constant nodes of its host."""
     root = parse(page)
-    if tree is not None and tree["n"] >= SUPPORT and tree["v"]:
-        template: list[Node] = []
-        strip_template(root, tree, template)
-        for x in template:
-            x.chrome = True
+    if keys:
+        strip_template(root, keys)
     return plain(main_node(root))
 
 
@@ -291,48 +354,25 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url.cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-TREES = "host string, grp int, tree string"
-
-
-def _page_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Common trees of the pages of one task, one per host; many hosts are given out in between."""
-    held: dict[str, dict] = {}
-
-    def out() -> pa.RecordBatch:
-        trees = [json.dumps(t) for t in held.values()]
-        groups = [zlib.crc32(t.encode()) % GROUPS for t in trees]
-        made = pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.string()), pa.array(groups, pa.int32()), pa.array(trees, pa.string())],
-            ["host", "grp", "tree"],
-        )
-        held.clear()
-        return made
-
+def _page_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for host, page in zip(batch.column("host"), batch.column("html"), strict=True):
-            host, tree = host.as_py(), overlay(parse(page.as_py()))
-            held[host] = merge(held[host], tree) if host in held else tree
-            if len(held) >= 4096:
-                yield out()
-    if held:
-        yield out()
-
-
-def _merge_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The trees of one host and group as one."""
-    trees = [json.loads(t) for t in sorted(pdf["tree"])]
-    one = trees[0]
-    for t in trees[1:]:
-        one = merge(one, t)
-    return pd.DataFrame({"host": pdf["host"].iloc[:1], "grp": 0, "tree": [json.dumps(one)]})
+        made = [page_keys(parse(page.as_py())) for page in batch.column("html")]
+        columns = [pa.array([m[0] for m in made], pa.int64())]
+        columns += [pa.array([m[i] for m in made], pa.list_(pa.int64())) for i in (1, 2)]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), *columns], ["host", "page", "place", "text"])
 
 
 def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, tree): one common tree per host, as JSON, from all of its pages."""
+    """(host, keys): the constant nodes of every host (place xor text), counted over all of its different pages."""
     source = pages.select(host_of(pages[url_col]).alias("host"), text_or_empty(pages[html_col]).alias("html"))
-    partial = source.mapInArrow(_page_trees, TREES)
-    grouped = partial.groupBy("host", "grp").applyInPandas(_merge_group, TREES)
-    return grouped.groupBy("host").applyInPandas(_merge_group, TREES).select("host", "tree")
+    each = source.mapInArrow(_page_keys, "host string, page bigint, place array<bigint>, text array<bigint>")
+    each = each.dropDuplicates(["host", "page"]).select("host", F.inline(F.arrays_zip("place", "text")))
+    counted = each.groupBy("host", "place", "text").agg(F.count(F.lit(1)).alias("n"))
+    placed = counted.groupBy("host", "place").agg(
+        F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("text", "n").alias("text")
+    )
+    constant = placed.filter((F.col("n") >= SUPPORT) & (F.col("most") == F.col("n")))
+    return constant.groupBy("host").agg(F.collect_list(F.col("place").bitwiseXOR(F.col("text"))).alias("keys"))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -344,28 +384,30 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Repeated rows give repeated results; an empty table none; other columns are
     not read.
     """
-    trees = checkpointed(induce(pages, url_col, html_col))
+    template = checkpointed(induce(pages, url_col, html_col))
     id_type = pages.schema[id_col].dataType.simpleString()
-    salted = trees.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
+    salted = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
     source = pages.select(
         pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), text_or_empty(pages[html_col]).alias("html"),
         host_of(pages[url_col]).alias("host"),
     ).withColumn("salt", F.pmod(F.xxhash64("url", "html"), F.lit(GROUPS)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, dict | None] = (None, None)
+        held: dict[str, frozenset[int]] = {}
         for batch in batches:
             texts = []
-            for page, tree in zip(batch.column("html"), batch.column("tree"), strict=True):
-                tree = tree.as_py()
-                if tree != last[0]:
-                    last = (tree, json.loads(tree) if tree else None)
-                texts.append(extract(page.as_py(), last[1]))
+            for host, page, keys in zip(batch.column("host"), batch.column("html"), batch.column("keys"), strict=True):
+                host = host.as_py()
+                if host not in held:
+                    if len(held) >= 256:
+                        held.clear()
+                    held[host] = frozenset(keys.as_py() or ())
+                texts.append(main_text(page.as_py(), held[host]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
             )
 
-    joined = source.join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "tree")
+    joined = source.join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "host", "keys")
     return joined.mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars bigint")

@@ -107,3 +107,40 @@ def test_template_within_the_article(spark, tag):
     rows = [(i, "http://one.example/p", marked(i, tag)) for i in range(12)]
     got = H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.text for r in got} == {f"Title {i} Text {i}" for i in range(12)}
+
+
+def host_pages(spark, pages):
+    df = spark.createDataFrame([(i, "http://one.example/p", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in H.extract_pages(df).collect()}
+
+
+def test_template_at_any_place(spark):
+    def many(i):  # a constant line behind a varying number of alternating elements, and one below 30 levels
+        runs = "".join(f"<h2>Head {i} {k}</h2><p>Par {i} {k}</p><ul><li>Item {i} {k}</ul>" for k in range(30 + i))
+        return f"<body>{runs}<p>All rights kept</p>{'<section>' * 30}<p>Printed here</p><p>Note {i}</p>{'</section>' * 30}</body>"
+
+    got = host_pages(spark, [many(i) for i in range(9)])
+    for i, text in got.items():
+        want = " ".join(f"Head {i} {k} Par {i} {k} Item {i} {k}" for k in range(30 + i))
+        assert text == f"{want} Note {i}"
+
+
+def test_template_beside_alike_elements(spark):
+    def alike(i):  # no class tells the menu, the content and the footer from each other
+        return f"<body><div>Home About</div><div>Text {i}</div><div id=foot>Imprint</div><div>All rights kept</div></body>"
+
+    assert host_pages(spark, [alike(i) for i in range(9)]) == {i: f"Text {i}" for i in range(9)}
+
+
+def test_induction_on_spark_equals_that_in_memory(spark):
+    pages = [page(i, f"Title {i % 4}", f"<p>Text {i}</p>" * (i % 3 + 1)) for i in range(20)]
+    tree = H.overlay(H.parse(pages[0]))
+    for p in pages[1:]:
+        tree = H.merge(tree, H.overlay(H.parse(p)))
+    df = spark.createDataFrame([("http://a.example/", p) for p in pages * 3], "url string, html string")
+    assert [set(r["keys"]) for r in H.induce(df).collect()] == [H.template_keys(tree)]
+
+
+def test_inline_words_are_part_of_their_line(spark):
+    got = host_pages(spark, [f"<body><p>See <b>the</b> text {i}</p><p><b>Tags</b> <a>t{i}</a></p></body>" for i in range(6)])
+    assert got == {i: f"See the text {i} t{i}" for i in range(6)}
