@@ -5,8 +5,10 @@ and class, digits as one) from the root, each with its number among siblings of
 that label, counted from the front or, a second place, from behind. Nodes are
 elements, and lines of text between elements; inline elements are nodes where
 no text stands beside them. Spark counts exactly, for every place of a host, the
-different pages that have it and the pages of each text there. What is constant
-over a host's pages is template, within an article too, what varies is content.
+different pages that have it and the pages of each text there. A text on at
+least SHARE of its place's pages is constant, so that few deviating pages hide
+no template. What is constant over a host's pages is template, within an article
+too, what varies is content.
 Of what is left, the parts that the page itself marks as its article (or else
 as main) are taken, if it marks any. In both passes the parts that their own
 markup names as no content (menus, headers, footers, sidebars, notices, adverts,
@@ -33,8 +35,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from storelens.llm.common import checkpointed, text_or_empty
 
-#: Different pages of a host that must have a place; on all of them its text must be the same to be template.
+#: Different pages of a host that must have a place, and the share of them on which one text makes that text template.
 SUPPORT = 5
+SHARE = 0.75
 #: Salts of a host's pages in the join with its template.
 GROUPS = 64
 
@@ -274,7 +277,7 @@ def template_keys(tree: dict) -> frozenset[int]:
         place ^ text
         for place, texts in counts.items()
         for text, n in texts.most_common(1)
-        if texts.total() >= SUPPORT and n == texts.total()
+        if texts.total() >= SUPPORT and n >= SHARE * texts.total()
     )
 
 
@@ -371,7 +374,7 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
     placed = counted.groupBy("host", "place").agg(
         F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("text", "n").alias("text")
     )
-    constant = placed.filter((F.col("n") >= SUPPORT) & (F.col("most") == F.col("n")))
+    constant = placed.filter((F.col("n") >= SUPPORT) & (F.col("most") >= SHARE * F.col("n")))
     return constant.groupBy("host").agg(F.collect_list(F.col("place").bitwiseXOR(F.col("text"))).alias("keys"))
 
 

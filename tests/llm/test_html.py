@@ -144,3 +144,13 @@ def test_induction_on_spark_equals_that_in_memory(spark):
 def test_inline_words_are_part_of_their_line(spark):
     got = host_pages(spark, [f"<body><p>See <b>the</b> text {i}</p><p><b>Tags</b> <a>t{i}</a></p></body>" for i in range(6)])
     assert got == {i: f"See the text {i} t{i}" for i in range(6)}
+
+
+def test_deviating_pages_do_not_hide_template(spark):
+    pages = [page(i, f"Title {i}", f"<p>Text {i}</p>") for i in range(40)]
+    pages[3] = pages[3].replace("All rights kept", "All rights lost")
+    pages[7] = pages[7][: pages[7].index("</div><div class=x9>")]  # cut off
+    pages[9] = pages[9].replace("Site of the year", "Site of the month")
+    got = host_pages(spark, pages)
+    assert got[3] == "Title 3 Text 3 All rights lost" and got[9] == "Site of the month Title 9 Text 9"
+    assert all(got[i] == f"Title {i} Text {i}" for i in range(40) if i not in (3, 9))
