@@ -13,6 +13,9 @@ Of what is left, the parts that the page itself marks as its article (or else
 as main) are taken, if it marks any. In both passes the parts that their own
 markup names as no content (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, comments of readers) are left out, whether constant or not.
+Classes and ids count as whole names only, within an article only those of
+adverts, navigation and comments, and never where they would hide the only
+article or all text of a page; a form that holds blocks of content is a wrapper.
 
 Every page takes part in the induction with all its nodes, however many and
 however deep; copies of one page count once. Counts are grouped aggregates,
@@ -46,7 +49,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span"
-    " strike strong sub sup time tt u var wbr img".split()
+    " strike strong sub sup time tt u var wbr img"
+    " math mi mn mo mrow ms mspace mtext msub msup msubsup mfrac msqrt mroot mstyle munder mover munderover semantics".split()
 )
 #: A start tag of the key closes an open element of the value's kinds (within the nearest block).
 P_CLOSERS = frozenset(
@@ -58,7 +62,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = frozenset("ul ol menu dl table tbody thead tfoot select article section main body html div td th".split())
 
 # Elements, roles and class or id words that name what is no main text.
-CHROME = frozenset("nav header footer aside form button select dialog menu svg math object audio video canvas head".split())
+CHROME = frozenset("nav header footer aside form button select dialog menu svg object audio video canvas head".split())
+#: Of these, elements that are kept where they hold blocks of content, and elements whose text counts within an article.
+WRAPPERS = frozenset("form button".split())
+MEDIA = frozenset("object audio video canvas".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar form".split())
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu"
@@ -66,10 +73,26 @@ CHROME_WORDS = frozenset(
     " gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended comment"
     " comments commentlist disqus reply replies respond toolbar pagination pager widget widgets".split()
 )
+#: Words that may stand beside a chrome word in a name (cookie-notice, top-nav, footer_links).
+BESIDE = frozenset(
+    "bar block bottom box container form global group holder inner item items link links list main outer page panel primary"
+    " row secondary section site slot top unit wrap wrapper".split()
+)
+#: Within an article or main element only these words count: what others wrote or paid for, and navigation.
+FOREIGN_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored nav navbar navigation breadcrumb breadcrumbs cookie cookies"
+    " gdpr newsletter comment comments commentlist disqus pagination pager".split()
+)
 KEEP = frozenset("article main body html".split())
+MARKED = frozenset("article main".split())
+#: Blocks of content by which a form or button is known to be a wrapper.
+CONTENT = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote pre table section".split())
+#: Kinds of chrome: by a name of the class or id alone; by element, role or style; a form or button without content so far.
+SOFT, HARD, WRAP = 1, 2, 3
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+WORD_CUT = re.compile(r"[^a-z0-9]+")
 DIGITS = re.compile(r"[0-9]+")
 SPACES = re.compile(r"[\s ]+")
 
@@ -77,36 +100,53 @@ SPACES = re.compile(r"[\s ]+")
 class Node:
     """An element with a label (tag, id and class), its children, and for a text node its raw text.
 
-    ``block`` is False for text and for inline elements that hold no block; ``sum`` is a hash of the text below.
+    ``block`` is False for text and for inline elements that hold no block; ``sum`` is a hash of the text below,
+    and ``inside`` says that the node is, or is within, an article or main element.
     """
 
-    __slots__ = ("block", "chrome", "kids", "label", "sum", "tag", "text")
+    __slots__ = ("block", "chrome", "inside", "kids", "label", "sum", "tag", "text")
 
-    def __init__(self, tag: str, label: str, chrome: bool = False, text: str | None = None):
+    def __init__(self, tag: str, label: str, chrome: int = 0, text: str | None = None):
         self.tag, self.label, self.chrome, self.text, self.kids = tag, label, chrome, text, []
         self.block, self.sum = text is None and tag not in INLINE and tag not in VOID, b""
+        self.inside = tag in MARKED
+
 
+def _is_chrome(tag: str, attributes: str, inside: bool) -> tuple[int, str]:
+    """Whether the element's own markup names it as no content, and its id and class, digits as one.
 
-def _is_chrome(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether the element's own markup names it as no content, and its id and class, digits as one."""
-    if tag in RAW or tag in CHROME:
-        return True, ""
+    ``inside`` says that it is within an article or main element.
+    """
+    kind = WRAP if tag in WRAPPERS else 0
+    if tag in RAW or (tag in CHROME and not kind and not (inside and tag in MEDIA)):
+        return HARD, ""
     if not attributes:
-        return False, ""
+        return kind, ""
     found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
     name = f"{found.get('class', '')} {found.get('id', '')}".strip().lower()
-    words, name = set(re.split(r"[^a-z0-9]+", name)), DIGITS.sub("0", name)
+    names, name = name.split(), DIGITS.sub("0", name)
     if tag in KEEP:
-        return False, name
-    out = bool(words & CHROME_WORDS) or found.get("role", "").lower() in ROLES or "hidden" in found
-    out = out or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    return out, name
+        return 0, name
+    out = found.get("role", "").lower() in ROLES - {tag} or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+    if out or "display:none" in found.get("style", "").replace(" ", ""):
+        return HARD, name
+    if any(_names_chrome(x, FOREIGN_WORDS if inside else CHROME_WORDS) for x in names):
+        return SOFT, name
+    return kind, name
+
+
+def _names_chrome(name: str, words: frozenset[str]) -> bool:
+    """Whether a class or id as a whole names chrome: all its words do, or only words of place and form stand beside."""
+    parts = [x for x in WORD_CUT.split(name) if x and not x.isdigit()]
+    return any(x in words for x in parts) and all(x in CHROME_WORDS or x in BESIDE for x in parts)
 
 
 def parse(page: str) -> Node:
     """DOM tree of a page, with the end tags that authors leave out put in."""
     root = Node("#root", "#root")
     stack, at, n = [root], 0, len(page)
+    forms: list[Node] = []  # forms and buttons that were opened since the last block of content
+    held: list[list[Node]] = []  # for every article and main: the elements around it that are chrome
     while at < n:
         m = TOKEN.search(page, at)
         if m is None or m.start() > at:
@@ -138,18 +178,32 @@ def parse(page: str) -> Node:
                 break
             if stack[i].tag in SCOPE:
                 break
-        chrome, name = _is_chrome(tag, m[3])
+        chrome, name = _is_chrome(tag, m[3], stack[-1].inside)
         node = Node(tag, f"{tag}.{name}" if name else tag, chrome)
+        node.inside = node.inside or stack[-1].inside
         stack[-1].kids.append(node)
-        for x in reversed(stack) if node.block and not chrome else ():
+        for x in reversed(stack) if node.block and chrome < HARD else ():
             if x.block:
                 break
             x.block = True
+        if tag in CONTENT:
+            for x in forms:
+                if x.chrome == WRAP and any(x is y for y in stack):
+                    x.chrome = 0
+            forms.clear()
+        if tag in MARKED and not stack[-1].inside:
+            held.append([x for x in stack if x.chrome])
         if tag in RAW:
             end = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
         elif tag not in VOID:
             stack.append(node)
+            if chrome == WRAP:
+                forms.append(node)
+    if all(held):  # no article is outside of chrome: names alone do not hide one
+        for around in held:
+            for x in around if all(x.chrome < HARD for x in around) else ():
+                x.chrome = 0
     return root
 
 
@@ -188,11 +242,11 @@ def _joined(sums: list[bytes]) -> bytes:
 
 
 def _sum_texts(root: Node) -> None:
-    """Put the hash of its text, white space collapsed and chrome left out, into every node."""
+    """Put the hash of its text, white space collapsed and what is surely chrome left out, into every node."""
     order, todo = [], [root]
     while todo:
         x = todo.pop()
-        if not x.chrome:
+        if x.chrome < HARD:
             order.append(x)
             todo.extend(x.kids)
     for x in reversed(order):
@@ -214,9 +268,9 @@ def units(node: Node) -> list[tuple[str, list[Node]]]:
         if any(x.text is not None and x.sum for x in line):
             out.append(("#text", line))
         else:
-            out += [(x.label, [x]) for x in line if x.sum and not x.chrome]
+            out += [(x.label, [x]) for x in line if x.sum and x.chrome < HARD]
         line = []
-        if k is not None and k.sum and not k.chrome:
+        if k is not None and k.sum and k.chrome < HARD:
             out.append((k.label, [k]))
     return [] if len(out) == 1 and out[0][0] == "#text" else out  # such an element is one with its text
 
@@ -238,9 +292,9 @@ def aligned(root: Node) -> Iterator[tuple[list[Node], int, list[int]]]:
             # the place from behind is another one only where a label of the path has siblings of its kind
             there, other = _hash(b"%s%d %s" % (behind, n - 1 - met[label], name)), two or n > 1
             met[label] += 1
-            text = _number(nodes[0].sum if len(nodes) == 1 else _joined([x.sum for x in nodes if not x.chrome]))
+            text = _number(nodes[0].sum if len(nodes) == 1 else _joined([x.sum for x in nodes]))
             yield nodes, text, [_number(here), _number(there)] if other else [_number(here)]
-            if len(nodes) == 1 and not nodes[0].chrome:
+            if len(nodes) == 1 and nodes[0].chrome < HARD:
                 todo.append((nodes[0], here, there, other))
 
 
@@ -316,14 +370,16 @@ def _pairing(xs: list[dict], ys: list[dict]) -> tuple[int, list[tuple[int, int]]
 
 def strip_template(root: Node, keys: frozenset[int]) -> None:
     """Mark the nodes of a page as chrome whose text is that of their place on the host's pages."""
+    if not keys:
+        return
     for nodes, text, places in aligned(root):
         if any(p ^ text in keys for p in places):
             for x in nodes:
-                x.chrome = True
+                x.chrome = HARD
 
 
 def main_node(root: Node) -> Node | None:
-    """The articles or main elements of a page if it has them, as one node; else the body or what there is."""
+    """The articles or main elements of a page if it has some with text, as one node; else the body or what there is."""
     for wanted in ("article", "main"):
         found, todo = [], [root]
         while todo:
@@ -332,9 +388,9 @@ def main_node(root: Node) -> Node | None:
                 found.append(x)
             elif not x.chrome:
                 todo.extend(reversed(x.kids))
-        if found:
-            top = Node("#root", "#root")
-            top.kids = found
+        top = Node("#root", "#root")
+        top.kids = found
+        if found and plain(top):
             return top
     return root
 
@@ -345,11 +401,22 @@ def extract(page: str, tree: dict | None) -> str:
 
 
 def main_text(page: str, keys: frozenset[int]) -> str:
-    """Main text of a page, given the constant nodes of its host."""
+    """Main text of a page, given the constant nodes of its host.
+
+    Where markup leaves nothing of a page, what only its names call chrome is content after all.
+    """
     root = parse(page)
-    if keys:
+    strip_template(root, keys)
+    text = plain(main_node(root))
+    if not text and not plain(main_node(root := parse(page))):
         strip_template(root, keys)
-    return plain(main_node(root))
+        todo = [root]
+        while todo:
+            x = todo.pop()
+            x.chrome = 0 if x.chrome == SOFT else x.chrome
+            todo.extend(x.kids)
+        text = plain(main_node(root))
+    return text
 
 
 def host_of(url: Column) -> Column:

@@ -154,3 +154,27 @@ def test_deviating_pages_do_not_hide_template(spark):
     got = host_pages(spark, pages)
     assert got[3] == "Title 3 Text 3 All rights lost" and got[9] == "Site of the month Title 9 Text 9"
     assert all(got[i] == f"Title {i} Text {i}" for i in range(40) if i not in (3, 9))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div class='content no-sidebar'><p>a</p></div>", "a"),
+        ("<div id=page class='has-header with-sidebar'><article>a</article></div>", "a"),
+        ("<article><p>a</p><div class='widget-content'>b</div><p class=notice>c</p><div class=related>d</div></article>", "a b c d"),
+        ("<article><p>a</p><div class=ads>x</div><div class='comment-list'>r</div></article>", "a"),
+        ("<form id=aspnetForm><nav>m</nav><div><p>a</p></div></form><form><input>f</form>", "a"),
+        ("<body><div class=widget><article>a</article></div><p>b</p></body>", "a"),
+        ("<article>a</article><div class=comments><article>r</article></div>", "a"),
+        ("<div class=overlay><p>a</p></div>", "a"),
+        ("<article>x <math><mi>y</mi><mo>=</mo><mn>2</mn></math> z<object>o</object></article><object>p</object>", "x y=2 z o"),
+        ("<div class='site-header'>h</div><div class=top-nav>n</div><form hidden><p>f</p></form><p>a</p>", "a"),
+    ],
+)
+def test_names_hide_no_article(page, want):
+    assert re.sub(r"\s+", " ", text(page)) == want
+
+
+def test_content_in_an_element_that_a_name_calls_chrome(spark):
+    pages = [f"<body><div class=widget><p>Site</p><p>Text {i}</p><p>Kept</p></div><footer>f</footer></body>" for i in range(6)]
+    assert host_pages(spark, pages) == {i: f"Text {i}" for i in range(6)}
