@@ -2,9 +2,12 @@
 
 1. Every distinct text is a node. Its weighted five-word shingles give a
    ProbMinHash signature (see ``shingles``) of REGISTERS registers, cut into
-   bands of BAND_ROWS; equal bands put nodes into one bucket. A pair with
-   similarity 0.8 shares no bucket with probability below 1e-4, and the more
-   alike two texts are the less likely that gets.
+   bands of BAND_ROWS; equal bands put nodes into one bucket. A text with
+   repeated shingles has the bands of a second signature as well, with all
+   weights 1 (of other texts the two are the same), so that both similarities
+   have buckets of their own. A pair with either similarity at 0.8 shares no
+   bucket with probability below 1e-4, and the more alike two texts are the less
+   likely that gets.
 2. In every bucket all nodes are compared with its centre, the node that meets
    most others over all its buckets.
    Nodes within 0.8 of it are linked, and links are closed to components.
@@ -50,17 +53,28 @@ def _keyed(docs: DataFrame, text_col: str, *more) -> DataFrame:
     return docs.select(F.xxhash64(t).alias("k1"), F.xxhash64(F.lit("text"), t).alias("k2"), *more, t.alias("text"))
 
 
+def band_keys(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Distinct band keys of every set: those of its weights, and where a shingle is repeated those of weights 1."""
+    none = np.zeros(1, dtype=np.uint64)  # texts without words share a bucket
+    some = [i for i, s in enumerate(sets) if len(s[0])]
+    repeated = [i for i in some if sets[i][1].max() > 1]
+    signed = [sets[i] for i in some] + [(sets[i][0], np.ones_like(sets[i][1])) for i in repeated]
+    out = [none] * len(sets)
+    if signed:
+        keys = shingles.bands(shingles.signatures(signed, REGISTERS), BAND_ROWS)
+        for i, k in zip(some, keys, strict=False):
+            out[i] = k
+        for i, k in zip(repeated, keys[len(some) :], strict=True):
+            out[i] = np.union1d(out[i], k)
+    return out
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, CHUNK):
             rows = batch.slice(at, CHUNK)
             sets = [shingles.shingles(t.as_py()) for t in rows.column("text")]
-            keys = np.zeros((len(sets), REGISTERS // BAND_ROWS), dtype=np.uint64)  # texts without words share all bands
-            some = [i for i, s in enumerate(sets) if len(s[0])]
-            if some:
-                keys[some] = shingles.bands(shingles.signatures([sets[i] for i in some], REGISTERS), BAND_ROWS)
-            offsets = np.arange(len(sets) + 1) * keys.shape[1]
-            banded = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.view(np.int64).ravel()))
+            banded = pa.array([x.view(np.int64) for x in band_keys(sets)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([rows.column("k1"), rows.column("k2"), banded], ["k1", "k2", "bands"])
 
 

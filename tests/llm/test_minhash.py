@@ -163,3 +163,25 @@ def test_edge_cases(spark):
     docs = frame(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, "other words of a text")])
     kept = M.drop_near_copies(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
+
+
+def unequal(k):
+    """100 words and a passage of 20 words, once and 40 times: alike by plain Jaccard only."""
+    head, passage = " ".join(f"h{k}_{i}" for i in range(100)), " ".join(f"p{k}_{i}" for i in range(20))
+    return f"{head} {passage}", head + f" {passage}" * 40
+
+
+def test_passages_repeated_unequally_share_bands():
+    for k in range(150):
+        pair = [S.shingles(t) for t in unequal(k)]
+        plain, prob = S.similarities(*(S.pack(*s) for s in pair))
+        assert plain > 0.9 and prob < 0.8
+        a, b = M.band_keys(pair)
+        assert set(a.tolist()) & set(b.tolist())
+        assert len(a) == M.REGISTERS // M.BAND_ROWS and len(b) > len(a)
+
+
+def test_passages_repeated_unequally_are_linked(spark):
+    docs = [(2 * k + i, t) for k in range(60) for i, t in enumerate(unequal(k))]
+    got = {r.doc_id: r.class_id for r in M.near_classes(frame(spark, docs)).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in docs}
