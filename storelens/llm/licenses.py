@@ -23,8 +23,61 @@ from pyspark.sql import DataFrame
 THRESHOLD = 0.8
 WORDS = re.compile(r"[^\W_]+")
 
+#: Names of licences in short notices, by SPDX identifier; each is looked for behind each of VERBS.
+NAMES: tuple[tuple[str, str], ...] = (
+    ("MIT", "the MIT License"),
+    ("Apache-2.0", "the Apache License, Version 2.0"),
+    ("Apache-2.0", "the Apache License 2.0"),
+    ("BSD-2-Clause", "the BSD 2-Clause License"),
+    ("BSD-2-Clause", "the Simplified BSD License"),
+    ("BSD-3-Clause", "the BSD 3-Clause License"),
+    ("BSD-3-Clause", "the New BSD License"),
+    ("ISC", "the ISC License"),
+    ("Zlib", "the zlib License"),
+    ("BSL-1.0", "the Boost Software License, Version 1.0"),
+    ("BSL-1.0", "the Boost Software License 1.0"),
+    ("MPL-2.0", "the Mozilla Public License, Version 2.0"),
+    ("MPL-2.0", "the Mozilla Public License 2.0"),
+    ("EPL-2.0", "the Eclipse Public License, Version 2.0"),
+    ("EPL-2.0", "the Eclipse Public License 2.0"),
+    ("GPL-2.0", "the GNU General Public License, version 2"),
+    ("GPL-2.0", "the GNU General Public License v2.0"),
+    ("GPL-3.0", "the GNU General Public License, version 3"),
+    ("GPL-3.0", "the GNU General Public License v3.0"),
+    ("LGPL-2.1", "the GNU Lesser General Public License, version 2.1"),
+    ("LGPL-2.1", "the GNU Lesser General Public License v2.1"),
+    ("LGPL-3.0", "the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "the GNU Lesser General Public License v3.0"),
+    ("AGPL-3.0", "the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "the GNU Affero General Public License v3.0"),
+    ("CC0-1.0", "CC0 1.0"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    ("CC-BY-ND-4.0", "CC BY-ND 4.0"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0"),
+    ("CC-BY-NC-ND-4.0", "CC BY-NC-ND 4.0"),
+)
+VERBS = ("Licensed under", "Released under", "Distributed under")
+
+#: The headers of the GNU licences, from behind their subject ("This program", "This library", a file's name).
+_GNU_USE = (
+    "is free software; you can redistribute it and/or modify it under the terms of the GNU {0} License as published by"
+    " the Free Software Foundation; either version {1} of the License, or (at your option) any later version. "
+)
+_GNU_WARRANTY = (
+    "This {2} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied"
+    " warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} License for more details. You"
+    " should have received a copy of the GNU {0} License along with this {2}"
+)
+_GNU_BY_LINK = _GNU_USE + _GNU_WARRANTY + "; if not, see <{3}://www.gnu.org/licenses/>."
+_GNU_BY_POST = _GNU_USE + _GNU_WARRANTY + "; if not, write to the Free Software Foundation, Inc., {3} USA."
+_FRANKLIN = "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301"
+_TEMPLE = "59 Temple Place, Suite 330, Boston, MA 02111-1307"
+
 #: Licence notices and texts by SPDX identifier (fixed values; each entry is one text that is looked for).
-TEMPLATES: tuple[tuple[str, str], ...] = (
+TEXTS: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -121,8 +174,98 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         " plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may"
         " not be removed or altered from any source distribution.",
     ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
+        " the following conditions are met: 1. Redistributions of source code must retain the above copyright notice,"
+        " this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the"
+        " above copyright notice, this list of conditions and the following disclaimer in the documentation and/or"
+        " other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of"
+        " its contributors may be used to endorse or promote products derived from this software without specific prior"
+        ' written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY'
+        " EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND"
+        " FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE"
+        " LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT"
+        " LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS"
+        " INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT"
+        " (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE"
+        " POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    # only this scheme: of a GPL-3.0 header with its number changed nothing then tells GPL-2.0 better than GPL-3.0
+    ("GPL-2.0", _GNU_BY_LINK.format("General Public", "2", "program", "http")),
+    ("GPL-3.0", _GNU_BY_LINK.format("General Public", "3", "program", "http")),
+    ("GPL-2.0", _GNU_BY_POST.format("General Public", "2", "program", _FRANKLIN)),
+    ("GPL-2.0", _GNU_BY_POST.format("General Public", "2", "program", _TEMPLE)),
+    ("LGPL-2.1", _GNU_BY_LINK.format("Lesser General Public", "2.1", "library", "http")),
+    ("LGPL-2.1", _GNU_BY_LINK.format("Lesser General Public", "2.1", "library", "https")),
+    ("LGPL-2.1", _GNU_BY_POST.format("Lesser General Public", "2.1", "library", _FRANKLIN)),
+    ("LGPL-2.1", _GNU_BY_POST.format("Lesser General Public", "2.1", "library", _TEMPLE)),
+    ("LGPL-3.0", _GNU_BY_LINK.format("Lesser General Public", "3", "library", "http")),
+    ("LGPL-3.0", _GNU_BY_LINK.format("Lesser General Public", "3", "library", "https")),
+    ("LGPL-3.0", _GNU_BY_LINK.format("Lesser General Public", "3", "program", "http")),
+    ("LGPL-3.0", _GNU_BY_LINK.format("Lesser General Public", "3", "program", "https")),
+    ("AGPL-3.0", _GNU_BY_LINK.format("Affero General Public", "3", "program", "http")),
+    ("AGPL-3.0", _GNU_BY_LINK.format("Affero General Public", "3", "program", "https")),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License"
+        " 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License"
+        " v. 2.0 which is available at http://www.eclipse.org/legal/epl-2.0.",
+    ),
+    (
+        "BSL-1.0",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at"
+        " https://www.boost.org/LICENSE_1_0.txt)",
+    ),
+    (
+        "BSL-1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software"
+        ' and accompanying documentation covered by this license (the "Software") to use, reproduce, display,'
+        " distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit"
+        " third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices"
+        " in the Software and this entire statement, including the above license grant, this restriction and the"
+        " following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative"
+        " works of the Software, unless such copies or derivative works are solely in the form of machine-executable"
+        ' object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF'
+        " ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A"
+        " PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING"
+        " THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING"
+        " FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "CC0-1.0",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this"
+        " work.",
+    ),
+    (
+        "CC0-1.0",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights"
+        " to this software to the public domain worldwide. This software is distributed without any warranty. You should"
+        " have received a copy of the CC0 Public Domain Dedication along with this software. If not, see"
+        " <http://creativecommons.org/publicdomain/zero/1.0/>.",
+    ),
+    (
+        "CC-BY-ND-4.0",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ),
+    (
+        "CC-BY-NC-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ),
+    (
+        "CC-BY-NC-ND-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International"
+        " License.",
+    ),
 )
 
+_SHORT = tuple((spdx, f"{verb} {name}.") for spdx, name in NAMES for verb in VERBS)
+TEMPLATES: tuple[tuple[str, str], ...] = TEXTS + tuple(x for x in _SHORT if x not in TEXTS)
+
 COLUMNS = "license string, dice double, first_word bigint, n_words bigint, licenses array<string>"
 
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from storelens.llm import licenses as L
 
 from .helpers import frame
@@ -56,3 +58,48 @@ def test_documents(spark):
     assert by[2] == ("MIT", 1.0, 1, 5, ["MIT"]) and by[5] == ("MIT", 1.0, 200_000, 5, ["MIT"])
     assert by[6][4] == ["CC-BY-4.0", "CC-BY-NC-4.0", "MIT"] or "CC-BY-NC-4.0" in by[6][4]
     assert L.scan_licenses(frame(spark, [])).collect() == []
+
+
+GNU = (
+    "This {1} is free software{3} you can redistribute it and/or modify it under the terms of the GNU {0} License as"
+    " published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+    " This {1} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied"
+    " warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} License for more details. You should"
+    " have received a copy of the GNU {0} License along with this {1}; if not, "
+)
+LINK = "see <https://www.gnu.org/licenses/>."
+POST = "write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Released under the BSD 3-Clause License.", "BSD-3-Clause"),
+        ("Released under the BSD 2-Clause License.", "BSD-2-Clause"),
+        ("Licensed under CC0 1.0", "CC0-1.0"),
+        ("Licensed under the Mozilla Public License, Version 2.0", "MPL-2.0"),
+        ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+        ("Licensed under the Eclipse Public License 2.0", "EPL-2.0"),
+        ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+        ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+        ("Released under the GNU General Public License v3.0", "GPL-3.0"),
+        (GNU.format("General Public", "program", "2", ";") + POST, "GPL-2.0"),
+        (GNU.format("General Public", "program", "2", ";") + LINK, "GPL-2.0"),
+        (GNU.format("General Public", "program", "3", ":") + LINK, "GPL-3.0"),
+        (GNU.format("General Public", "program", "2", ";") + LINK.replace("https", "http"), "GPL-2.0"),
+        (GNU.format("General Public", "program", "3", ":") + LINK.replace("https", "http"), "GPL-3.0"),
+        (GNU.format("Lesser General Public", "library", "2.1", ";") + POST, "LGPL-2.1"),
+        (GNU.format("Lesser General Public", "library", "2.1", ";") + LINK, "LGPL-2.1"),
+        (GNU.format("Lesser General Public", "program", "3", ":") + LINK, "LGPL-3.0"),
+        (GNU.format("Affero General Public", "program", "3", ":") + LINK, "AGPL-3.0"),
+    ],
+)
+def test_sibling_licences_come_out_as_themselves(text, want):
+    assert L.find_licenses(f"Some words.\n{text}\nOther words.")[0][1] == want
+
+
+def test_bsd_3_clause_is_not_its_sibling():
+    texts = {name: text for name, text in L.TEMPLATES if text.startswith("Redistribution")}
+    assert set(texts) == {"BSD-2-Clause", "BSD-3-Clause"}
+    for name, text in texts.items():
+        assert L.find_licenses(f"Copyright 2020 Someone. {text}")[0][1] == name
