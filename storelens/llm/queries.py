@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from storelens.llm import bpe, chat, exact_dedup, html_extract, langid, licenses, minhash, mixing, quality, sharding
+from storelens.llm import (
+    bpe, centroids, chat, exact_dedup, html_extract, langid, licenses, minhash, mixing, quality, resample, sharding,
+)
 from storelens.llm.common import table
 
 
@@ -56,10 +58,18 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bpe, op2_exact_dedup, op3_shard, op4_license_scan, op5_minhash_dedup, op6_language_id, op7_quality_rules,
-        op8_mix_sources, op9_chat_format, op10_html_extract,
+        op8_mix_sources, op9_chat_format, op10_html_extract, op12_resample, op13_centroids,
     )
 }
