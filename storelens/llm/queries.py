@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from storelens.llm import (
-    bpe, centroids, chat, exact_dedup, html_extract, langid, licenses, minhash, mixing, quality, resample, sharding,
+    bpe, centroids, chat, exact_dedup, html_extract, langid, licenses, minhash, mixing, pii, quality, resample, sharding,
 )
 from storelens.llm.common import table
 
@@ -58,6 +58,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal(table(spark, sf_dir, "documents"))
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,6 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bpe, op2_exact_dedup, op3_shard, op4_license_scan, op5_minhash_dedup, op6_language_id, op7_quality_rules,
-        op8_mix_sources, op9_chat_format, op10_html_extract, op12_resample, op13_centroids,
+        op8_mix_sources, op9_chat_format, op10_html_extract, op11_pii, op12_resample, op13_centroids,
     )
 }

@@ -22,18 +22,21 @@ COLUMNS = {
     "op7_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op8_mix_sources": "doc_id size source_size target taken",
     "op10_html_extract": "page_id url text n_chars",
+    "op11_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    "op12_resample": "doc_id n_features weight score rank",
+    "op13_centroids": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
 }
 
 
 def canon(df):
     cols = sorted(df.columns)
-    return cols, sorted(map(repr, df[cols].astype(object).itertuples(index=False, name=None)))
+    return cols, sorted(map(repr, df[cols].convert_dtypes().astype(object).itertuples(index=False, name=None)))
 
 
 @pytest.mark.parametrize("name", sorted(sql.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     assert canon(queries.QUERIES[name](spark, SMALL).toPandas()) == canon(con.execute(sql.SQL[name]).df())
 
