@@ -11,17 +11,24 @@
 2. In every bucket all nodes are compared with its centre, the node that meets
    most others over all its buckets.
    Nodes within 0.8 of it are linked, and links are closed to components.
-3. What can still hide a link is compared in further rounds, in the buckets
-   whose nodes lie in different components. Buckets of up to SMALL nodes are
-   compared within, across components. In larger ones the next centres, up to
-   CENTRES of them from outside the first one's component, meet all nodes of
-   other components, and are then done with. Rounds go on until no bucket holds
-   two components, so no pair that shares a bucket goes unseen.
-
-So a group of thousands of near copies costs comparisons with a few centres,
-not its square. Copies of one text are one node from the start, combined
-map-side. Bucket sizes, centres and labels are grouped aggregates; skewed joins
-are left to AQE. Signatures, buckets, packed sets and labels are tables in the shared folder.
+3. What can still hide a link are pairs in buckets with two components. The nodes
+   of such buckets are set beside a pivot: the shingles that most of VOTERS nodes
+   hold, here of all buckets whose centres are in one component. Order every node's shingles by
+   whether the pivot lacks them, then by hash. Two similar nodes share one among the
+   first fifth of both (by number, or by weight where shingles repeat): either one
+   that the pivot lacks, then both are in the smaller bucket of that shingle, or
+   none, then both have nearly all their shingles in the pivot, which bounds their
+   sizes, and they are compared at once. Smaller buckets with two components go the
+   same way, with a pivot of their own, so that their parts miss half of its voters;
+   those of up to SMALL nodes are compared within, across components.
+
+These filters are exact: no pair that shares a bucket goes unseen, and edited
+copies that are not within 0.8 of each other, each with shingles of its own, share
+no smaller bucket and are never compared, however many have one origin. So a
+group of thousands of near copies costs comparisons with a few pivots, not its
+square. Copies of one text are one node from the start, combined map-side. Bucket
+sizes, centres and labels are grouped aggregates; skewed joins are left to AQE.
+Signatures, buckets, packed sets and labels are tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -40,10 +47,11 @@ SIMILAR = 0.8
 REGISTERS = 280
 BAND_ROWS = 7
 #: Unresolved buckets up to this size are compared within (a node meets at most this many others).
-SMALL = 64
-#: Centres of a larger unresolved bucket in one round at most (the first round takes one, then 2, 4, ...: links found by
-#: a few centres spare most comparisons of the later ones).
-CENTRES = 64
+SMALL = 16
+#: Nodes of a group, at most, whose majority is its pivot.
+VOTERS = 16
+#: Width of a class of set sizes, as a logarithm.
+SIZE_STEP = 0.02
 #: Rows handled together in numpy.
 CHUNK = 64
 
@@ -103,6 +111,36 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.select("a", "b", "packed_a", "packed_b").mapInArrow(_compare, "a bigint, b bigint, plain double, prob double")
 
 
+def _majorities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [shingles.majority(p.as_py()) for p in batch.column("packs")]
+        yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(made, pa.binary())], ["g", "pivot"])
+
+
+def pivots(voters: DataFrame, sets: DataFrame) -> DataFrame:
+    """(g, pivot): what most voters of a group hold. Voters (g, nid, p): of each of VOTERS hash classes, the one with most p."""
+    chosen = voters.groupBy("g", F.pmod(F.xxhash64("nid"), F.lit(VOTERS)).alias("class")).agg(F.max(F.struct("p", "nid")).alias("t"))
+    packs = chosen.select("g", F.col("t.nid").alias("nid")).join(sets, "nid").groupBy("g").agg(F.collect_list("packed").alias("packs"))
+    return packs.mapInArrow(_majorities, "g bigint, pivot binary")
+
+
+def beside(groups: DataFrame, pivot: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """``groups`` (g, nid, label, g_label) with what ``shingles.beside_pivot`` says of a node beside its group's pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.list_(pa.int64()))
+        for batch in batches:
+            both = zip(batch.column("pivot"), batch.column("packed"), strict=True)
+            out = [shingles.beside_pivot(c.as_py(), x.as_py(), 1 - similar) for c, x in both]
+            columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
+            names = ["g", "nid", "label", "g_label", "n", "a", "mass", "repeats", "prefix"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:4]), *columns], names)
+
+    schema = "g bigint, nid bigint, label bigint, g_label bigint, n bigint, a bigint, mass double, repeats boolean, prefix array<bigint>"
+    joined = groups.join(sets, "nid").join(pivot, "g").select("g", "nid", "label", "g_label", "pivot", "packed")
+    return joined.mapInArrow(run, schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of ``edges`` (u, v): the components, by contraction.
 
@@ -133,52 +171,87 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, p, label) with the components of linked pairs (a, b) made one."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("u")), "a").join(
+        labels.select(F.col("node").alias("b"), F.col("label").alias("v")), "b"
+    )
+    merged = components(ends.select("u", "v"))
+    to = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return written(labels.join(to, "label", "left").select("node", "p", F.coalesce("to", "label").alias("label")))
+
+
+def unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` (b, nid) of the buckets that hold two components, with label and p."""
+    known = written(members.join(labels.withColumnRenamed("node", "nid"), "nid").select("b", "nid", "p", "label"))
+    two = known.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+    return written(known.join(two.select("b"), "b"))
+
+
+def pairs_without_additions(rows: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of a group that can be similar although they share no shingle outside of their pivot.
+
+    ``rows``: what ``beside`` gives. Two sets of n and m
+    shingles, x and y of them in the pivot, have at most min(x, y) in common, so neither may be below
+    similar / (1 + similar) of n + m. Given x that bounds m, and partners are found by classes of sizes.
+    With repeated shingles, both need the share ``similar`` of their weight in the pivot instead.
+    At least one of a pair is in another component than g_label.
+    """
+    ratio = (1 + similar) / similar
+    size_class = lambda c: F.floor(F.log(F.greatest(c, F.lit(1))) / SIZE_STEP)
+    fit = rows.withColumn("most", F.floor(F.col("a") * ratio - F.col("n") + 1e-6)).withColumn("least", F.ceil(F.col("n") * similar - 1e-6))
+    able = fit.filter("most >= least")
+    outside = F.col("label") != F.col("g_label")
+    e = able.filter(outside).select(
+        "g", F.explode(F.sequence(size_class(F.col("least")), size_class(F.col("most")))).alias("class"),
+        F.col("nid").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("most").alias("mx"),
+    )
+    t = able.select(
+        "g", size_class(F.col("n")).alias("class"), F.col("nid").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"),
+        F.col("most").alias("my"),
+    )
+    plain = e.join(t, ["g", "class"]).filter("lx != ly and ny <= mx and nx <= my").select("x", "y")
+    heavy = rows.filter(F.col("mass") >= similar - 1e-9)
+    u = heavy.filter(outside).select("g", F.col("nid").alias("x"), F.col("label").alias("lx"), F.col("repeats").alias("rx"))
+    v = heavy.select("g", F.col("nid").alias("y"), F.col("label").alias("ly"), F.col("repeats").alias("ry"))
+    prob = u.filter("rx").join(v, "g").unionByName(u.filter("not rx").join(v.filter("ry"), "g")).filter("lx != ly").select("x", "y")
+    return plain.unionByName(prob).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def link_nodes(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(node, label) components of the similar pairs within the buckets of ``members`` (b, nid)."""
     met_in = members.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     labels = written(
         members.join(met_in, "b").groupBy(F.col("nid").alias("node")).agg(F.sum("n").alias("p")).withColumn("label", F.col("node"))
     )
-    active, step = members, 0
+    alike = F.greatest("plain", "prob") >= similar
+    # the node that meets most others is most likely the one that its near copies were made from
+    known = members.join(labels.withColumnRenamed("node", "nid"), "nid")
+    centre = known.groupBy("b").agg(F.max(F.struct("p", "nid")).alias("t")).select("b", F.col("t.nid").alias("c"))
+    pairs = members.join(centre, "b").filter("nid != c").select(F.least("c", "nid").alias("a"), F.greatest("c", "nid").alias("b"))
+    labels = relabelled(labels, written(verify(pairs.distinct(), sets), per_core=8).filter(alike))
+    active, first = unresolved(members, labels), True
     while not active.isEmpty():
-        known = active.join(labels.withColumnRenamed("node", "nid"), "nid")
-        # the node that meets most others is most likely the one that its near copies were made from
-        sizes = known.groupBy("b").agg(F.max(F.struct("p", "nid", "label")).alias("t"), F.count(F.lit(1)).alias("n"))
-        sizes = sizes.select("b", "n", F.col("t.nid").alias("c"), F.col("t.label").alias("c_label"))
-        centred = written(known.join(sizes, "b"))
-        small = F.col("n") <= SMALL if step else F.lit(False)
-        others = centred.filter("nid != c")
-        pairs = others.filter("label != c_label").select(F.least("c", "nid").alias("a"), F.greatest("c", "nid").alias("b"))
-        rest = others.filter(~small).select("b", "nid", "p", "label", "c_label")
-        if step:
-            # further centres: of the nodes not in the centre's component, the first of each hash class
-            more = written(
-                rest.filter("label != c_label").groupBy("b", F.pmod(F.xxhash64("nid"), F.lit(min(CENTRES, 2**step))).alias("class"))
-                .agg(F.max(F.struct("p", "nid", "label")).alias("t"))
-                .select("b", F.col("t.nid").alias("t"), F.col("t.label").alias("t_label"))
-            )
-            met = rest.join(more, "b").filter("nid != t and label != t_label")
-            pairs = pairs.unionByName(met.select(F.least("nid", "t").alias("a"), F.greatest("nid", "t").alias("b")))
-            rest = rest.join(more.select("b", F.col("t").alias("nid")), ["b", "nid"], "left_anti")
-            left = centred.filter(small).select("b", F.col("nid").alias("x"), F.col("label").alias("lx"))
-            right = left.select("b", F.col("x").alias("y"), F.col("lx").alias("ly"))
-            inner = left.join(right, "b").filter("x < y and lx != ly").select(F.col("x").alias("a"), F.col("y").alias("b"))
-            pairs = pairs.unionByName(inner)
-        sims = written(verify(pairs.distinct(), sets), per_core=8)
-        links = sims.filter(F.greatest("plain", "prob") >= similar)
-        ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("u")), "a").join(
-            labels.select(F.col("node").alias("b"), F.col("label").alias("v")), "b"
-        )
-        merged = components(ends.select("u", "v"))
-        labels = written(
-            labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select(
-                "node", "p", F.coalesce("to", "label").alias("label")
-            )
-        )
-        marked = written(rest.select("b", "nid").join(labels.withColumnRenamed("node", "nid"), "nid"))
-        open_parts = marked.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-        active = written(marked.join(open_parts.select("b"), "b").select("b", "nid"))
-        step += 1
+        top = active.groupBy("b").agg(F.max(F.struct("p", "nid", "label")).alias("t"), F.count(F.lit(1)).alias("size"))
+        placed = written(active.join(top.select("b", F.col("t.label").alias("g_label"), "size"), "b"))
+        if first:  # one group for all buckets whose centres are in one component
+            groups = placed.select(F.col("g_label").alias("g"), "nid", "label", "g_label", "p").distinct()
+        else:
+            groups = placed.filter(F.col("size") > SMALL).select(F.col("b").alias("g"), "nid", "label", "g_label", "p")
+        rows = written(beside(groups, pivots(groups, sets), sets, similar), per_core=8)
+        pairs = pairs_without_additions(rows, similar)
+        if not first:
+            left = placed.filter(F.col("size") <= SMALL).select("b", F.col("nid").alias("a"), F.col("label").alias("la"))
+            right = left.select("b", F.col("a").alias("nid"), F.col("la").alias("lb"))
+            inner = left.join(right, "b").filter("a < nid and la != lb").select("a", F.col("nid").alias("b"))
+            pairs = pairs.unionByName(inner).distinct()
+        labels = relabelled(labels, written(verify(pairs, sets), per_core=8).filter(alike))
+        if first:
+            token = rows.groupBy("nid").agg(F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("prefix"))
+            members = token.select(F.explode("prefix").alias("b"), "nid")
+        else:
+            members = rows.select("g", "nid", F.explode("prefix").alias("t")).select(F.xxhash64("g", "t").alias("b"), "nid")
+        active, first = unresolved(members, labels), False
     return labels.select("node", "label")
 
 

@@ -183,3 +183,27 @@ def similarities(a: bytes, b: bytes) -> tuple[float, float]:
     r = ratio[: len(ia)]
     at = np.searchsorted(ratio[order], r, side="left")
     return plain, float((1.0 / (above[at] / x[: len(ia)] + below[at] / y[: len(ia)])).sum())
+
+
+def majority(packs: list[bytes]) -> bytes:
+    """The shingles that at least half of some packed sets hold, packed, each once."""
+    held, votes = np.unique(np.concatenate([np.unique(unpack(p)[0]) for p in packs]), return_counts=True)
+    most = held[2 * votes >= len(packs)]
+    return pack(most, np.ones(len(most), dtype=np.int64))
+
+
+def beside_pivot(pivot: bytes, other: bytes, share: float) -> tuple[int, int, float, bool, list[int]]:
+    """A packed set beside a pivot: its shingles, those in the pivot, the share of weight of these, whether shingles repeat,
+    and its prefix: of the shingles that the pivot lacks, by hash, those before which at most ``share`` of all shingles, or
+    of all weight, lie.
+    """
+    (hp, _), (ho, co) = unpack(pivot), unpack(other)
+    n, w = len(ho), weights(co)
+    if not n:
+        return 0, 0, 1.0, False, []
+    inside = np.isin(ho, hp)
+    lacking = w[~inside] / w.sum()
+    ahead = np.concatenate([[0.0], np.cumsum(lacking)[:-1]]) if len(lacking) else lacking
+    first = (np.arange(len(lacking)) <= share * n + 1e-9) | (ahead <= share + 1e-9)
+    mass = float(w[inside].sum() / w.sum())
+    return n, int(inside.sum()), mass, bool(co.max() > 1), ho[~inside][first].astype(np.int64).tolist()

@@ -156,6 +156,75 @@ def test_large_buckets_are_split(spark, monkeypatch):
     assert sorted(map(sorted, classes.values())) == sorted(map(sorted, brute.values()))
 
 
+def grouped(labels):
+    out = {}
+    for i, c in labels.items():
+        out.setdefault(c, set()).add(i)
+    return sorted(map(sorted, out.values()))
+
+
+def edited_apart(rng, copies, words_each=120):
+    """Copies of one text: some edited a little, some so much that they are like no other; a few have repeated passages."""
+    base = [f"w{i}" for i in range(words_each)]
+    docs = []
+    for i in range(copies):
+        w = list(base)
+        for k in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 6])):
+            w[rng.randrange(len(w))] = f"own{i}_{k}"
+        if i % 9 == 0:
+            w = w[rng.randrange(12) :]
+        if i % 11 == 0:
+            w += w[:20] * rng.randrange(1, 4)
+        docs.append((i, " ".join(w)))
+    return docs
+
+
+def test_edited_copies_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(M, "SMALL", 2)
+    docs = edited_apart(random.Random(12), 60, 70)
+    members = spark.createDataFrame([(1, i) for i, _ in docs], "b long, nid long")
+    sets = spark.createDataFrame([(i, bytearray(S.pack(*S.shingles(t)))) for i, t in docs], "nid long, packed binary")
+    got = {r.node: r.label for r in M.link_nodes(members, sets).collect()}
+    want = brute_classes(docs)
+    assert 5 < len(set(want.values())) < 55
+    assert grouped(got) == grouped(want)
+
+
+def test_edited_copies_are_not_compared_in_pairs(spark, monkeypatch):
+    """The pairs that are made grow with the copies, not with their square."""
+    made = []
+    verify, beside = M.verify, M.beside
+    monkeypatch.setattr(M, "verify", lambda pairs, sets: made.append(pairs.count()) or verify(pairs, sets))
+    monkeypatch.setattr(M, "beside", lambda groups, *more: made.append(groups.count()) or beside(groups, *more))
+    rng, base = random.Random(3), [f"w{i}" for i in range(150)]
+    docs = []
+    for i in range(800):
+        w = list(base)
+        for k in range(rng.choice([2, 7, 9])):
+            w[rng.randrange(150)] = f"own{i}_{k}"
+        docs.append((i, " ".join(w)))
+    M.near_classes(frame(spark, docs)).count()
+    assert sum(made) < 20 * len(docs)
+
+
+def test_recall_of_the_bands():
+    """Of edited copies at 0.8 to 0.85, by either similarity, at least 0.99 share a band."""
+    rng, met, total = random.Random(7), 0, 0
+    while total < 400:
+        w = [f"t{total}_{i}" for i in range(150)]
+        if total % 2:
+            w += w[:30] * 2
+        v = list(w)
+        for _ in range(rng.randint(2, 5)):
+            v[rng.randrange(len(v))] = "edit"
+        pair = [S.shingles(" ".join(x)) for x in (w, v)]
+        if 0.8 <= S.similarity(*(S.pack(*s) for s in pair)) < 0.85:
+            total += 1
+            a, b = M.band_keys(pair)
+            met += bool(set(a.tolist()) & set(b.tolist()))
+    assert met >= 0.99 * total
+
+
 def test_edge_cases(spark):
     assert M.near_classes(frame(spark, [])).collect() == []
     got = M.near_classes(frame(spark, [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f")])).collect()
