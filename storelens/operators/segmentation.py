@@ -11,10 +11,12 @@ import math
 import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from operator import add
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,25 +122,53 @@ def kmeans_segments(
     return labelled, model, cost
 
 
+#: Squarings of the moment matrix: the eigenvectors are those of its 2^EIGEN_STEPS-th power.
+EIGEN_STEPS = 16
+
+
+def cross_moments(scaled: DataFrame, cols: Sequence[str] = FEATURES) -> np.ndarray:
+    """Exact sums of the products of all pairs of columns (six decimals each), from one scan; one row reaches the driver."""
+    exact = scaled.select(*[X.round_half_up(c, 6).cast("decimal(18,6)").alias(f"x{i}") for i, c in enumerate(cols)])
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    product = lambda i, j: F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(38,12)"))
+    row = exact.agg(*[X.dbl(product(i, j)).alias(f"m{i}_{j}") for i, j in pairs]).collect()[0]
+    out = np.zeros((len(cols), len(cols)))
+    for i, j in pairs:
+        out[i, j] = out[j, i] = row[f"m{i}_{j}"] or 0.0
+    return out
+
+
+def principal_axes(moments: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k first eigenvectors by repeated squaring and deflation, each with its largest loading positive."""
+    axes = []
+    for _ in range(k):
+        power = moments
+        for _ in range(EIGEN_STEPS):
+            trace = np.trace(power)
+            if trace <= 0:
+                break
+            power = power / trace
+            power = power @ power
+        axis = power[:, int(power.diagonal().argmax())]
+        length = math.sqrt(float(axis @ axis))
+        axis = axis / length if length else axis
+        axis = -axis if axis[int(abs(axis).argmax())] < 0 else axis
+        axes.append(axis)
+        moments = moments - float(axis @ moments @ axis) * np.outer(axis, axis)
+    return axes
+
+
 def pca_2d(scaled: DataFrame, cols: Sequence[str] = FEATURES, k: int = P.PCA_DIMS, digits: int = 3) -> DataFrame:
     """First two principal components of the standardised features, 3 decimals.
 
-    Sign rule: each axis is flipped so that its largest-magnitude loading is positive.
+    The features have mean 0, so their cross-moments are the covariances but for
+    a factor. Sign rule: each axis is flipped so that its largest-magnitude
+    loading is positive.
     """
-    vec = assemble(scaled, cols)
-    model = PCA(k=k, inputCol="features", outputCol="_pc").fit(vec)
-    pc = model.pc.toArray()  # d x k loadings (d = number of features), on the driver by construction
-    signs = []
-    for j in range(k):
-        col_j = pc[:, j]
-        idx = int(abs(col_j).argmax())
-        signs.append(-1.0 if col_j[idx] < 0 else 1.0)
-    arr = vector_to_array(F.col("_pc"))
-    out = model.transform(vec).select("cliente_id", arr.alias("_a"))
+    axes = principal_axes(cross_moments(scaled, cols), k)
     names = ["pca_x", "pca_y"] + [f"pca_{j}" for j in range(2, k)]
-    return out.select(
-        "cliente_id", *[F.round(F.col("_a")[j] * F.lit(signs[j]), digits).alias(names[j]) for j in range(k)]
-    )
+    at = [reduce(add, [F.col(c) * F.lit(float(x)) for c, x in zip(cols, axis, strict=True)]) for axis in axes]
+    return scaled.select("cliente_id", *[F.round(c, digits).alias(n) for c, n in zip(at, names, strict=True)])
 
 
 def cluster_profile(df: DataFrame, cluster_col: str = "cluster_raw") -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import params as P
 from ..functions import exprs as X
+from ..operators import clustering as L
 from ..operators import curves as C
 from ..operators import explore as E
 from ..operators import masters as M
@@ -43,7 +44,7 @@ def build_sections(m: RetailModel, restarts: int = P.KMEANS_RESTARTS, k: int = P
     master = write_shared(M.client_master(m.clients, billed, m.products, m.visits, m.potential, hz), "client_master")
 
     scaled = G.standardize(G.client_features(master))
-    labels, _, _ = G.kmeans_segments(scaled, k=k, restarts=restarts)
+    labels, _ = L.lloyd_segments(scaled, k=k, restarts=restarts)
     coords = G.pca_2d(scaled)
     lm = write_shared(master.join(labels, "cliente_id", "left").join(coords, "cliente_id", "left"), "client_segmented")
     roles = G.segment_roles(G.cluster_profile(lm))

@@ -878,6 +878,61 @@ SQL["standardize"] = q(
     + " FROM feat, st",
 )
 
+ST = "st AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in FEATS) + " FROM feat)"
+Z = {c: f"CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE 0.0 END" for c in FEATS}
+
+_STARTS = " UNION ALL ".join(
+    f"(SELECT {r} AS r, list(v ORDER BY key) AS cs FROM (SELECT v, substr(h || h, {3 * r % 64 + 1}, 64) AS key FROM x ORDER BY key, v LIMIT 5))"
+    for r in range(20)
+)
+_AWAY = "list_transform(cs, lambda q: CAST(list_sum(list_transform(list_zip(v, q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT))"
+_SUMS = ", ".join(f"CAST(sum(v[{d + 1}]) AS BIGINT)" for d in range(len(FEATS)))
+KMEANS = f"""
+x AS MATERIALIZED (SELECT cliente_id, sha256('42:' || cliente_id) AS h,
+                   [{", ".join(f"CAST(CAST({rhu(Z[c], 4)} AS DECIMAL(18,4)) * 10000 AS BIGINT)" for c in FEATS)}] AS v FROM feat, st),
+starts AS MATERIALIZED ({_STARTS}),
+lloyd AS (
+  SELECT 0 AS it, r, cs, true AS moves FROM starts
+  UNION ALL
+  SELECT it + 1, r, new, list_sum(list_transform(list_zip(flatten(new), flatten(cs)), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) > 10000 FROM (
+    SELECT it, r, cs, list_transform(range(1, len(cs) + 1), lambda c: coalesce(map_from_entries(list((c_, m)))[c], cs[c])) AS new
+    FROM (SELECT it, r, cs, c_, list_transform(s, lambda t: (((2 * t + 100 * n) - ((((2 * t + 100 * n) % (200 * n)) + 200 * n) % (200 * n))) // (200 * n)) * 100) AS m
+          FROM (SELECT it, r, cs, list_position(ds, list_min(ds)) AS c_, count(*) AS n, [{_SUMS}] AS s
+                FROM (SELECT it, r, cs, v, {_AWAY} AS ds FROM lloyd, x WHERE it < 100 AND moves) GROUP BY it, r, cs, list_position(ds, list_min(ds))))
+    GROUP BY it, r, cs)
+),
+ends AS (SELECT r, arg_max(cs, it) AS cs FROM lloyd GROUP BY r),
+costs AS (SELECT r, cs, sum(list_min(ds)) AS cost FROM (SELECT r, cs, {_AWAY} AS ds FROM ends, x) GROUP BY r, cs),
+best AS (SELECT cs FROM costs ORDER BY cost, r LIMIT 1)"""
+SQL["kmeans_segments"] = q(CLIENT_ROLLUP, STD, ST, KMEANS, f"""
+SELECT cliente_id, CAST(list_position(ds, list_min(ds)) - 1 AS INTEGER) AS cluster_raw FROM (SELECT cliente_id, {_AWAY} AS ds FROM x, best)
+""").replace("WITH", "WITH RECURSIVE", 1)
+
+
+def _axis(n: int) -> str:
+    """One eigenvector ``a<n>`` (i, x) of ``c<n>`` (i, j, x) by repeated squaring, and the deflated ``c<n + 1>``."""
+    out, last = "", f"c{n}"
+    for s in range(16):
+        new = f"p{n}_{s}"
+        out += f"""
+{new} AS MATERIALIZED (SELECT a.i, b.j, sum(a.x / t * b.x / t) AS x
+  FROM {last} a JOIN {last} b ON a.j = b.i, (SELECT sum(x) AS t FROM {last} WHERE i = j) GROUP BY a.i, b.j),"""
+        last = new
+    return out + f"""
+u{n} AS MATERIALIZED (SELECT i, x FROM {last} WHERE j = (SELECT arg_max(i, x) FROM {last} WHERE i = j)),
+a{n} AS MATERIALIZED (SELECT i, x / (SELECT sqrt(sum(x * x)) * sign(arg_max(x, abs(x))) FROM u{n}) AS x FROM u{n}),
+c{n + 1} AS MATERIALIZED (SELECT i, j, c.x - (SELECT sum(p.x * c.x * q.x) FROM c{n} c JOIN a{n} p USING (i) JOIN a{n} q ON q.i = c.j) * p.x * q.x AS x
+  FROM c{n} c JOIN a{n} p USING (i) JOIN a{n} q ON q.i = c.j)"""
+
+
+SQL["pca_2d"] = q(CLIENT_ROLLUP, STD, ST, "z AS MATERIALIZED (SELECT cliente_id, [" + ", ".join(Z[c] for c in FEATS) + "] AS v FROM feat, st)", f"""
+z6 AS (SELECT [{", ".join(r6(f"v[{d + 1}]") for d in range(len(FEATS)))}] AS v FROM z),
+ij AS (SELECT i, j FROM range(1, {len(FEATS) + 1}) a(i), range(1, {len(FEATS) + 1}) b(j)),
+c1 AS MATERIALIZED (SELECT i, j, CAST(sum(CAST(CAST(v[i] AS DECIMAL(18,6)) * CAST(v[j] AS DECIMAL(18,6)) AS DECIMAL(38,12))) AS DOUBLE) AS x
+  FROM z6, ij GROUP BY i, j)""", _axis(1), _axis(2), f"""
+SELECT cliente_id, {", ".join(f"round(list_sum(list_transform(list_zip(v, (SELECT list(x ORDER BY i) FROM a{n})), lambda p: p[1] * p[2])), 3) + 0.0 AS {name}" for n, name in ((1, "pca_x"), (2, "pca_y")))}
+FROM z""")
+
 SQL["segment_roles"] = q(CLIENT_ROLLUP, LABELS, "SELECT cluster_raw, cluster_code, cluster_nome, cluster_tag, cluster_desc, prioridade FROM roles")
 SQL["segment_labels"] = q(CLIENT_ROLLUP, LABELS, "SELECT cliente_id, cluster_raw, cluster_code, cluster_nome, cluster_tag FROM labelled")
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from .. import params as P
 from ..functions import exprs as X
+from ..operators import clustering as L
 from ..operators import curves as C
 from ..operators import explore as E
 from ..operators import masters as M
@@ -589,7 +590,7 @@ def scaled_features(m: RetailModel) -> DataFrame:
 @register("kmeans_segments")
 def q_kmeans_segments(spark, sf_dir):
     scaled = scaled_features(model(spark, sf_dir))
-    labelled, _, _ = G.kmeans_segments(scaled)
+    labelled, _ = L.lloyd_segments(scaled)
     return labelled
 
 
@@ -599,7 +600,7 @@ def q_segmented_client_record(spark, sf_dir):
     m = model(spark, sf_dir)
     whole = cut_lineage(master(m))
     scaled = G.standardize(G.client_features(whole))
-    labels, _, _ = G.kmeans_segments(scaled)
+    labels, _ = L.lloyd_segments(scaled)
     lm = cut_lineage(whole.join(labels, "cliente_id", "left").join(G.pca_2d(scaled), "cliente_id", "left"))
     roles = G.segment_roles(G.cluster_profile(lm))
     return M.client_record(G.segment_labels(lm, roles), m.horizon.years)
