@@ -10,15 +10,24 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def global_rank(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+#: Rows of a range, about: the number of ranges follows the rows alone.
+ROWS_PER_RANGE = 1_000_000
+
+
+def range_count(rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
+    return max(1, -(-rows // rows_per_range))
+
+
+def global_rank(df: DataFrame, order: Sequence[str], name: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """``df`` with ``name``, the rank from 1 in ascending ``order``.
 
-    The rows are range-partitioned and checkpointed (range bounds come from
+    The rows are written and counted, range-partitioned and checkpointed (range bounds come from
     sampling, so counting and numbering must see one layout), numbered inside
     their range, and shifted by the sizes of the ranges before: the only window
     over everything has one row per range.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = cut_lineage(df)
+    n = range_count(df.count(), rows_per_range)
     ranged = cut_lineage(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (

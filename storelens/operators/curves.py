@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
@@ -134,12 +133,22 @@ def geo_performance(
     return out.withColumn("share_pct", X.safe_ratio("receita_liquida", "potencial_total"))
 
 
-COOC_CHUNK = 256  # category columns per aggregation pass
+COOC_CHUNK = 256  # categories of a basket paired at a time
 
 
-def category_domain(df: DataFrame, col: str = "categoria") -> list[str]:
-    """The sorted distinct categories of a dimension table: the names of the result's rows and columns."""
-    return [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
+def distinct_baskets(sales_with_prod: DataFrame) -> DataFrame:
+    """The dictionary of category sets: ``cats`` (sorted) and ``n_pedidos``, the orders that hold just that set.
+
+    One shuffle on the order key builds each order's set (``collect_set`` is
+    partial map side, so a huge order is pre-merged per task), a second counts
+    equal sets, combined map side.
+    """
+    per_order = (
+        sales_with_prod.where(F.col("pedido_id").isNotNull() & F.col("categoria").isNotNull())
+        .groupBy("pedido_id")
+        .agg(F.array_sort(F.collect_set("categoria")).alias("cats"))
+    )
+    return per_order.groupBy("cats").agg(F.count(F.lit(1)).alias("n_pedidos"))
 
 
 def category_cooccurrence(
@@ -147,48 +156,32 @@ def category_cooccurrence(
 ) -> DataFrame:
     """For each ordered category pair (base, other): orders holding both, orders holding base, % of base.
 
-    No pairs are emitted. One shuffle on the order key builds each order's
-    category set (partial ``collect_set`` map side, so a huge order is
-    pre-merged per task). Each order then gives one row per category it holds
-    (the base), carrying its set, and one aggregation by base counts, for
-    every category of the domain, the orders whose set contains it: one
-    conditional count per category, combined map side, so the shuffle carries
-    at most one row per base and task. The wide counts are unpivoted to the
-    long form; categories never sold are dropped by a window per ``other``.
-    The grid is every sold category x every sold category (0 where two never
-    meet); the diagonal is 100.
-
-    ``categories`` names the domain (the catalogue, column ``categoria``) and
-    must cover every category of ``sales_with_prod``; by default it is read
-    from ``sales_with_prod`` itself. The per-order sets are checkpointed once
-    and the columns are counted in passes of ``chunk``, at every domain size.
+    Orders only differ by their category set, so pairs are made once per
+    distinct set (``distinct_baskets``, checkpointed: its rows are bounded by the
+    sets, not the orders) and weighted by its orders. The categories of a set
+    are paired in blocks of ``chunk``, so a row never holds more than two blocks;
+    pair counts are combined map side, at most one row per pair and task. The
+    grid is every sold category x every sold category (0 where two never meet);
+    the diagonal is 100. ``categories`` (the catalogue, column ``categoria``), if
+    given, leaves only its categories in the grid.
     """
-    per_order = (
-        sales_with_prod.where(F.col("pedido_id").isNotNull() & F.col("categoria").isNotNull())
-        .groupBy("pedido_id")
-        .agg(F.collect_set("categoria").alias("cats"))
+    baskets = cut_lineage(distinct_baskets(sales_with_prod))
+    blocks = F.sequence(F.lit(0), F.size("cats") - 1, F.lit(chunk))
+    bases = baskets.select("n_pedidos", "cats", F.explode(blocks).alias("_i")).select(
+        "n_pedidos", "cats", F.slice("cats", F.col("_i") + 1, chunk).alias("_left"), F.explode(blocks).alias("_j")
     )
-    by_base = per_order.select(F.explode("cats").alias("base"), "cats")
-    domain = category_domain(categories if categories is not None else sales_with_prod)
-    by_base = cut_lineage(by_base)
-    parts = []
-    for start in range(0, max(len(domain), 1), chunk):
-        names = domain[start : start + chunk]
-        wide = by_base.groupBy("base").agg(
-            F.count(F.lit(1)).alias("n_pedidos_base"),
-            *[X.count_if(F.array_contains("cats", F.lit(c))).alias(f"_n{i}") for i, c in enumerate(names)],
-        )
-        cells = F.array(
-            *[F.struct(F.lit(c).alias("other"), F.col(f"_n{i}").alias("n_pedidos_ambos")) for i, c in enumerate(names)]
-        ) if names else F.array().cast("array<struct<other:string,n_pedidos_ambos:bigint>>")
-        parts.append(wide.select("base", "n_pedidos_base", F.inline(cells)))
-    long = reduce(DataFrame.unionByName, parts)
-    sold = F.max("n_pedidos_ambos").over(Window.partitionBy("other")) > 0
-    out = long.withColumn("_sold", sold).where(F.col("_sold"))
-    return out.select(
+    pairs = bases.select(
+        "n_pedidos", F.explode("_left").alias("base"), F.slice("cats", F.col("_j") + 1, chunk).alias("_right")
+    ).select("n_pedidos", "base", F.explode("_right").alias("other"))
+    counts = pairs.groupBy("base", "other").agg(F.sum("n_pedidos").alias("n"))
+    per_base = counts.groupBy("base").agg(F.map_from_entries(F.collect_list(F.struct("other", "n"))).alias("_m"))
+    domain = D.domain_array(baskets.select(F.explode("cats").alias("categoria")), "categoria")
+    if categories is not None:
+        domain = F.array_intersect(domain, D.domain_array(categories, "categoria"))
+    out = per_base.select("base", F.explode(domain).alias("other"), "_m").select(
         "base",
         "other",
-        "n_pedidos_ambos",
-        "n_pedidos_base",
-        (F.lit(100.0) * X.dbl("n_pedidos_ambos") / X.dbl("n_pedidos_base")).alias("pct"),
+        F.coalesce(F.try_element_at("_m", F.col("other")), F.lit(0).cast("long")).alias("n_pedidos_ambos"),
+        F.try_element_at("_m", F.col("base")).alias("n_pedidos_base"),
     )
+    return out.withColumn("pct", F.lit(100.0) * X.dbl("n_pedidos_ambos") / X.dbl("n_pedidos_base"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions import domains as D
 from ..functions import exprs as X
-from ..session import cut_lineage
+from ..functions.ordering import ROWS_PER_RANGE, range_count
+from ..session import cut_lineage, write_shared
 
 
 def abc_curve(
@@ -25,9 +28,8 @@ def abc_curve(
     """ABC class from the running share of revenue in (revenue desc, key asc) order.
 
     A global running sum would pull every row into one task. Instead:
-    1. range-partition by the sort order into ``n_ranges`` slices (default: one
-       per shuffle partition, more where a slice would exceed
-       ``rows_per_range`` SKUs) and checkpoint
+    1. range-partition by the sort order into ``n_ranges`` slices (default: about
+       ``rows_per_range`` SKUs each) and checkpoint
        (range bounds come from sampling, so both passes must see one layout);
     2. sum each slice (<= n_ranges rows) and take an exclusive prefix of those
        sums (a window over at most n_ranges rows);
@@ -36,13 +38,12 @@ def abc_curve(
     are broken by ``key``; the class is A while share <= cuts[0], B while
     <= cuts[1], else C (a zero total gives NULL share → C).
     """
-    spark = skus.sparkSession
     n = n_ranges
     if n is None:
         # the SKU rows are written once so the count and the ranging read them
         # instead of re-running their rollup
         skus = cut_lineage(skus)
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-skus.count() // rows_per_range))
+        n = range_count(skus.count(), rows_per_range)
     order = [F.desc("_rev"), F.asc(key)]
     ranged = (
         skus.withColumn("_rev", F.col(revenue).cast("decimal(38,4)"))
@@ -190,6 +191,68 @@ def sorted_page(
     )
 
 
+@dataclass
+class PageDirectory:
+    """A record written once in key order, in ranges, with the rows ahead of each range: any page reads its ranges only."""
+
+    table: DataFrame
+    key: str
+    ascending: bool
+    id_col: str
+    size: int
+    starts: list[int]  # rows ahead of every range, and at the end all rows
+
+    @property
+    def rows(self) -> int:
+        return self.starts[-1]
+
+    @property
+    def pages(self) -> int:
+        return max(1, -(-self.rows // self.size))
+
+    def ranges_of(self, page: int) -> list[int]:
+        """The ranges that hold rows of a page (from 1)."""
+        first, behind = (max(page, 1) - 1) * self.size, max(page, 1) * self.size
+        ends = zip(self.starts, self.starts[1:], strict=False)
+        return [i for i, (at, end) in enumerate(ends) if at < behind and end > first]
+
+    def page(self, page: int) -> DataFrame:
+        """Rows of a page in (key, id) order with ``total_linhas`` and ``total_paginas``; only its ranges are read."""
+        ranges = self.ranges_of(page)
+        skip = (max(page, 1) - 1) * self.size - (self.starts[ranges[0]] if ranges else 0)
+        mine = self.table.where(F.col("_range").isin(ranges)) if ranges else self.table.where(F.lit(False))
+        rows = mine.drop("_range").orderBy(sort_key(self.key, self.ascending), F.asc(self.id_col))
+        rows = rows.offset(skip).limit(self.size) if ranges else rows
+        return rows.withColumns(
+            {"total_linhas": F.lit(self.rows).cast("long"), "total_paginas": F.lit(self.pages).cast("long")}
+        )
+
+
+def page_directory(
+    df: DataFrame,
+    key: str = "rec_liq",
+    ascending: bool = False,
+    size: int = P.PAGE_SIZE,
+    id_col: str = "id",
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> PageDirectory:
+    """Write ``df`` in ranges of (key, id) order and count them, so that deep pages cost no more than the first.
+
+    The rows are counted and ranged from a checkpoint, then written partitioned
+    by range; one count per range (rows / ``rows_per_range``) reaches the driver.
+    Within a ``shared_scope`` the table goes when the block ends. Equal keys of
+    one id stay in some order; a null key sorts as in ``orderBy``.
+    """
+    order = [sort_key(key, ascending), F.asc(id_col)]
+    df = cut_lineage(df)
+    n = range_count(df.count(), rows_per_range)
+    ranged = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    table = write_shared(ranged, "pages", partition_by="_range")
+    counts = {r["_range"]: r["n"] for r in table.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts = [0, *itertools.accumulate(counts.get(i, 0) for i in range(n))]
+    return PageDirectory(table, key, ascending, id_col, size, starts)
+
+
 def first_n(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 

@@ -781,6 +781,12 @@ pg AS (SELECT id, nome, canal, uf, rec_liq, margem_pct, pedidos FROM rec WHERE c
 tot AS (SELECT count(*) AS total_linhas FROM rec WHERE canal = 'BUILDING')""", """
 SELECT pg.*, total_linhas, greatest(1, CAST(ceil(CAST(total_linhas AS DOUBLE) / 15) AS BIGINT)) AS total_paginas FROM pg, tot""")
 
+SQL["deep_pages"] = q(CLIENT_ROLLUP, LABELS, REC, """
+nth AS (SELECT id, nome, canal, uf, rec_liq, margem_pct, pedidos, row_number() OVER (ORDER BY rec_liq DESC, id ASC) - 1 AS i,
+               count(*) OVER () AS total_linhas FROM rec),
+pg AS (SELECT * EXCLUDE (i), CAST(i // 15 + 1 AS BIGINT) AS pagina, CAST((total_linhas + 14) // 15 AS BIGINT) AS total_paginas FROM nth)""", """
+SELECT * FROM pg WHERE pagina IN (1, (total_paginas + 1) // 2, total_paginas)""")
+
 SQL["first_n_products"] = q(SKU, KREC, f"""
 SELECT sku_id, nome, categoria, rec_total, curva_abc FROM krec
 WHERE {' OR '.join(contains(c, 'ring') for c in ('nome', 'sku_id', 'categoria'))}

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,7 @@ SEARCH_PRODUCTS = "blue"
 SEARCH_FIRST_N = "ring"
 MIX_CATEGORIES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 PAGE, PAGE_KEY = 2, "rec_liq"
+DEEP_RANGE_ROWS = 100_000
 FIXED_K = 5
 SCENARIO_GRID = {
     "corte_desconto_pp": (0.0, 0.5, 1.0),
@@ -458,6 +460,15 @@ def q_sorted_page(spark, sf_dir):
     return K.sorted_page(rec.select("id", "nome", "canal", "uf", "rec_liq", "margem_pct", "pedidos"), PAGE_KEY, False, PAGE)
 
 
+@register("deep_pages")
+def q_deep_pages(spark, sf_dir):
+    """First, middle and last page of the whole client record, read through the page directory."""
+    rec = client_rec(model(spark, sf_dir)).select("id", "nome", "canal", "uf", "rec_liq", "margem_pct", "pedidos")
+    pages = K.page_directory(rec, PAGE_KEY, False, rows_per_range=DEEP_RANGE_ROWS)
+    asked = sorted({1, (pages.pages + 1) // 2, pages.pages})
+    return reduce(DataFrame.unionByName, [pages.page(p).withColumn("pagina", F.lit(p).cast("long")) for p in asked])
+
+
 @register("first_n_products")
 def q_first_n_products(spark, sf_dir):
     m = model(spark, sf_dir)

@@ -6,11 +6,12 @@ import os
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables written in the open ``shared_scope`` blocks.
-_SCOPES: list[list[str]] = []
+#: Tables written in the open ``shared_scope`` blocks, innermost last; every thread (or task of an event loop) has its own.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("storelens_scopes", default=())
 
 # Session settings the library relies on: AQE (runtime coalescing, skew-join
 # splitting, broadcast conversion from measured sizes) and UTC.
@@ -126,11 +127,12 @@ def remove_shared(spark: SparkSession, path: str) -> None:
 def shared_scope(spark: SparkSession):
     """Tables that ``write_shared`` writes inside the block are deleted when it ends."""
     written: list[str] = []
-    _SCOPES.append(written)
+    outer = _SCOPES.get()
+    _SCOPES.set((*outer, written))
     try:
         yield written
     finally:
-        _SCOPES.remove(written)
+        _SCOPES.set(outer)
         for path in written:
             remove_shared(spark, path)
 
@@ -148,8 +150,7 @@ def write_shared(df: DataFrame, name: str, partition_by: str | None = None) -> D
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(partition_by)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if _SCOPES.get():
+        _SCOPES.get()[-1].append(path)
     w.parquet(path)
-    reader = df.sparkSession.read
-    return (reader if partition_by else reader.schema(df.schema)).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

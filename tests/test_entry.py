@@ -53,3 +53,13 @@ def test_oracle_matches(spark, duck, key):
     sp = E.queries()[key](spark, SF_SMALL).toPandas()
     dd = duck.execute(E.oracle_sql()[key]).df()
     assert canon(sp) == canon(dd)
+
+
+def test_entry_works_without_the_libraries_of_the_extra_queries():
+    """A missing library of the training-data queries takes only these away."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['ahocorasick'] = None; sys.modules['regex'] = None; import __spark_entry__ as E; print(len(E.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.abspath(E.__file__)))
+    assert out.returncode == 0 and int(out.stdout) == len(E.QUERIES)

@@ -232,3 +232,44 @@ def test_client_master_lines_are_not_expanded(model_mid):
     expand, lines = text.index("Expand"), text.index("l_orderkey")
     first = text.index("Aggregate [cliente_id", expand)
     assert expand < first < lines and "pedido_id" in text[first : text.index("\n", first)]
+
+
+def test_cooccurrence_of_one_huge_order(spark):
+    """An order of 2,000 categories among small ones: blocks of pairs give every cell, and equal sets are one row."""
+    huge = [("big", f"c{i:04d}") for i in range(2000)]
+    small = [(f"o{i}", c) for i in range(50) for c in ("c0000", "c0001")]
+    swp = spark.createDataFrame(huge + small, "pedido_id string, categoria string").repartition(4)
+    assert C.distinct_baskets(swp).count() == 2
+    out = C.category_cooccurrence(swp)
+    assert out.count() == 2000 * 2000
+    cells = {(r.base, r.other): (r.n_pedidos_ambos, r.n_pedidos_base) for r in out.where("base <= 'c0002' and other <= 'c0002'").collect()}
+    assert cells["c0000", "c0001"] == (51, 51) and cells["c0000", "c0002"] == (1, 51) and cells["c0002", "c0000"] == (1, 1)
+    only = C.category_cooccurrence(swp, spark.createDataFrame([("c0000",), ("zz",)], "categoria string"))
+    assert {r.other for r in only.select("other").distinct().collect()} == {"c0000"}
+
+
+def test_page_directory_reads_only_its_ranges(spark):
+    rows = [(f"i{i:03d}", float(i * 7 % 50) if i % 11 else None, f"n{i}") for i in range(103)]
+    df = spark.createDataFrame(rows, "id string, rec_liq double, nome string")
+    for ascending in (False, True):
+        d = K.page_directory(df, "rec_liq", ascending, size=10, rows_per_range=13)
+        assert d.rows == 103 and d.pages == 11 and len(d.starts) == 9
+        for page in (1, 5, 6, 11, 12):
+            want = df.orderBy(K.sort_key("rec_liq", ascending), "id").offset((page - 1) * 10).limit(10).collect()
+            got = d.page(page)
+            assert [tuple(r)[:3] for r in got.collect()] == [tuple(r) for r in want]
+            assert len(d.ranges_of(page)) <= 2
+            if page == 11:
+                plan = got._jdf.queryExecution().executedPlan().toString()
+                assert "PartitionFilters: []" not in plan and "(_range" in plan
+    empty = K.page_directory(df.limit(0), size=10)
+    assert empty.pages == 1 and empty.page(1).collect() == [] and "total_linhas" in empty.page(1).columns
+
+
+def test_rank_ranges_follow_the_rows(spark):
+    from storelens.functions.ordering import global_rank, range_count
+
+    assert [range_count(n, 10) for n in (0, 1, 10, 11)] == [1, 1, 1, 2]
+    df = spark.range(57).selectExpr("id", "cast(id % 5 as int) as k")
+    got = {r.id: r.n for r in global_rank(df, ["k", "id"], "n", rows_per_range=9).collect()}
+    assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(range(57), key=lambda i: (i % 5, i))

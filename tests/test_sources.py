@@ -76,3 +76,21 @@ def test_apply_unset_keeps_explicit_settings(spark):
     applied = apply_unset(spark, {"spark.sql.shuffle.partitions": "999"})
     assert "spark.sql.shuffle.partitions" not in applied
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_scopes_nest_and_belong_to_their_thread(spark):
+    import threading
+
+    from storelens.session import shared_scope, write_shared
+
+    with shared_scope(spark) as outer:
+        with shared_scope(spark) as inner:
+            pass  # both still empty
+        kept = write_shared(spark.range(3), "t")
+        assert len(outer) == 1 and inner == []
+        seen = []
+        thread = threading.Thread(target=lambda: seen.append(write_shared(spark.range(2), "u").count()))
+        thread.start()
+        thread.join()
+        assert seen == [2] and len(outer) == 1
+        assert kept.count() == 3
