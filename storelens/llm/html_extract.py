@@ -7,7 +7,8 @@ elements, and lines of text between elements; inline elements are nodes where
 no text stands beside them. Spark counts exactly, for every place of a host, the
 different pages that have it and the pages of each text there. A text on at
 least SHARE of its place's pages is constant, so that few deviating pages hide
-no template. What is constant over a host's pages is template, within an article
+no template; a place that fewer than HOST_SHARE of the host's different pages
+have proves nothing, as all of these may be near copies of one article. What is constant over a host's pages is template, within an article
 too, what varies is content.
 Of what is left, the parts that the page itself marks as its article (or else
 as main) are taken, if it marks any. In both passes the parts that their own
@@ -38,9 +39,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from storelens.llm.common import checkpointed, text_or_empty
 
-#: Different pages of a host that must have a place, and the share of them on which one text makes that text template.
+#: Different pages of a host that must have a place, the share of the host's different pages that must, and the share of
+#: those that have it on which one text makes that text template.
 SUPPORT = 5
+HOST_SHARE = 0.5
 SHARE = 0.75
+#: Place of a page as a whole: its count is the number of a host's different pages.
+WHOLE = 0
 #: Salts of a host's pages in the join with its template.
 GROUPS = 64
 
@@ -63,7 +68,7 @@ SCOPE = frozenset("ul ol menu dl table tbody thead tfoot select article section
 
 # Elements, roles and class or id words that name what is no main text.
 CHROME = frozenset("nav header footer aside form button select dialog menu svg object audio video canvas head".split())
-#: Of these, elements that are kept where they hold blocks of content, and elements whose text counts within an article.
+#: Of these, elements that are kept where they hold blocks of content, and elements whose text counts within an article (as that of its header does).
 WRAPPERS = frozenset("form button".split())
 MEDIA = frozenset("object audio video canvas".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar form".split())
@@ -118,7 +123,7 @@ def _is_chrome(tag: str, attributes: str, inside: bool) -> tuple[int, str]:
     ``inside`` says that it is within an article or main element.
     """
     kind = WRAP if tag in WRAPPERS else 0
-    if tag in RAW or (tag in CHROME and not kind and not (inside and tag in MEDIA)):
+    if tag in RAW or (tag in CHROME and not kind and not (inside and (tag in MEDIA or tag == "header"))):
         return HARD, ""
     if not attributes:
         return kind, ""
@@ -327,11 +332,12 @@ def template_keys(tree: dict) -> frozenset[int]:
     for nodes in tree["pages"].values():
         for place, text in nodes:
             counts.setdefault(place, Counter())[text] += 1
+    least = max(SUPPORT, HOST_SHARE * len(tree["pages"]))
     return frozenset(
         place ^ text
         for place, texts in counts.items()
         for text, n in texts.most_common(1)
-        if texts.total() >= SUPPORT and n >= SHARE * texts.total()
+        if texts.total() >= least and n >= SHARE * texts.total()
     )
 
 
@@ -428,7 +434,7 @@ def _page_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = [page_keys(parse(page.as_py())) for page in batch.column("html")]
         columns = [pa.array([m[0] for m in made], pa.int64())]
-        columns += [pa.array([m[i] for m in made], pa.list_(pa.int64())) for i in (1, 2)]
+        columns += [pa.array([[WHOLE, *m[i]] for m in made], pa.list_(pa.int64())) for i in (1, 2)]
         yield pa.RecordBatch.from_arrays([batch.column("host"), *columns], ["host", "page", "place", "text"])
 
 
@@ -441,7 +447,10 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
     placed = counted.groupBy("host", "place").agg(
         F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("text", "n").alias("text")
     )
-    constant = placed.filter((F.col("n") >= SUPPORT) & (F.col("most") >= SHARE * F.col("n")))
+    whole = F.col("place") == WHOLE
+    evident = checkpointed(placed.filter(whole | ((F.col("n") >= SUPPORT) & (F.col("most") >= SHARE * F.col("n")))))
+    hosts = evident.filter(whole).select("host", F.col("n").alias("pages"))
+    constant = evident.filter(~whole).join(hosts, "host").filter(F.col("n") >= HOST_SHARE * F.col("pages"))
     return constant.groupBy("host").agg(F.collect_list(F.col("place").bitwiseXOR(F.col("text"))).alias("keys"))
 
 

@@ -178,3 +178,20 @@ def test_names_hide_no_article(page, want):
 def test_content_in_an_element_that_a_name_calls_chrome(spark):
     pages = [f"<body><div class=widget><p>Site</p><p>Text {i}</p><p>Kept</p></div><footer>f</footer></body>" for i in range(6)]
     assert host_pages(spark, pages) == {i: f"Text {i}" for i in range(6)}
+
+
+def test_near_copies_of_one_article_keep_their_text(spark):
+    """Six edited copies of a long story among forty short pages: places that only they have prove nothing."""
+    def layout(title, paragraphs):
+        return f"<body><div class=top>Site</div><h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "<div class=end>Imprint</div></body>"
+
+    pages = [layout(f"Title {i}", [f"Own {i} {k}" for k in range(3)]) for i in range(40)]
+    pages += [layout(f"Story version {i}", [f"Story paragraph {k}" for k in range(10)]) for i in range(6)]
+    got = host_pages(spark, pages)
+    for i in range(6):
+        assert got[40 + i] == f"Story version {i} " + " ".join(f"Story paragraph {k}" for k in range(10))
+    assert all(got[i] == f"Title {i} Own {i} 0 Own {i} 1 Own {i} 2" for i in range(40))
+
+
+def test_header_of_an_article_is_its_text():
+    assert text("<header>Site</header><article><header><h1>Title</h1></header><p>x</p></article>") == "Title x"
