@@ -8,11 +8,13 @@ threshold t with at least t / (2 - t) and at most (2 - t) / t times the
 template's bigrams, and with at least t / (2 - t) of the template's bigrams in
 common. So only stretches that begin and end with a bigram of the template,
 hold enough of them and are not too long are measured; most documents hold
-none for any template. Rows are scanned one by one; nothing is shuffled.
+none for any template. A find must state the version of its template, and a
+passage counts for the licence that it is most like alone. Rows are scanned one by one; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -59,7 +61,20 @@ NAMES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0"),
     ("CC-BY-NC-ND-4.0", "CC BY-NC-ND 4.0"),
 )
-VERBS = ("Licensed under", "Released under", "Distributed under")
+VERBS = tuple(f"{x} under{y}" for x in ("Licensed", "Released", "Distributed") for y in ("", " the terms of"))
+#: Earlier versions of names above.
+NAMES += (
+    ("Apache-1.1", "the Apache License, Version 1.1"),
+    ("Apache-1.1", "the Apache Software License, Version 1.1"),
+    ("MPL-1.1", "the Mozilla Public License, Version 1.1"),
+    ("EPL-1.0", "the Eclipse Public License, Version 1.0"),
+    ("EPL-1.0", "the Eclipse Public License 1.0"),
+    ("GPL-1.0", "the GNU General Public License, version 1"),
+    ("LGPL-2.0", "the GNU Library General Public License, version 2"),
+)
+NAMES += tuple(
+    (name.replace("4.0", v), words.replace("4.0", v)) for name, words in NAMES if words.startswith("CC BY") for v in ("1.0", "2.0", "2.5", "3.0")
+)
 
 #: The headers of the GNU licences, from behind their subject ("This program", "This library", a file's name).
 _GNU_USE = (
@@ -264,6 +279,8 @@ TEXTS: tuple[tuple[str, str], ...] = (
 )
 
 _SHORT = tuple((spdx, f"{verb} {name}.") for spdx, name in NAMES for verb in VERBS)
+_SPDX = tuple(dict.fromkeys(spdx for spdx, _ in (*TEXTS, *NAMES)))
+_SHORT += (("MIT", "MIT License"),) + tuple((x, f"{tag}: {x}") for x in _SPDX for tag in ("SPDX-License-Identifier", "License"))
 TEMPLATES: tuple[tuple[str, str], ...] = TEXTS + tuple(x for x in _SHORT if x not in TEXTS)
 
 COLUMNS = "license string, dice double, first_word bigint, n_words bigint, licenses array<string>"
@@ -278,16 +295,24 @@ def dice(a: set, b: set) -> float:
 
 
 @lru_cache(maxsize=4)
-def _bigram_sets(templates: tuple[tuple[str, str], ...]) -> tuple[list[tuple[str, frozenset]], dict]:
-    """(licence, bigrams) of the templates, and the templates by bigram."""
-    sets, by = [], {}
+def _bigram_sets(templates: tuple[tuple[str, str], ...], threshold: float) -> tuple[list[tuple[str, frozenset]], dict, dict]:
+    """(licence, bigrams) of the templates, the templates by bigram, and by key bigram.
+
+    A find has the least number of a template's bigrams, so it has one of the key bigrams, the others but one less: those that
+    fewest templates have.
+    """
+    sets, by, keys = [], {}, {}
     for name, text in templates:
         words = normalised_words(text)
         sets.append((name, frozenset(zip(words, words[1:], strict=False))))
     for i, (_, grams) in enumerate(sets):
         for g in grams:
             by.setdefault(g, []).append(i)
-    return sets, by
+    for i, (_, grams) in enumerate(sets):
+        least = math.ceil(threshold / (2.0 - threshold) * len(grams) - 1e-9)
+        for g in sorted(grams, key=lambda g: (len(by[g]), g))[: len(grams) - max(least, 1) + 1]:
+            keys.setdefault(g, []).append(i)
+    return sets, by, keys
 
 
 def best_passage(words: list[str], hits: list[int], grams: frozenset, threshold: float) -> tuple[float, int, int] | None:
@@ -330,12 +355,14 @@ def best_passage(words: list[str], hits: list[int], grams: frozenset, threshold:
 
 def find_licenses(text: str, templates=TEMPLATES, threshold: float = THRESHOLD) -> list[tuple[float, str, int, int]]:
     """The best passage for each template that is found: (dice, licence, first word, words), best first."""
-    sets, by = _bigram_sets(templates)
+    sets, by, keys = _bigram_sets(templates, threshold)
     words = normalised_words(text)
+    able = {t for g in zip(words, words[1:], strict=False) for t in keys.get(g, ())}
     hits: dict[int, list[int]] = {}
-    for i, g in enumerate(zip(words, words[1:], strict=False)):
+    for i, g in enumerate(zip(words, words[1:], strict=False)) if able else ():
         for t in by.get(g, ()):
-            hits.setdefault(t, []).append(i)
+            if t in able:
+                hits.setdefault(t, []).append(i)
     found = []
     for t, places in hits.items():
         name, grams = sets[t]
@@ -347,12 +374,56 @@ def find_licenses(text: str, templates=TEMPLATES, threshold: float = THRESHOLD)
     return [x[:4] for x in sorted(found, key=lambda x: (-x[0], -x[4], x[1], x[2]))]
 
 
+#: A stated version: behind "version", or behind a word that ends a licence's name or its short form.
+VERSION = re.compile(
+    r"\b(?:version|license|licence|apache|gpl|lgpl|agpl|mpl|epl|bsl|by|sa|nd|nc|cc0|sharealike|noderivatives|noderivs|noncommercial|attribution|universal|unported)"
+    r" (?:version )?(?:v )?v?([0-9]+(?: [0-9])?)\b"
+)
+#: Words behind a passage that may still state its version.
+TAIL = 6
+
+
+def stated_versions(words: list[str]) -> list[str]:
+    """Versions of licences that words state, in order; 2.0 and 2 are one."""
+    return [v.removesuffix(" 0") for v in VERSION.findall(" ".join(words))]
+
+
+def name_licenses(text: str, templates=TEMPLATES, threshold: float = THRESHOLD) -> list[tuple[float, str, int, int]]:
+    """The finds of ``find_licenses`` that name a licence, best first.
+
+    A template that states a version needs a passage (with the TAIL words behind it) that states the same one first: what
+    names another version is no find. One passage is one licence: a find loses to a better one that holds half of its words.
+    """
+    found = find_licenses(text, templates, threshold)
+    words = normalised_words(text) if found else []
+    wanted = _versions(templates)
+    kept: list[tuple[float, str, int, int]] = []
+    for score, name, first, n in found:
+        told = stated_versions(words[first : first + n + TAIL])
+        if wanted[name] and (told[0] if told else "") not in wanted[name]:
+            continue
+        if any(min(first + n, a + k) - max(first, a) >= n / 2 for _, _, a, k in kept):
+            continue
+        kept.append((score, name, first, n))
+    return kept
+
+
+@lru_cache(maxsize=4)
+def _versions(templates: tuple[tuple[str, str], ...]) -> dict[str, frozenset]:
+    """By licence: the versions that its templates state first, "" where one states none; empty if none does."""
+    out: dict[str, set] = {}
+    for name, text in templates:
+        told = stated_versions(normalised_words(text))
+        out.setdefault(name, set()).add(told[0] if told else "")
+    return {name: frozenset(v) if v != {""} else frozenset() for name, v in out.items()}
+
+
 def scan_licenses(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD
 ) -> DataFrame:
     """Per row: doc_id, license (the best find; null if none), its dice, first_word and n_words, and licenses (all found, sorted).
 
-    The whole text is scanned; null and empty texts have no find. Ties of the
+    Finds are those of ``name_licenses``. The whole text is scanned; null and empty texts have no find. Ties of the
     score go to the longer template, then by name. Rows are scanned one by one,
     so repeated rows give repeated results; an empty table gives none; other
     columns are not read.
@@ -360,7 +431,7 @@ def scan_licenses(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [find_licenses(t.as_py() or "", templates, threshold) for t in batch.column("text")]
+            found = [name_licenses(t.as_py() or "", templates, threshold) for t in batch.column("text")]
             first = [f[0] if f else (None, None, None, None) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [

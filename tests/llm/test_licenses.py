@@ -103,3 +103,38 @@ def test_bsd_3_clause_is_not_its_sibling():
     assert set(texts) == {"BSD-2-Clause", "BSD-3-Clause"}
     for name, text in texts.items():
         assert L.find_licenses(f"Copyright 2020 Someone. {text}")[0][1] == name
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", []),
+        ("Licensed under CC BY-SA 3.0.", ["CC-BY-SA-3.0"]),
+        ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+        ("Licensed under the Apache License, Version 1.1", ["Apache-1.1"]),
+        ("Licensed under the Apache License, Version 2.0", ["Apache-2.0"]),
+        ("Licensed under the Apache License, Version 3.0", []),
+        ("Licensed under the Mozilla Public License, Version 1.1", ["MPL-1.1"]),
+        ("Released under the Eclipse Public License, Version 1.0", ["EPL-1.0"]),
+        ("Licensed under the GNU General Public License, version 1", ["GPL-1.0"]),
+        ("Licensed under the GNU General Public License, version 2", ["GPL-2.0"]),
+        ("This project is licensed under the terms of the MIT license.", ["MIT"]),
+        ("Distributed under the terms of the MIT license", ["MIT"]),
+        ("SPDX-License-Identifier: MIT", ["MIT"]),
+        ("// SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]),
+        ("SPDX-License-Identifier: GPL-2.0-only", ["GPL-2.0"]),
+        ("MIT License", ["MIT"]),
+        ("License: MIT", ["MIT"]),
+        (GNU.format("General Public", "program", "2", ";") + LINK, ["GPL-2.0"]),
+        (GNU.format("Lesser General Public", "library", "2.1", ";") + LINK, ["LGPL-2.1"]),
+        ("Licensed under CC BY-NC 4.0. Other words in between here. Licensed under the Apache License, Version 2.0.", ["Apache-2.0", "CC-BY-NC-4.0"]),
+        ("Licensed under the MIT License or the Apache License, Version 2.0", ["Apache-2.0", "MIT"]),
+    ],
+)
+def test_versions_decide_and_a_passage_is_one_licence(text, want):
+    assert sorted({x[1] for x in L.name_licenses(f"Some words.\n{text}\nOther words.")}) == want
+
+
+def test_templates_name_themselves():
+    for name, text in L.TEMPLATES:
+        assert L.name_licenses(f"Some words before. {text} and some behind it")[0][1] == name, text
