@@ -30,6 +30,11 @@ def text_or_empty(c: Column | str) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def by_content(docs: DataFrame) -> Column:
+    """An order of rows by a hash of all their columns (maps, which have no order, left out), the same on every run."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+
+
 def _few_files(df: DataFrame, per_core: int) -> DataFrame:
     """``df`` in ``per_core`` partitions a core of the cluster at most: every core still has work, and files stay few."""
     return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)

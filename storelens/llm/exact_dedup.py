@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from storelens.llm.common import ascii_lower, checkpointed, text_or_empty, written
+from storelens.llm.common import ascii_lower, by_content, checkpointed, text_or_empty, written
 from storelens.session import shared_scope
 
 BLOCK_BYTES = 1 << 15
@@ -148,13 +148,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``docs`` with one row of every group of equal texts, all columns as they were.
 
     Rows are found again by id and digest of the text; of rows with the same
-    id and text one stays.
+    id and text the one with the least hash of all columns stays.
     """
     kept = exact_classes(docs, id_col, text_col).filter("kept").select(
         F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")
     )
     mine = docs.withColumn("__own_sha", F.sha2(normalised(text_col), 256))
-    once = Window.partitionBy(F.col(id_col), F.col("__own_sha")).orderBy(F.lit(0))
+    once = Window.partitionBy(F.col(id_col), F.col("__own_sha")).orderBy(by_content(docs))
     return (
         mine.join(kept, mine[id_col].eqNullSafe(kept["__id"]) & (mine["__own_sha"] == kept["__sha"]), "left_semi")
         .withColumn("__nth", F.row_number().over(once))

@@ -258,7 +258,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language cannot be told (``und`` or ambiguous); all columns as they were."""
+    """``docs`` without the rows whose language cannot be told (``und`` or ambiguous); all columns as they were.
+
+    Rows with a null text or one without letters go, and all rows if nothing was learned. Rows are judged one by one, so
+    repeated rows stay or go together; ids may be null; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col))
     at = docs.columns.index(text_col)
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from storelens.llm import shingles
-from storelens.llm.common import checkpointed, text_or_empty, written
+from storelens.llm.common import by_content, checkpointed, text_or_empty, written
 from storelens.session import shared_scope
 
 SIMILAR = 0.8
@@ -300,11 +300,15 @@ def _near_classes(bare: DataFrame, similar: float) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of every class, all columns as they were (rows are found again by id and text)."""
+    """``docs`` with one row of every class, all columns as they were.
+
+    Rows are found again by id and text; of rows with the same id and text the one with the least hash of all columns
+    stays. Nulls, texts of any length and empty tables are handled as ``near_classes`` says.
+    """
     kept = near_classes(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), "k1", "k2")
     t = text_or_empty(text_col)
     mine = docs.withColumn("__k1", F.xxhash64(t)).withColumn("__k2", F.xxhash64(F.lit("text"), t))
-    once = Window.partitionBy(F.col(id_col), "__k1", "__k2").orderBy(F.lit(0))
+    once = Window.partitionBy(F.col(id_col), "__k1", "__k2").orderBy(by_content(docs))
     same = mine[id_col].eqNullSafe(kept["__id"]) & (mine["__k1"] == kept["k1"]) & (mine["__k2"] == kept["k2"])
     return (
         mine.join(kept, same, "left_semi").withColumn("__nth", F.row_number().over(once)).filter("__nth = 1")

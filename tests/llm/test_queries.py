@@ -80,3 +80,26 @@ def test_pipeline_stages(spark, tmp_path):
     for r in docs.collect():
         assert r.ids == library.encode_ordinary(given[r.doc_id][1])
     assert sorted(coded) == sorted(mixed) and np.isfinite(len(coded))
+
+
+def test_pipeline_stages_on_edge_cases(spark):
+    """Null ids, clashing columns and repeated rows go through every stage, and so does an empty table."""
+    raw = [(i, t, "ab"[i % 2], "en") for i, t in corpus(__import__("random").Random(2), 12)]
+    docs = frame(spark, [*raw, (None, raw[0][1] + " and more", None, None), raw[1], raw[1]])
+    columns = docs.columns
+    empty = docs.limit(0)
+    for name, stage in pipeline.STAGES:
+        docs = stage(spark, docs, SMALL).checkpoint()
+        empty = stage(spark, empty, SMALL)
+        assert name == "bpe" or docs.columns == columns == empty.columns
+        assert empty.count() == 0 and docs.count() > 0
+        empty = spark.createDataFrame([], docs.schema)
+
+
+def test_rows_repeated_with_other_columns_are_picked_alike(spark):
+    from storelens.llm import exact_dedup, minhash
+
+    rows = [(1, "some words of a text that is repeated", s) for s in "abcdef"]
+    for drop in (exact_dedup.drop_exact_copies, minhash.drop_near_copies):
+        picked = {drop(frame(spark, order, parts)).collect()[0].source for order, parts in ((rows, 1), (rows[::-1], 3), (rows[3:] + rows[:3], 2))}
+        assert len(picked) == 1
