@@ -2,7 +2,10 @@
 
 Each stage works on all that its predecessor kept, written as Parquet and read
 again. ``run`` applies them to the documents table; the written tables lie in
-the shared folder of ``spark.checkpoint.dir``.
+the shared folder of ``spark.checkpoint.dir``. Null texts count as empty and go
+in the first stage, null ids stay; texts are taken whole; of equal texts, and of
+rows repeated, one stays; an empty table gives no rows; further columns are
+carried through to the last stage, which reads id and text.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from storelens.llm import bpe, exact_dedup, langid, minhash, mixing
-from storelens.session import write_shared
+from storelens.session import remove_shared, shared_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +57,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    """All stages over the documents of ``sf_dir``.
+
+    A stage's table is removed once its successor is written. The last one's
+    input stays, as the result is read from it: it goes with the shared folder.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = write_shared(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = shared_path(spark, f"pipeline-{name}")
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            remove_shared(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
