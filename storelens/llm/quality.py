@@ -120,7 +120,12 @@ def verdicts(measured: DataFrame, rules=RULES) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measures, base_failed (integer form: n_words < 20 or 100 n_repeat_words > 30 n_words), failed_rules and kept."""
+    """Measures, base_failed (integer form: n_words < 20 or 100 n_repeat_words > 30 n_words), failed_rules and kept.
+
+    The stop-word rule knows words of English, French, German and Spanish alone: a text in a language with other function
+    words fails it, so apply the table where language ID names one of these. A null or empty text has no words and fails
+    the base rule; texts of any length are measured whole; repeated rows give repeated results; an empty table gives none.
+    """
     out = verdicts(measures(docs, id_col, text_col))
     return out.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")).withColumn(
         "kept", F.expr("kept and not base_failed")
