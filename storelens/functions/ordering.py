@@ -18,8 +18,10 @@ def range_count(rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
     return max(1, -(-rows // rows_per_range))
 
 
-def global_rank(df: DataFrame, order: Sequence[str], name: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """``df`` with ``name``, the rank from 1 in ascending ``order``.
+def global_rank(
+    df: DataFrame, order: Sequence[str], name: str, rows_per_range: int = ROWS_PER_RANGE, dtype: str = "int"
+) -> DataFrame:
+    """``df`` with ``name``, the rank from 1 in ascending ``order`` (``dtype`` long for keys beyond 2^31).
 
     The rows are written and counted, range-partitioned and checkpointed (range bounds come from
     sampling, so counting and numbering must see one layout), numbered inside
@@ -39,6 +41,6 @@ def global_rank(df: DataFrame, order: Sequence[str], name: str, rows_per_range:
     return (
         ranged.withColumn("_nth", F.row_number().over(inside))
         .join(starts, "_range")
-        .withColumn(name, (F.col("_start") + F.col("_nth")).cast("int"))
+        .withColumn(name, (F.col("_start") + F.col("_nth")).cast(dtype))
         .drop("_range", "_nth", "_start")
     )

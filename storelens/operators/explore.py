@@ -134,6 +134,11 @@ def kpis_filtered(master: DataFrame, spec: FilterSpec) -> DataFrame:
         X.count_if(F.col("receita_liquida") > 0).alias("ativos"),
         F.count(F.lit(1)).alias("clientes"),
     )
+    return kpi_row(a)
+
+
+def kpi_row(a: DataFrame) -> DataFrame:
+    """KPI columns from the sums ``rec, bruta, desc, marg, pedidos, ativos, clientes``."""
     return a.select(
         X.dbl("rec").alias("receita_liquida"),
         X.dbl("bruta").alias("receita_bruta"),
@@ -157,6 +162,11 @@ def cluster_cards(master: DataFrame, spec: FilterSpec, cluster_col: str = "clust
     )
     n_all = f.agg(F.count(F.lit(1))).scalar()
     clusters = master.select(cluster_col).where(F.col(cluster_col).isNotNull()).distinct()
+    return card_rows(clusters, per, n_all, cluster_col)
+
+
+def card_rows(clusters: DataFrame, per: DataFrame, n_all: Column, cluster_col: str) -> DataFrame:
+    """A card per cluster from its ``n_clientes`` and ``receita_liquida`` inside the filter (none: 0)."""
     out = clusters.join(per, cluster_col, "left").withColumn("_nf", n_all)
     out = out.withColumns(
         {

@@ -723,19 +723,48 @@ SELECT {rmoney('rl')} AS receita_liquida_total, {rmoney('rb')} AS receita_bruta_
        {rhu('(CASE WHEN total_visitas <> 0 THEN CAST(conv AS DOUBLE) / CAST(total_visitas AS DOUBLE) END) * 100', 1)} AS taxa_conversao_visitas
 FROM s, c, v""")
 
-SQL["kpis_filtered"] = q(CLIENT_ROLLUP, """
-f AS (SELECT sum(receita_liquida) AS rec, sum(receita_bruta) AS bruta, sum(desconto_total) AS des, sum(margem_total) AS marg,
-             CAST(coalesce(sum(total_pedidos), 0) AS BIGINT) AS pedidos,
-             count(*) FILTER (WHERE receita_liquida > 0) AS ativos, count(*) AS clientes
-      FROM master WHERE regiao_comercial = 'AMERICA' AND porte = 'G')""", """
-SELECT CAST(coalesce(rec, 0) AS DOUBLE) AS receita_liquida, CAST(coalesce(bruta, 0) AS DOUBLE) AS receita_bruta,
+KPI_ROW = """
+SELECT {extra}CAST(coalesce(rec, 0) AS DOUBLE) AS receita_liquida, CAST(coalesce(bruta, 0) AS DOUBLE) AS receita_bruta,
        CAST(coalesce(des, 0) AS DOUBLE) AS desconto_total, CAST(coalesce(marg, 0) AS DOUBLE) AS margem_total,
        pedidos, ativos, clientes,
        (CASE WHEN rec > 0 THEN CAST(marg AS DOUBLE) / CAST(rec AS DOUBLE) ELSE 0.0 END) * 100 AS margem_pct,
        (CASE WHEN bruta > 0 THEN CAST(des AS DOUBLE) / CAST(bruta AS DOUBLE) ELSE 0.0 END) * 100 AS desconto_pct,
        CASE WHEN pedidos > 0 THEN CAST(rec AS DOUBLE) / CAST(pedidos AS DOUBLE) ELSE 0.0 END AS ticket_medio,
        (CASE WHEN clientes > 0 THEN CAST(ativos AS DOUBLE) / CAST(clientes AS DOUBLE) ELSE 0.0 END) * 100 AS taxa_ativacao
-FROM f""")
+FROM f"""
+SQL["kpis_filtered"] = q(CLIENT_ROLLUP, """
+f AS (SELECT sum(receita_liquida) AS rec, sum(receita_bruta) AS bruta, sum(desconto_total) AS des, sum(margem_total) AS marg,
+             CAST(coalesce(sum(total_pedidos), 0) AS BIGINT) AS pedidos,
+             count(*) FILTER (WHERE receita_liquida > 0) AS ativos, count(*) AS clientes
+      FROM master WHERE regiao_comercial = 'AMERICA' AND porte = 'G')""", KPI_ROW.format(extra=""))
+
+CUBE_DIMS = ("canal", "uf", "regiao_comercial", "porte", "cluster_raw", "vendedor_id")
+SQL["filter_cube"] = q(CLIENT_ROLLUP, f"ml AS (SELECT *, {TIER} AS cluster_raw FROM master)", f"""
+SELECT CAST(grouping_id({', '.join(CUBE_DIMS)}) AS BIGINT) AS conjunto,
+       {', '.join(f'CAST({d} AS VARCHAR) AS {d}' for d in CUBE_DIMS)},
+       CAST(sum(receita_liquida) AS DOUBLE) AS rec, CAST(sum(receita_bruta) AS DOUBLE) AS bruta,
+       CAST(sum(desconto_total) AS DOUBLE) AS "desc", CAST(sum(margem_total) AS DOUBLE) AS marg,
+       CAST(sum(total_pedidos) AS BIGINT) AS pedidos, count(*) FILTER (WHERE receita_liquida > 0) AS ativos, count(*) AS clientes
+FROM ml GROUP BY CUBE ({', '.join(CUBE_DIMS)})""")
+
+SELECTIONS = (
+    "true",
+    "canal = 'HOUSEHOLD'",
+    "regiao_comercial = 'AMERICA' AND porte = 'G'",
+    "cluster_raw = 2 AND vendedor_id = 7",
+    "canal = 'BUILDING' AND regiao_comercial = 'ASIA' AND porte = 'M' AND cluster_raw = 3",
+    "canal = 'MACHINERY' AND uf = 'NATION_12' AND regiao_comercial = 'EUROPE' AND porte = 'P' AND cluster_raw = 1 AND vendedor_id = 3",
+    "canal = 'NONE SUCH'",
+)
+SQL["cube_selections"] = q(CLIENT_ROLLUP, f"ml AS (SELECT *, {TIER} AS cluster_raw FROM master)", "f AS (" + " UNION ALL ".join(f"""
+SELECT CAST({i} AS INTEGER) AS selecao, sum(receita_liquida) AS rec, sum(receita_bruta) AS bruta, sum(desconto_total) AS des,
+       sum(margem_total) AS marg, CAST(coalesce(sum(total_pedidos), 0) AS BIGINT) AS pedidos,
+       count(*) FILTER (WHERE receita_liquida > 0) AS ativos, count(*) AS clientes FROM ml WHERE {cond}""" for i, cond in enumerate(SELECTIONS)) + ")", KPI_ROW.format(extra="selecao, "))
+
+SQL["distinct_from_bitmaps"] = q("bc AS (SELECT b.*, c.uf FROM billed b LEFT JOIN clients c ON b.cliente_id = c.cliente_id)", """
+SELECT 'mes_ref' AS nivel, mes_ref AS chave, count(DISTINCT pedido_id) AS pedidos, count(DISTINCT cliente_id) AS clientes FROM bc GROUP BY mes_ref
+UNION ALL SELECT 'uf', uf, count(DISTINCT pedido_id), count(DISTINCT cliente_id) FROM bc GROUP BY uf
+UNION ALL SELECT 'total', 'total', count(DISTINCT pedido_id), count(DISTINCT cliente_id) FROM bc""")
 
 SQL["cluster_cards"] = q(CLIENT_ROLLUP, f"""
 ml AS (SELECT *, {TIER} AS cluster_raw FROM master),
@@ -991,6 +1020,8 @@ FROM billed WHERE cliente_id IS NOT NULL GROUP BY cliente_id
 """
 )
 
+SQL["client_sales_state"] = SQL["client_sales"]
+
 SQL["client_master"] = q(
     CLIENT_ROLLUP,
     f"""

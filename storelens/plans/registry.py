@@ -20,11 +20,14 @@ from pyspark.sql import types as T
 
 from .. import params as P
 from ..functions import exprs as X
+from ..operators import bitmaps as B
 from ..operators import clustering as L
+from ..operators import cubes as Q
 from ..operators import curves as C
 from ..operators import explore as E
 from ..operators import masters as M
 from ..operators import ranking as K
+from ..operators import rollup_state as RS
 from ..operators import rollups as R
 from ..operators import scenario as S
 from ..operators import segmentation as G
@@ -43,6 +46,15 @@ FILTER_KPI = E.FilterSpec(regiao="AMERICA", porte="G")
 FILTER_CARDS = E.FilterSpec(canal="MACHINERY")
 FILTER_PAGE = E.FilterSpec(canal="BUILDING")
 FILTER_FLAG = E.FilterSpec(regiao="ASIA")
+SELECTIONS = (
+    E.FilterSpec(),
+    E.FilterSpec(canal="HOUSEHOLD"),
+    E.FilterSpec(regiao="AMERICA", porte="G"),
+    E.FilterSpec(cluster=2, vendedor=7),
+    E.FilterSpec(canal="BUILDING", regiao="ASIA", porte="M", cluster=3),
+    E.FilterSpec(canal="MACHINERY", uf="NATION_12", regiao="EUROPE", porte="P", cluster=1, vendedor=3),
+    E.FilterSpec(canal="NONE SUCH"),
+)
 SEARCH_CLIENTS = " 12 "
 SEARCH_FLAG = "nation_1"
 SEARCH_PRODUCTS = "blue"
@@ -397,6 +409,50 @@ def q_kpis_filtered(spark, sf_dir):
     return E.kpis_filtered(fixed_labels(master(model(spark, sf_dir))), FILTER_KPI)
 
 
+@register("filter_cube")
+def q_filter_cube(spark, sf_dir):
+    """All 64 grouping sets of the six filter dimensions (values as text; NULL where summed over)."""
+    cube = Q.filter_cube(fixed_labels(master(model(spark, sf_dir))))
+    return cube.withColumns({d: F.col(d).cast("string") for d in Q.DIMENSIONS})
+
+
+@register("cube_selections")
+def q_cube_selections(spark, sf_dir):
+    """The KPI row of several selections, looked up in the written cube."""
+    cube = Q.write_cube(fixed_labels(master(model(spark, sf_dir))))
+    rows = [cube.kpis(spec).withColumn("selecao", F.lit(i)) for i, spec in enumerate(SELECTIONS)]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@register("distinct_from_bitmaps")
+def q_distinct_from_bitmaps(spark, sf_dir):
+    """Distinct orders and clients per month, per state and in all, merged from the bitmaps of (month, state)."""
+    m = model(spark, sf_dir)
+    state = cut_lineage(B.distinct_state(billed(m), m.clients))
+    levels = [("mes_ref", ["mes_ref"]), ("uf", ["uf"]), ("total", [])]
+    return reduce(
+        DataFrame.unionByName,
+        [
+            B.distinct_counts(state, by).select(
+                F.lit(level).alias("nivel"), (F.col(by[0]) if by else F.lit("total")).alias("chave"), *B.WHAT
+            )
+            for level, by in levels
+        ],
+    )
+
+
+@register("client_sales_state")
+def q_client_sales_state(spark, sf_dir):
+    """``client_sales`` from a state built without the last month and then updated by it."""
+    m = model(spark, sf_dir)
+    sales = billed(m)
+    path = shared_path(spark, "client_state")
+    last = m.sales.agg(F.max("mes_ref")).first()[0]
+    schema = RS.write_state(sales.where(F.coalesce(F.col("mes_ref") != last, F.lit(True))), path)
+    RS.update_months(sales, [last], path)
+    return RS.client_sales_from_state(RS.read_state(spark, path, schema))
+
+
 @register("cluster_cards")
 def q_cluster_cards(spark, sf_dir):
     return E.cluster_cards(fixed_labels(master(model(spark, sf_dir))), FILTER_CARDS)
