@@ -8,7 +8,9 @@ Stages (each a Spark job graph; nothing is assembled on the driver):
    and lets every later section scan a pruned, already-joined table;
 2. features → standardisation → K-Means restarts → PCA on the client master;
 3. profile → greedy roles → labels, then every section;
-4. each section is written by the executors to ``<out>/<section>``.
+4. each section is written by the executors to a build folder of its own; one
+   manifest then publishes them together (``sinks.publish_sections``), so a
+   reader of ``<out>`` never sees half a build.
 
 Usage: ``python -m storelens.plans.dashboard <sf_dir> <out_dir> [--restarts N]``
 """
@@ -84,7 +86,8 @@ def build(spark: SparkSession, sf_dir: str, out_dir: str, restarts: int = P.KMEA
     m = bind_test_tables(spark, sf_dir)
     with shared_scope(spark):  # the written fact and master go once every section is written
         sections = {name: as_output(df) for name, df in build_sections(m, restarts).items()}
-        return sinks.write_sections(sections, out_dir)
+        manifest = sinks.publish_sections(sections, out_dir)
+        return {name: os.path.join(out_dir, made["path"]) for name, made in manifest["sections"].items()}
 
 
 def main(argv: list[str] | None = None) -> None:

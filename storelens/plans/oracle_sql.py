@@ -522,6 +522,16 @@ SQL["search_products"] = q(f"""
 SELECT sku_id, sku_nome AS nome, categoria FROM products
 WHERE {' OR '.join(contains(c, 'blue') for c in ('sku_nome', 'sku_id', 'categoria'))}""")
 
+SQL["search_postings"] = q(" UNION ALL ".join(f"""
+SELECT {sq(b)} AS busca, sku_id, sku_nome AS nome, categoria FROM products
+WHERE {' OR '.join(contains(c, b.strip().lower()) for c in ('sku_nome', 'sku_id', 'categoria'))}"""
+    for b in ("blue", " RING", "ar", "99", "7", "small", "no such product")))
+
+SQL["load_rejects"] = " UNION ALL ".join(f"""
+SELECT '{c}' AS coluna, 'tipo' AS motivo, count(*) AS n, min(CAST({c} AS VARCHAR)) AS menor_valor
+FROM customer WHERE {c} IS NOT NULL AND TRY_CAST({c} AS {t}) IS NULL HAVING count(*) > 0"""
+    for c, t in (("c_custkey", "TINYINT"), ("c_name", "BIGINT"), ("c_mktsegment", "DOUBLE")))
+
 SQL["search_flag"] = q(CLIENT_ROLLUP, LABELS, REC, f"""
 SELECT id, ({' OR '.join(contains(c, 'nation_1') for c in ('nome', 'id', 'cidade'))}) AS destaque_busca,
        (CAST(regiao AS VARCHAR) = 'ASIA') AS no_filtro
@@ -784,6 +794,10 @@ SQL["channel_cluster_crosstab"] = q(
 
 SQL["seller_profile_counts"] = q(SELLER, "SELECT perfil_vendedor, count(*) AS n FROM smaster GROUP BY perfil_vendedor")
 
+SQL["sink_published"] = q(SELLER, """
+SELECT 'temporal' AS secao, mes_ref AS chave, count(DISTINCT pedido_id) AS n FROM billed WHERE mes_ref IS NOT NULL GROUP BY mes_ref
+UNION ALL SELECT 'perfis_vendedores', perfil_vendedor, count(*) FROM smaster GROUP BY perfil_vendedor""")
+
 SQL["abc_class_counts"] = q(SKU, f"""
 SELECT l.curva_abc, coalesce(c.n, 0) AS n
 FROM {ABC_LABELS} LEFT JOIN (SELECT curva_abc, count(*) AS n FROM kabc GROUP BY curva_abc) c ON l.curva_abc = c.curva_abc""")

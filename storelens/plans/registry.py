@@ -26,6 +26,7 @@ from ..operators import cubes as Q
 from ..operators import curves as C
 from ..operators import explore as E
 from ..operators import masters as M
+from ..operators import postings as PI
 from ..operators import ranking as K
 from ..operators import rollup_state as RS
 from ..operators import rollups as R
@@ -34,7 +35,7 @@ from ..operators import segmentation as G
 from ..session import cut_lineage, shared_path
 from ..sources import sinks
 from ..sources.binding import PIVOT_YEARS, RetailModel, bind_test_tables
-from ..sources.tables import coerce_numeric, load_table
+from ..sources.tables import coerce_numeric, load_checked, load_table
 from .output import as_output
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +58,7 @@ SELECTIONS = (
 )
 SEARCH_CLIENTS = " 12 "
 SEARCH_FLAG = "nation_1"
+SEARCHES = ("blue", " RING", "ar", "99", "7", "small", "no such product")
 SEARCH_PRODUCTS = "blue"
 SEARCH_FIRST_N = "ring"
 MIX_CATEGORIES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
@@ -153,6 +155,42 @@ def q_coerce_numeric(spark, sf_dir):
     return coerce_numeric(cust, ["c_acctbal", "c_mktsegment"])
 
 
+CHECKED_SCHEMA = T.StructType(
+    [
+        T.StructField("c_custkey", T.ByteType()),
+        T.StructField("c_name", T.LongType()),
+        T.StructField("c_mktsegment", T.DoubleType()),
+        T.StructField("c_nationkey", T.StringType()),
+        T.StructField("c_segment_code", T.LongType()),
+    ]
+)
+
+
+@register("load_rejects")
+def q_load_rejects(spark, sf_dir):
+    """Rejects per column of the customers read to a schema that does not fit them."""
+    return load_checked(spark, os.path.join(sf_dir, "customer.parquet"), CHECKED_SCHEMA).counts()
+
+
+@register("sink_published")
+def q_sink_published(spark, sf_dir):
+    """Two sections published together and read back through the manifest."""
+    m = model(spark, sf_dir)
+    base = shared_path(spark, "published")
+    manifest = sinks.publish_sections(
+        {
+            "temporal": as_output(R.monthly_trend(billed(m))),
+            "perfis_vendedores": as_output(E.count_by(seller_m(m), "perfil_vendedor")),
+        },
+        base,
+    )
+    months = sinks.read_section(spark, base, "temporal", manifest).select(
+        F.lit("temporal").alias("secao"), F.col("mes_ref").alias("chave"), F.col("pedidos").alias("n")
+    )
+    profiles = sinks.read_section(spark, base, "perfis_vendedores", manifest)
+    return months.unionByName(profiles.select(F.lit("perfis_vendedores").alias("secao"), F.col("perfil_vendedor").alias("chave"), "n"))
+
+
 @register("sink_json")
 def q_sink_json(spark, sf_dir):
     m = model(spark, sf_dir)
@@ -197,6 +235,15 @@ def q_search_products(spark, sf_dir):
     return E.search_products(prods, SEARCH_PRODUCTS)
 
 
+@register("search_postings")
+def q_search_postings(spark, sf_dir):
+    """Several product searches answered from one set of trigram postings."""
+    m = model(spark, sf_dir)
+    prods = cut_lineage(m.products.select("sku_id", F.col("sku_nome").alias("nome"), "categoria"))
+    index = PI.build_index(prods, "sku_id", E.PRODUCT_SEARCH_COLS)
+    return reduce(DataFrame.unionByName, [index.search(s).withColumn("busca", F.lit(s)) for s in SEARCHES])
+
+
 @register("search_flag")
 def q_search_flag(spark, sf_dir):
     m = model(spark, sf_dir)
