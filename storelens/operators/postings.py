@@ -20,6 +20,8 @@ from ..session import write_shared
 from .explore import search_condition, text_search
 
 SIZE = 3
+#: Rows whose postings one task makes: a product's text gives about 50, which the task's hash table holds.
+ROWS_PER_TASK = 50_000
 
 
 def trigrams(c: Column) -> Column:
@@ -37,8 +39,14 @@ def needle_trigrams(q: str) -> list[str]:
     return sorted({needle[i : i + SIZE] for i in range(len(needle) - SIZE + 1)})
 
 
-def postings(rows: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
-    """``trigrama, id`` of all searched columns, each pair once."""
+def postings(rows: DataFrame, id_col: str, cols: Sequence[str], parts: int | None = None) -> DataFrame:
+    """``trigrama, id`` of all searched columns, each pair once.
+
+    With ``parts``, the rows (a small file holds many) are dealt to so many tasks
+    before they are taken apart.
+    """
+    if parts:
+        rows = rows.select(id_col, *[c for c in cols if c != id_col]).repartition(parts)
     per_row = F.array_distinct(F.flatten(F.array(*[F.coalesce(trigrams(F.col(c)), F.array().cast("array<string>")) for c in cols])))
     # other names than the columns': an alias of theirs inside a lambda is not resolved
     made = rows.select(F.col(id_col).alias("__id"), F.explode(per_row).alias("__trigrama"))
@@ -78,7 +86,9 @@ def build_index(rows: DataFrame, id_col: str, cols: Sequence[str]) -> PostingInd
     """Postings written once to the shared folder, ranged and sorted by trigram; the caller or a ``shared_scope`` removes them.
 
     ``rows`` is kept as it is: give a written table, as every search reads its candidates from there.
+    The number of tasks, and of the ranges written, follows the rows.
     """
-    made = postings(rows, id_col, cols)
-    ranged = made.repartitionByRange("trigrama", "id").sortWithinPartitions("trigrama", "id")
+    parts = max(1, -(-rows.count() // ROWS_PER_TASK))
+    made = postings(rows, id_col, cols, parts)
+    ranged = made.repartitionByRange(parts, "trigrama", "id").sortWithinPartitions("trigrama", "id")
     return PostingIndex(rows, write_shared(ranged, "postings"), id_col, tuple(cols))
