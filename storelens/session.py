@@ -62,6 +62,45 @@ def apply_unset(spark: SparkSession, conf: dict[str, str]) -> dict[str, str]:
     return applied
 
 
+#: Rows of a table behind one shuffle partition: a line sorted for its join and then summed takes about 650 bytes of a task.
+ROWS_PER_PARTITION = 300_000
+#: Bytes (compressed, as shuffled) up to which AQE may put partitions together again.
+COALESCE_TO = 16 << 20
+
+_SIZES = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def size_bytes(text: str) -> int:
+    """Bytes of a size setting such as ``64MB``, ``16k`` or ``1048576b``."""
+    t = text.strip().lower()
+    digits = t.rstrip("bkmgt")
+    unit = t[len(digits) :].strip()[:1] or "b"
+    return int(digits) * _SIZES[unit]
+
+
+def fit_shuffles(spark: SparkSession, rows: int) -> int:
+    """Let shuffles of a table of ``rows`` rows go to partitions of ROWS_PER_PARTITION rows at most, whatever its size.
+
+    The sorts and hash tables of a task hold one partition, so with a fixed
+    count a task's memory grows with the table. Raises
+    ``spark.sql.shuffle.partitions`` where it is lower, and lowers the size up to
+    which AQE coalesces, which would undo it; both stay for the session, as the
+    frames built on the table are planned only when they are run. A small table changes
+    nothing. The planner's own shuffles are kept (no ``repartition`` by the
+    key), so AQE still splits the partition of a hot key. Returns the count.
+    """
+    wanted = -(-rows // ROWS_PER_PARTITION)
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if wanted > 1:
+        name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+        if size_bytes(spark.conf.get(name)) > COALESCE_TO:
+            spark.conf.set(name, str(COALESCE_TO))
+        if wanted > count:
+            spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+            return wanted
+    return count
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "storelens") -> SparkSession:
     """A local session for tests and the benchmark (the cluster brings its own)."""
     builder = (

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..params import CHECKIN_OK, VISIT_CONVERTED, VISIT_EXTRA_ROUTE, VISIT_PLANNED, Horizon
 from ..schemas import MONEY
+from ..session import fit_shuffles
 
 # Parameters of the binding: the billed status, and the two years that growth compares (the last whole ones).
 BILLED = "F"
@@ -77,8 +78,16 @@ TEST_SCHEMAS = {
 }
 
 
+# Dimensions of fixed size, which no shuffle has to be fitted to.
+FIXED_TABLES = ("nation", "region")
+
+
 class TestTables:
-    """Reads each test table at most once per binding (explicit schema, no inference)."""
+    """Reads each test table at most once per binding (explicit schema, no inference).
+
+    A table's rows are counted as it is first asked for (Parquet footers only),
+    and the session's shuffles fitted to them.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._cache = spark, sf_dir, {}
@@ -89,6 +98,8 @@ class TestTables:
             schema = TEST_SCHEMAS.get(name)
             reader = self.spark.read.schema(schema) if schema else self.spark.read
             self._cache[name] = reader.parquet(path)
+            if name not in FIXED_TABLES:
+                fit_shuffles(self.spark, self._cache[name].count())
         return self._cache[name]
 
 
